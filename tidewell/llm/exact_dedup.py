@@ -41,6 +41,8 @@ def stream_groups(spark: SparkSession, source: str, schema, state_dir: str, sink
         "spark.sql.streaming.stateStore.providerClass": PROVIDER,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # else each small store reserves megabytes of disk for its log and manifest
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
