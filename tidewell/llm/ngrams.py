@@ -24,7 +24,7 @@ def hashed_ngrams(data: bytes, sizes: tuple[int, ...], bits: int) -> np.ndarray:
             break
         code = b[n - 1 :] if n == 1 else code[: len(b) - n + 1] * np.uint64(257) + b[n - 1 :]
         if n in sizes:
-            mixed = (code + np.uint64(n) * np.uint64(0x51_7C_C1_B7_27_22_0A_95)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (code + np.uint64(n * 0x517CC1B727220A95 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
             out.append((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits))
     return np.concatenate(out).astype(np.int64)
 

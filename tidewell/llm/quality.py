@@ -55,13 +55,13 @@ def fit(texts: list[str | None], grades: list[int], n_grades: int = GRADES, roun
     state = [[np.zeros(d), np.zeros(d)], [np.zeros(k), np.zeros(k)]]
     for t in range(1, rounds + 1):
         cuts = np.cumsum(np.concatenate(([theta[0]], np.exp(theta[1:]))))
-        p = ngrams.sigmoid((x @ w)[:, None] - cuts)  # tails
+        p = ngrams.sigmoid((x @ w.astype(np.float32)).astype(np.float64)[:, None] - cuts)  # tails
         full = np.concatenate((np.ones((len(y), 1)), p, np.zeros((len(y), 1))), axis=1)
         mass = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
         slope = np.concatenate((np.zeros((len(y), 1)), p * (1 - p), np.zeros((len(y), 1))), axis=1)
         up, down = slope[np.arange(len(y)), y] / mass, slope[np.arange(len(y)), y + 1] / mass
         dz = -(up - down) / len(y)
-        gw = x.T @ dz + penalty * w
+        gw = (dz.astype(np.float32) @ x).astype(np.float64) + penalty * w
         dc = np.zeros(k)
         for j in range(1, n_grades):  # a higher cut lowers that tail
             dc[j - 1] = (up[y == j].sum() - down[y == j - 1].sum()) / len(y)

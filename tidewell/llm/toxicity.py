@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import sample_ids, split_rest, text_batches, texts_of
 
-SIZES, BITS = (3, 4, 5), 20
+SIZES, BITS = (5, 8), 20
 #: Labelled rows to learn from, at most (picked by hash of the id).
 LEARN = 5000
 #: An n-gram counts if so many learning texts hold it and its ratio is at least so far from 0.
-LEAST_TEXTS, LEAST_RATIO = 5, 0.7
+LEAST_TEXTS, LEAST_RATIO = 4, 1.5
 
 
 @dataclass
@@ -29,32 +29,35 @@ class ToxicModel:
         return ngrams.sigmoid(z + self.bias)
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 300, penalty: float = 1e-3) -> ToxicModel:
-    """Log-count ratios of presence, then logistic weights on the ratios (full-batch Adam)."""
+def fit(texts: list[str | None], labels: list[int], rounds: int = 300, penalty: float = 1e-4) -> ToxicModel:
+    """Log-count ratios of presence, then logistic weights on the ratios (full-batch Adam).
+
+    The rarer class weighs more, by the square root of how much rarer it is.
+    """
     y = np.array(labels, np.float64)
     d = 1 << BITS
     if not len(y) or y.min() == y.max():
         prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         return ToxicModel(np.zeros(d, np.float32), prior)
-    found = [ngrams.distinct(ngrams.lowered(t), SIZES, BITS) for t in texts]
-    pos, neg = np.zeros(d), np.zeros(d)
-    for f, v in zip(found, y, strict=True):
-        (pos if v else neg)[f] += 1
+    pos, neg = np.zeros(d, np.float32), np.zeros(d, np.float32)
+    for t, v in zip(texts, y, strict=True):
+        (pos if v else neg)[ngrams.distinct(ngrams.lowered(t), SIZES, BITS)] += 1
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
     ratio[(pos + neg < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
     kept = np.flatnonzero(ratio)
-    spot = np.full(d, -1, np.int64)
+    spot = np.full(d, -1, np.int32)
     spot[kept] = np.arange(len(kept))
-    cols = [spot[f] for f in found]
+    cols = [spot[ngrams.distinct(ngrams.lowered(t), SIZES, BITS)] for t in texts]  # again: keeping all would cost memory
     cols = [c[c >= 0] for c in cols]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     cols = np.concatenate(cols)
     r = ratio[kept]
+    heavy = np.where(y > 0, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
     w, b = np.full(len(kept), 0.05), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
         z = np.bincount(rows, (w * r)[cols], minlength=len(y)) + b
-        e = ngrams.sigmoid(z) - y
+        e = (ngrams.sigmoid(z) - y) * heavy
         g = np.bincount(cols, e[rows], minlength=len(kept)) * r / len(y) + penalty * w
         gb = e.mean()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
