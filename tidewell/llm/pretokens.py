@@ -81,27 +81,21 @@ def split_runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[ok], ends[ok]
 
 
-class WordPieces:
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class Memo:
+    """Ids of distinct strings, by 64-bit hash: learned once, kept in flat arrays, bounded."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.special = {t: self.tokenizer.token_to_id(t) for t in ("<|startoftext|>", "<|endoftext|>")}
-        self._reset()
+    def __init__(self, bound: int = MEMO):
+        self.bound = bound
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.direct, self.direct_slot = np.zeros(1 << DIRECT, np.uint64), np.zeros(1 << DIRECT, np.int32)
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known pre-tokens
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known strings
         self.slot = np.zeros(0, np.int64)
         self.at, self.size, self.pool, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
 
-    def _learn(self, keys: np.ndarray, spelled: list[str]) -> None:
-        """Pieces of new distinct pre-tokens (sorted by key), spelled in the model's alphabet."""
-        ids = [[t.id for t in self.model.tokenize(w)] if w not in self.special else [self.special[w]] for w in spelled]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        n, m = self.n, len(ids)
+    def _add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        n, m = self.n, len(size)
         if n + m > len(self.at):
             grown = max(2 * len(self.at), n + m)
             self.at, self.size = np.resize(self.at, grown), np.resize(self.size, grown)
@@ -115,6 +109,46 @@ class WordPieces:
         self.slot = np.insert(self.slot, where, np.arange(n, n + m))
         self.n, self.used = n + m, self.used + len(flat)
 
+    def slots(self, hashed: np.ndarray, learn) -> np.ndarray:
+        """The slot of each string; ``learn(i)`` gives sizes and flat ids of the new ones, at places i of ``hashed``."""
+        place = (hashed >> np.uint64(64 - DIRECT)).astype(np.int64)
+        slot = self.direct_slot[place].astype(np.int64)
+        missed = np.flatnonzero(self.direct[place] != hashed)
+        if len(missed):  # not in the direct-mapped table: one look-up for each distinct string
+            keys, where, inverse = np.unique(hashed[missed], return_index=True, return_inverse=True)
+            spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            fresh = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
+            if fresh.any():
+                self._add(keys[fresh], *learn(missed[where[fresh]]))
+            found = self.slot[np.searchsorted(self.keys, keys)]
+            slot[missed] = found[inverse]
+            place = (keys >> np.uint64(64 - DIRECT)).astype(np.int64)
+            free = self.direct[place] == 0
+            self.direct[place[free]], self.direct_slot[place[free]] = keys[free], found[free]
+        return slot
+
+    def flat(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each string's ids begin (and, last, end) in them."""
+        size = self.size[slots]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.pool[np.arange(total[-1]) - np.repeat(total[:-1] - self.at[slots], size)], total
+
+
+class WordPieces:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = {t: self.tokenizer.token_to_id(t) for t in ("<|startoftext|>", "<|endoftext|>")}
+        self.memo = Memo()
+
+    def _pieces(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and flat ids of pre-tokens, spelled in the model's alphabet."""
+        ids = [[t.id for t in self.model.tokenize(w)] if w not in self.special else [self.special[w]] for w in spelled]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+
     def _library_split(self, text: str) -> list[str]:
         out = []
         for k, part in enumerate(_SPECIAL.split(text)):
@@ -125,7 +159,7 @@ class WordPieces:
         return out
 
     def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per pre-token of all texts its slot (``size[slot]`` pieces from ``at[slot]`` in ``pool``); per text their number.
+        """Per pre-token of all texts its slot in the memo; per text their number.
 
         The third is the texts' order in the first two: the plain texts, then the others.
         """
@@ -139,44 +173,26 @@ class WordPieces:
             buf, at = words.join_texts(lowered)
         rest = set(plain)
         other = [i for i, t in enumerate(texts) if t and i not in rest]
-        if self.n > MEMO:
-            self._reset()
+        if self.memo.n > self.memo.bound:
+            self.memo.reset()
         slots, counts = [], []
         if plain:
             starts, ends = split_runs(buf)
-            hashed = words.hash_runs(buf, starts, ends)
-            place = (hashed >> np.uint64(64 - DIRECT)).astype(np.int64)
-            slot = self.direct_slot[place].astype(np.int64)
-            missed = np.flatnonzero(self.direct[place] != hashed)
-            if len(missed):  # not in the direct-mapped table: one look-up for each distinct pre-token
-                keys, where, inverse = np.unique(hashed[missed], return_index=True, return_inverse=True)
-                spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-                fresh = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
-                if fresh.any():
-                    new = missed[where[fresh]]
-                    raw = buf.tobytes()
-                    spelled = [raw[a:b].decode("latin-1").translate(_STAND_IN) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-                    self._learn(keys[fresh], spelled)
-                found = self.slot[np.searchsorted(self.keys, keys)]
-                slot[missed] = found[inverse]
-                place = (keys >> np.uint64(64 - DIRECT)).astype(np.int64)
-                free = self.direct[place] == 0
-                self.direct[place[free]], self.direct_slot[place[free]] = keys[free], found[free]
-            slots.append(slot)
+
+            def learn(new: np.ndarray):
+                raw = buf.tobytes()
+                return self._pieces([raw[a:b].decode("latin-1").translate(_STAND_IN) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+
+            slots.append(self.memo.slots(words.hash_runs(buf, starts, ends), learn))
             counts.append(np.diff(np.append(np.searchsorted(starts, at), len(starts))))
         if other:
             split = [self._library_split(texts[i]) for i in other]
             distinct = sorted({w for x in split for w in x})
-            # these keys are apart from the others: another seed
-            raw, at = words.join_texts([b"\xff" + w.encode() for w in distinct])
+            # their keys are apart from those above: other letters, mixed once more
+            raw, at = words.join_texts([w.encode() for w in distinct])
             hashed = words.mix(words.hash_runs(raw, at, np.append(at[1:], len(raw)) - 1)) if distinct else np.zeros(0, np.uint64)
-            order = np.argsort(hashed)
-            keys = hashed[order]
-            spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            fresh = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
-            if fresh.any():
-                self._learn(keys[fresh], [distinct[i] for i in order[fresh].tolist()])
-            of = dict(zip(distinct, self.slot[np.searchsorted(self.keys, hashed)].tolist(), strict=True))
+            found = self.memo.slots(hashed, lambda new: self._pieces([distinct[i] for i in new.tolist()]))
+            of = dict(zip(distinct, found.tolist(), strict=True))
             slots.append(np.fromiter((of[w] for x in split for w in x), np.int64))
             counts.append(np.array([len(x) for x in split], np.int64))
         if not slots:
@@ -188,7 +204,7 @@ class WordPieces:
         out = np.zeros(len(texts), np.int64)
         slots, counts, order = self.frequencies(texts)
         if len(order):
-            total = np.concatenate(([0], np.cumsum(self.size[slots])))
+            total = np.concatenate(([0], np.cumsum(self.memo.size[slots])))
             ends = np.cumsum(counts)
             out[order] = total[ends] - total[ends - counts]
         return out
@@ -199,9 +215,7 @@ class WordPieces:
         slots, counts, order = self.frequencies(texts)
         if not len(order):
             return out
-        size = self.size[slots]
-        total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.pool[np.arange(total[-1]) - np.repeat(total[:-1] - self.at[slots], size)]
+        flat, total = self.memo.flat(slots)
         ends = np.cumsum(counts)
         for i, a, b in zip(order.tolist(), total[ends - counts].tolist(), total[ends].tolist(), strict=True):
             out[i] = flat[a:b]

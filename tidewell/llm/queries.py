@@ -19,6 +19,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merge_dropout import digests, encode_pieces
+
+    return digests(encode_pieces(table(spark, sf_dir, "documents"), dropout=0.1, seed=1))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -64,6 +70,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
