@@ -12,6 +12,12 @@ from .common import Scratch, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark, "op2"), least=0.9)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -69,6 +75,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_vector_near_dedup": op2_vector_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_exact_dedup": op5_exact_dedup,
