@@ -12,6 +12,13 @@ from .common import Scratch, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train_on(docs))
+
+
 def op2_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_dedup import near_vectors
 
@@ -75,6 +82,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_vector_near_dedup": op2_vector_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_merge_dropout": op4_merge_dropout,
