@@ -130,7 +130,7 @@ def _confirm(percent: int):
 
 def _cross(t: pa.Table) -> pa.Table:
     """Pairs of different components in one block of a mixed bucket whose signatures agree."""
-    rep, comp, home = (t.column(c).to_numpy() for c in ("rep", "comp", "home"))
+    rep, comp, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home"))
     sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), len(_A))
     rows, minor = np.flatnonzero(home), np.flatnonzero(t.column("minor").to_numpy(zero_copy_only=False))
     out = set()
@@ -159,8 +159,9 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
     each other through their common doc_id. Any length of text is read whole.
 
     Documents with equal sets are one node, named by the least doc_id. Each node is first compared
-    with the least node of each of its buckets (a star, not all pairs); buckets that still hold
-    several components are compared in full, block by block, over what links could still join.
+    with the one least node of its buckets that it shares most of them with (a star, not all pairs);
+    buckets that still hold several components are then compared in full, block by block, over all
+    pairs of different components, whatever their number.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -185,8 +186,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
     def confirm(pairs: DataFrame) -> DataFrame:
         return _with(pairs, full, "doc_id", "shingles", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
 
-    star = banded.where("rep > first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    links = scratch.table(confirm(agree(star)), "links")
+    links = scratch.table(confirm(agree(_nearest(banded.where("rep > first").select("rep", F.col("first").alias("heart"))))), "links")
     comp = components(links, scratch)
     for last in (False, False, True):
         # buckets in which more than one component is left
@@ -199,8 +199,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
             pairs = _rest(now, sigs, scratch)
         else:  # another star, around the least node outside the least component
             heart = now.where("comp > low").groupBy("band").agg(F.min(F.struct("rep", "comp")).alias("heart"))
-            star = now.join(heart, "band").where("comp <> heart.comp").select(F.greatest("rep", "heart.rep").alias("a"), F.least("rep", "heart.rep").alias("b"))
-            pairs = agree(star.distinct().join(links, ["a", "b"], "left_anti"))
+            star = now.join(heart, "band").where("comp <> heart.comp").select("rep", F.col("heart.rep").alias("heart"))
+            pairs = agree(_nearest(star))
         new = scratch.table(confirm(pairs.distinct()), "links")
         if not is_empty(new):
             links = scratch.table(links.unionByName(new), "all")
@@ -214,6 +214,14 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _nearest(star: DataFrame) -> DataFrame:
+    """For each node the one heart that it shares most buckets with (then the least), as a pair (a, b)."""
+    shared = star.groupBy("rep", "heart").agg(F.count("*").alias("n"))
+    best = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("heart")).alias("low"))).alias("best"))
+    heart = -F.col("best.low")
+    return best.select(F.greatest("rep", heart).alias("a"), F.least("rep", heart).alias("b")).distinct()
+
+
 def _rest(now: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs of different components within mixed buckets whose signatures agree.
 
