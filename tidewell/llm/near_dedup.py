@@ -133,11 +133,15 @@ def _cross(t: pa.Table) -> pa.Table:
     rep, comp, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home"))
     sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), len(_A))
     rows, minor = np.flatnonzero(home), np.flatnonzero(t.column("minor").to_numpy(zero_copy_only=False))
+    band = int(np.flatnonzero(band_keys(sigs[:1])[0].view(np.int64) == t.column("band")[0].as_py())[0])
     out = set()
     for i in minor.tolist():
         other = rows[(comp[rows] != comp[i])]
-        ok = other[agreement(sigs[other], sigs[i]) >= LEAST_AGREE]
-        out.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in ok.tolist())
+        same = sigs[other] == sigs[i]
+        ok = same.mean(axis=1) >= LEAST_AGREE
+        # a pair that meets in several bands is looked at in the first of them
+        first = same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        out.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in other[ok][first].tolist())
     out = sorted(out)
     return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
 
