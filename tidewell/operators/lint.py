@@ -86,7 +86,7 @@ def top_unlinked(pairs: DataFrame, shown: int = SHOWN) -> DataFrame:
     order = [F.desc_nulls_last("npmi"), F.desc("sessions"), "a", "b"]
     top = pairs.orderBy(*order).limit(shown)
     rest = pairs.agg(F.count("*").alias("n")).where(F.col("n") > shown).select(F.lit("unlinked-co-use").alias("rule"), F.lit("").alias("memory"), F.concat((F.col("n") - shown).cast("string"), F.lit(" more")).alias("detail"))
-    return top.select(F.lit("unlinked-co-use").alias("rule"), F.col("a").alias("memory"), F.col("b").alias("detail")).unionByName(rest)
+    return top.select(F.lit("unlinked-co-use").alias("rule"), F.col("a").cast("string").alias("memory"), F.col("b").cast("string").alias("detail")).unionByName(rest)
 
 
 def with_severity(findings: DataFrame) -> DataFrame:

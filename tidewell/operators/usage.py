@@ -61,9 +61,13 @@ def open_background(events: DataFrame, by: str = "session", order: str = "seq")
 
 
 def deaf_after(idle, oldest, decided, compacting, now):
-    """Milliseconds of silence once they reach 90 s (15 min while compacting), else null."""
-    since = F.least(F.coalesce(F.greatest(F.coalesce(F.least(idle, oldest), idle, oldest), F.lit(None).cast("long"))), decided)
-    quiet = now - since
+    """Milliseconds of silence once they reach 90 s (15 min while compacting), else null.
+
+    A prompt is unread from the later of idling and its arrival (both must be known); silence counts
+    from the earlier of that and the last decision.
+    """
+    unread = F.when(idle.isNotNull() & oldest.isNotNull(), F.greatest(idle, oldest))
+    quiet = now - F.least(unread, decided)
     return F.when(quiet >= F.when(compacting, 15 * 60_000).otherwise(90_000), quiet)
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import activity, corpus
+
+QUERIES = activity.QUERIES | corpus.QUERIES
+ORACLE_SQL = activity.ORACLE_SQL | corpus.ORACLE_SQL
