@@ -6,6 +6,7 @@ The links that count are those confirmed on full shingle sets. MinHash only prop
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from .components import components
 ROWS, BANDS = 4, 32
 #: Pairs whose signatures agree on a smaller share are not looked at further (0.8 less 5.6 deviations).
 LEAST_AGREE = 0.6
-#: Documents of a mixed bucket that are compared with each other at a time.
+#: Documents on either side of a block of comparisons.
 BLOCK = 512
+#: A family (documents joined by shared buckets) of more nodes is compared bucket by bucket instead.
+FAMILY = 50_000
 
 
 def _coefficients(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -52,68 +55,52 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return h
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of equal minima for each pair of rows of two signature matrices."""
+    return (x == y).mean(axis=-1)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, on two sorted arrays of distinct numbers."""
+    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum()) if len(y) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+
+
 def _sign(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = words.shingle_sets(b.column("text").to_pylist(), width)
-            digests, sigs, bands, made = [], [], [], {}
+            digests, bands, made = [], [], {}
             for s in sets:
-                if not len(s):
-                    digests.append(None), sigs.append(None), bands.append(None)
-                    continue
-                d = _digest(s)
-                if d not in made:  # copies within a batch share their signature
-                    g = signature(s)
-                    made[d] = (g.tobytes(), band_keys(g[None, :])[0].view(np.int64))
-                digests.append(d), sigs.append(made[d][0]), bands.append(made[d][1])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                schema=schema,
-            )
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                if d is not None and d not in made:  # copies within a batch share their bands
+                    made[d] = band_keys(signature(s)[None, :])[0].view(np.int64)
+                digests.append(d), bands.append(made.get(d))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _digest(s: np.ndarray) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
 def _full(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for b in batches:
             sets = words.shingle_sets(b.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sigs = pa.array([signature(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal minima for each pair of rows of two signature matrices."""
-    return (x == y).mean(axis=-1)
-
-
-def _agree(batches):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for b in batches:
-        x = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, len(_A)) for c in ("sa", "sb")]
-        ok = pa.array(agreement(*x) >= LEAST_AGREE)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, on two sorted arrays of distinct numbers."""
-    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
-        return False
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum()) if len(y) else 0
-    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+def _signatures(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), len(_A))
 
 
 def _confirm(percent: int):
@@ -121,125 +108,157 @@ def _confirm(percent: int):
 
     def run(batches):
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("fa").to_pylist(), b.column("fb").to_pylist(), strict=True)]
+            likely = agreement(_signatures(b.column("sa")), _signatures(b.column("sb"))) >= LEAST_AGREE
+            # the signatures first, then the full sets
+            ok = [bool(k) and similar(np.frombuffer(f.as_py(), np.uint64), np.frombuffer(g.as_py(), np.uint64), percent) for k, f, g in zip(likely, b.column("fa"), b.column("fb"), strict=True)]
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
 
     return run
 
 
-def _cross(t: pa.Table) -> pa.Table:
-    """Pairs of different components in one block of a mixed bucket whose signatures agree."""
-    rep, comp, home = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home"))
-    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), len(_A))
-    rows, minor = np.flatnonzero(home), np.flatnonzero(t.column("minor").to_numpy(zero_copy_only=False))
-    band = int(np.flatnonzero(band_keys(sigs[:1])[0].view(np.int64) == t.column("band")[0].as_py())[0])
-    out = set()
-    for i in minor.tolist():
-        other = rows[(comp[rows] != comp[i])]
-        same = sigs[other] == sigs[i]
-        ok = same.mean(axis=1) >= LEAST_AGREE
-        # a pair that meets in several bands is looked at in the first of them
-        first = same[ok].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        out.update((max(rep[i], rep[j]), min(rep[i], rep[j])) for j in other[ok][first].tolist())
-    out = sorted(out)
-    return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
-
-
-def _with(pairs: DataFrame, of: DataFrame, key: str, col: str, x: str, y: str) -> DataFrame:
-    """Pairs (a, b) with a column of both ends. Nothing above needs the rows of an end together, so a
-    large star's join can be split where it is skewed."""
-    left = of.select(F.col(key).alias("a"), F.col(col).alias(x))
-    right = of.select(F.col(key).alias("b"), F.col(col).alias(y))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", x, y)
+def _cross(percent: int):
+    """Confirmed links between different components in one block: minor rows against home rows.
 
+    Pairs are tried best signature first, and not at all once their components hang together here;
+    so the links that come out are fewer than the rows, while no pair that could join two components
+    goes untested.
+    """
 
-def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    def run(t: pa.Table) -> pa.Table:
+        rep, comp, home, minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home", "minor"))
+        sigs, sets = _signatures(t.column("sig")), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        rows, out = np.flatnonzero(home), []
+        for i in np.flatnonzero(~home).tolist():
+            # two minor rows meet twice; the greater looks at the lesser
+            other = rows[(comp[rows] != comp[i]) & (~minor[rows] | (rep[rows] < rep[i]))]
+            share = agreement(sigs[other], sigs[i])
+            near = np.flatnonzero(share >= LEAST_AGREE)
+            for j in other[near[np.argsort(-share[near], kind="stable")]].tolist():
+                a, b = top(int(comp[i])), top(int(comp[j]))
+                if a != b and similar(sets[i], sets[j], percent):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(rep[i]), int(rep[j])))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    Texts are linked when 100 * intersection >= percent * union of their sets of ``width``-word
-    shingles. Null, empty and blank texts have no shingles and are linked with nothing, as are rows
-    without doc_id (their component_id is null, and they are kept). Repeated rows are linked with
-    each other through their common doc_id. Any length of text is read whole.
+    return run
 
-    Documents with equal sets are one node, named by the least doc_id. Each node is first compared
-    with the one least node of its buckets that it shares most of them with (a star, not all pairs);
-    buckets that still hold several components are then compared in full, block by block, over all
-    pairs of different components, whatever their number.
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures and then full sets are similar enough.
+
+    Nothing above the joins needs the rows of an end together, so a large star's join can be split
+    where it is skewed.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed")
-    usable = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    nodes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = scratch.table(usable.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "rep").distinct(), "member")
-    rep = nodes.join(usable, (usable["doc_id"] == nodes["rep"]) & (usable["digest"] == nodes["digest"])).select("rep", "sig", "bands")
-    rep = rep.dropDuplicates(["rep"])
-    banded = rep.select("rep", F.explode("bands").alias("band"))
-    bucket = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    banded = scratch.table(banded.join(bucket, "band"), "banded")
-    busy = banded.select("rep").distinct()
-    sigs = scratch.table(rep.join(busy, "rep", "left_semi").select("rep", "sig"), "sigs")
-    full = plain.join(busy, plain["doc_id"] == busy["rep"], "left_semi").mapInArrow(_full(width), "doc_id long, shingles binary")
-    full = scratch.table(full.dropDuplicates(["doc_id"]), "full")
-
-    def agree(pairs: DataFrame) -> DataFrame:
-        return _with(pairs, sigs, "rep", "sig", "sa", "sb").mapInArrow(_agree, "a long, b long")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _with(pairs, full, "doc_id", "shingles", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
-
-    links = scratch.table(confirm(agree(_nearest(banded.where("rep > first").select("rep", F.col("first").alias("heart"))))), "links")
-    comp = components(links, scratch)
-    for last in (False, False, True):
-        # buckets in which more than one component is left
-        now = banded.select("band", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        now = scratch.table(now.join(mixed, "band"), "mixed")
-        if is_empty(now):
-            break
-        if last:
-            pairs = _rest(now, sigs, scratch)
-        else:  # another star, around the least node outside the least component
-            heart = now.where("comp > low").groupBy("band").agg(F.min(F.struct("rep", "comp")).alias("heart"))
-            star = now.join(heart, "band").where("comp <> heart.comp").select("rep", F.col("heart.rep").alias("heart"))
-            pairs = agree(_nearest(star))
-        new = scratch.table(confirm(pairs.distinct()), "links")
-        if not is_empty(new):
-            links = scratch.table(links.unionByName(new), "all")
-            comp = components(links, scratch)
-    comp = scratch.table(comp, "component")
-    of_rep = member.join(comp, member["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    # a doc_id that occurs with several texts has one component: the least
-    of_doc = of_rep.groupBy("doc_id").agg(F.min("component").alias("component"))
-    out = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    left = full.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("fa"))
+    right = full.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("fb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "fa", "fb")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _nearest(star: DataFrame) -> DataFrame:
-    """For each node the one heart that it shares most buckets with (then the least), as a pair (a, b)."""
+    """For each node the one heart that it shares most buckets with (then the least), as a pair (node, heart)."""
     shared = star.groupBy("rep", "heart").agg(F.count("*").alias("n"))
     best = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("heart")).alias("low"))).alias("best"))
-    heart = -F.col("best.low")
-    return best.select(F.greatest("rep", heart).alias("a"), F.least("rep", heart).alias("b")).distinct()
+    return best.select(F.col("rep").alias("a"), (-F.col("best.low")).alias("b"))
+
+
+def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of a forest in which each node a hangs on at most one lesser node b: pointer jumping."""
+    now = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    while True:
+        up = now.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        step = scratch.table(now.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"), F.col("up").isNotNull().alias("moved")), "roots")
+        now = step.select("node", "component")
+        if is_empty(step.where("moved")):
+            return now
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links: those of the graph between components, put through."""
+    of = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(of, ends[end] == of["n"], "left").withColumn(end, F.coalesce("c", end)).drop("n", "c")
+    over = scratch.table(components(ends, scratch), "over")
+    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    single = over.join(comp.select("node"), "node", "left_anti")  # roots, and nodes that had no links
+    return scratch.table(moved.select("node", F.coalesce("least", "component").alias("component")).unionByName(single), "merged")
+
+
+def _rest(now: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components of the nodes that share a mixed bucket: none that counts is left out.
+
+    ``now`` holds band, rep, first and comp. A family is compared once, not once for each of its
+    buckets; one of more than FAMILY nodes is compared bucket by bucket. In each, the rows outside
+    its largest component (minor) meet all its rows (home), BLOCK by BLOCK of either.
+    """
+    family = scratch.table(components(now.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), scratch), "family")
+    size = family.groupBy("component").agg(F.count("*").alias("n"))
+    family = family.join(size, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), (F.col("n") > FAMILY).alias("large"))
+    small = now.select("rep", "comp").distinct().join(family.where("NOT large"), "rep").select(F.concat(F.lit("f"), "family").alias("key"), "rep", "comp")
+    large = now.join(family.where("large"), "rep").select(F.concat(F.lit("b"), "band").alias("key"), "rep", "comp").distinct()
+    rows = scratch.table(small.unionByName(large), "rows")
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nh"), F.greatest(F.ceil((F.col("all") - F.col("main.n")) / BLOCK), F.lit(1)).cast("int").alias("nm"))
+    rows = rows.join(main, "key").withColumn("minor", F.col("comp") != F.col("main"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cols = ("key", "rep", "comp", "minor", "home", "hb", "mb")
+    as_home = rows.withColumn("home", F.lit(True)).withColumn("hb", mine("nh")).withColumn("mb", F.explode(all_of("nm"))).select(*cols)
+    as_minor = rows.where("minor").withColumn("home", F.lit(False)).withColumn("mb", mine("nm")).withColumn("hb", F.explode(all_of("nh"))).select(*cols)
+    sent = as_home.unionByName(as_minor).join(full, "rep")
+    return sent.groupBy("key", "hb", "mb").applyInArrow(_cross(percent), "a long, b long")
 
 
-def _rest(now: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs of different components within mixed buckets whose signatures agree.
+def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Texts are linked when 100 * intersection >= percent * union of their sets of ``width``-word
+    shingles. Null, empty and blank texts have no shingles and are linked with nothing, as are rows
+    without doc_id (their component_id is null, and they are kept). Repeated rows have the same
+    component; a doc_id with several texts has in each row the component of that row's text. Any
+    length of text is read whole.
 
-    In each bucket the rows outside its largest component go to every block of the bucket, the
-    others to one block each; no group holds more than about BLOCK rows besides the former.
+    Documents with equal sets are one node, named by the least doc_id. Each node is first compared
+    with the one least node of its buckets that it shares most of them with (a star, not all pairs).
+    Buckets that still hold several components are then compared in full: the nodes that such
+    buckets join form families, and within each all pairs of different components are tested, in
+    blocks of bounded size, whatever their number.
     """
-    sizes = now.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = now.join(main, "band").withColumn("minor", F.col("comp") != F.col("main.comp")).join(sigs, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    sent = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    sent = sent.withColumn("home", F.col("block") == own).select("band", "block", "rep", "comp", "minor", "home", "sig")
-
-    return sent.groupBy("band", "block").applyInArrow(_cross, "a long, b long").distinct()
+    text_batches(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = scratch.table(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    nodes = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    member = signed.join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
+    member = scratch.table(member, "member")
+    scratch.drop(signed)
+    banded = member.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("band"))
+    bucket = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
+    banded = scratch.table(banded.join(bucket, "band").select("band", "rep", "first"), "banded")
+    busy = banded.select(F.col("rep").alias("doc_id")).distinct()
+    full = scratch.table(plain.join(busy, "doc_id", "left_semi").mapInArrow(_full(width), "rep long, sig binary, shingles binary"), "full")
+
+    first = banded.where("rep > first").select("rep", F.col("first").alias("heart"))
+    comp = _roots(scratch.table(_confirmed(_nearest(first), full, percent).distinct(), "links"), scratch)
+    # buckets in which more than one component is left
+    now = banded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("comp"))
+    mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+    now = scratch.table(now.join(mixed, "band"), "mixed")
+    if not is_empty(now):
+        new = scratch.table(_rest(now, full, percent, scratch), "links")
+        if not is_empty(new):
+            comp = _merged(comp, new, scratch)
+    out = member.join(comp, member["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
