@@ -399,3 +399,77 @@ def deaf_after(spark, d):
     k, s = F.col("k"), F.col("seq")
     ms = lambda c: (c * 20000).cast("long")
     return work(spark, d).select("seq", usage.deaf_after(ms(k % 10), F.when(k % 3 > 0, ms(k % 11)), F.when(k % 4 > 0, ms(s % 9)), s % 5 == 0, F.lit(200000).cast("long")).alias("deaf"))
+
+
+#: Commands with known uses, for the readers of program text.
+COMMANDS = [
+    ("cat a.txt b.txt", "/code/app"), ("cd src && sed -i s/x/y/ m.py", "/code/app"), ("(cd src; cat m.py); cat m.py", "/code/app"), ("cp a.txt b.txt", "/code/app"),
+    ("for f in a.txt b.txt; do wc $f; done", "/code/app"), ("for f in *.log; do cat $f; done", "/code/app"), ("ssh u@box.lan 'cat /etc/hosts'", "/code/app"), ("cat $(git rev-parse HEAD)", "/code/app"), ("cargo test && git commit -m x", "/code/app"), ("cat 'torn", "/code/app"),
+]
+
+
+def _read(spark):
+    from ..shell.extract import read_commands
+
+    return read_commands(spark.createDataFrame(COMMANDS, "cmd string, cwd string"), "/home/example")
+
+
+@query("""SELECT * FROM (VALUES ('cat a.txt b.txt', NULL, '/code/app/a.txt', false, 'always'), ('cat a.txt b.txt', NULL, '/code/app/b.txt', false, 'always'), ('cd src && sed -i s/x/y/ m.py', NULL, '/code/app/src/m.py', true, 'on-success'),
+ ('(cd src; cat m.py); cat m.py', NULL, '/code/app/src/m.py', false, 'always'), ('(cd src; cat m.py); cat m.py', NULL, '/code/app/m.py', false, 'always'), ('cp a.txt b.txt', NULL, '/code/app/a.txt', false, 'always'), ('cp a.txt b.txt', NULL, '/code/app/b.txt', true, 'always'),
+ ('for f in a.txt b.txt; do wc $f; done', NULL, '/code/app/a.txt', false, 'always'), ('for f in a.txt b.txt; do wc $f; done', NULL, '/code/app/b.txt', false, 'always'), ('ssh u@box.lan ''cat /etc/hosts''', 'box', '/etc/hosts', false, 'always')) t(cmd, host, path, write, reached)""")
+def read_command(spark, d):
+    from ..shell.extract import file_uses
+
+    return file_uses(_read(spark)).drop("cwd")
+
+
+@query()
+def activity_of_command(spark, d):
+    from ..shell.extract import activity_report
+
+    return activity_report(_read(spark))
+
+
+@query()
+def parse_report(spark, d):
+    from ..shell.extract import report
+
+    return report(_read(spark))
+
+
+def _stream(spark, df, files: int):
+    """The rows as a stream of several files in the shared folder, and a folder for its run."""
+    from ..sources.scratch import Scratch
+
+    s = Scratch(spark, "stream")
+    df.repartition(files).write.parquet(f"{s.path}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{s.path}/in"), f"{s.path}/run"
+
+
+@query(ORACLE_SQL["session_state"])
+def stream_session_state(spark, d):
+    from ..streaming import sessions
+
+    k = F.col("kind")
+    kind = F.when(k == "view", "text").when(k == "click", "tool").when(k == "error", "exit").when(k == "signup", "turn").otherwise("other")
+    e = work(spark, d).select(F.col("agent").alias("session"), "seq", kind.alias("kind"), F.when(k == "view", F.concat(F.lit("m"), F.col("k") % 3)).alias("model"), F.when(k == "click", F.col("k")).alias("context"), F.when(k == "purchase", F.col("value")).alias("cost"))
+    stream, run = _stream(spark, e, 3)
+    return sessions.newest(sessions.run_once(sessions.session_state(stream), run), ["session"], "batch").drop("batch")
+
+
+@query(f"""WITH l AS {LINES}, c AS (SELECT file, max(line_no) AS cut FROM l WHERE is_compaction GROUP BY file)
+ SELECT l.file AS file, count(*) FILTER (is_prompt AND (cut IS NULL OR line_no > cut)) AS interactions, arg_max(context, line_no) FILTER (context IS NOT NULL AND (cut IS NULL OR line_no > cut)) AS context FROM l LEFT JOIN c ON l.file = c.file GROUP BY l.file""")
+def stream_incremental_count(spark, d):
+    from ..streaming import sessions
+
+    stream, run = _stream(spark, lines(spark, d), 1)
+    out = sessions.run_once(sessions.incremental_count(stream), run)
+    return sessions.newest(out, ["file"], "line_no").select("file", "interactions", "context")
+
+
+@query(f"SELECT file, line_no, CASE WHEN is_compaction THEN 'compacted' ELSE 'prompt' END AS mark FROM {LINES} WHERE is_compaction OR is_prompt")
+def stream_landmarks(spark, d):
+    from ..streaming import sessions
+
+    stream, run = _stream(spark, lines(spark, d), 2)
+    return sessions.run_once(sessions.landmarks(stream), run, mode="append").select("file", "line_no", "mark")

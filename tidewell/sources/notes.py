@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Notes (every ``*.md`` but the index) and index links (name, pos). A directory that can't be read is an error."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(root).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("raw"))
+    files = spark.read.option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("name"), F.col("value").alias("raw"))
     value = lambda k: T.frontmatter_value(F.col("raw"), k)
     prefix = F.substring_index("name", "_", 1)
     kind = F.when(value("type").isin(T.NOTE_TYPES), value("type")).when(prefix.isin(T.NOTE_TYPES), prefix).otherwise("project")
@@ -22,7 +22,7 @@ def corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def index_sections(spark: SparkSession, root: str) -> DataFrame:
     """Each indexed note's first enclosing level-2 heading."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "MEMORY.md").text(root)
+    raw = spark.read.option("pathGlobFilter", "MEMORY.md").text(root, wholetext=True)
     line = raw.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one index file
     heading = F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000)))

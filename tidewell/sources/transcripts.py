@@ -86,7 +86,8 @@ def calls(decoded: DataFrame) -> DataFrame:
 def results(decoded: DataFrame) -> DataFrame:
     """Tool results: call_id, verdict, text, and the directories that a shell refused."""
     b = _exploded(decoded, "tool_result")
-    text = F.coalesce(F.try_variant_get(F.col("b.content"), "$", "string"), F.array_join(F.try_variant_get(F.col("b.content"), "$", "array<struct<text:string>>")["text"], "\n"))
+    content = F.col("b.content")
+    text = F.coalesce(F.array_join(F.try_variant_get(content, "$", "array<struct<text:string>>")["text"], "\n"), F.try_variant_get(content, "$", "string"))
     verdict = F.when(F.coalesce(text, F.lit("")).startswith(REFUSAL), "rejected").when(F.coalesce("b.is_error", F.lit(False)), "failed").otherwise("ok")
     return b.select("file", "session", "at", "block", F.col("b.tool_use_id").alias("call_id"), verdict.alias("verdict"), text.alias("text"), refused_dirs(F.coalesce(text, F.lit(""))).alias("refused"))
 
