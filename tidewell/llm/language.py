@@ -81,7 +81,9 @@ def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
     names = sorted(set(langs))
     codes = codewords(len(names))
     of = np.array([names.index(x) for x in langs], np.int64)
-    d = 1 << BITS
+    d, bits = 1 << BITS, codes.shape[1]
+    if not names:  # nothing to learn from: every text is ``und``
+        return LanguageModel(names, codes, np.zeros((d, bits), np.float32), np.ones(bits), np.zeros(bits), np.ones(bits))
     per = np.zeros((len(names), d))
     means = []
     for at in range(0, len(texts), 256):
@@ -97,8 +99,6 @@ def fit(texts: list[str | None], langs: list[str]) -> LanguageModel:
         pos, neg = per[codes[:, b] > 0].mean(axis=0), per[codes[:, b] < 0].mean(axis=0)
         ratio[:, b] = np.log((pos + 1e-6) / (neg + 1e-6))
     model = LanguageModel(names, codes, ratio, np.ones(codes.shape[1]), np.zeros(codes.shape[1]), np.ones(codes.shape[1]))
-    if not len(texts):
-        return model
     for at in range(0, len(texts), 256):
         means.append(model.bits(ngrams.count_matrix(texts[at : at + 256], SIZES, BITS)))
     x, y = np.concatenate(means), codes[of].astype(float)

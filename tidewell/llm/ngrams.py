@@ -26,7 +26,7 @@ def hashed_ngrams(data: bytes, sizes: tuple[int, ...], bits: int) -> np.ndarray:
         if n in sizes:
             mixed = (code + np.uint64(n * 0x517CC1B727220A95 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
             out.append((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits))
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 def distinct(data: bytes, sizes: tuple[int, ...], bits: int) -> np.ndarray:
