@@ -21,6 +21,8 @@ from .components import components
 AXES, GRID = 24, 6
 #: Vectors of a block; pairs of blocks meet in tiles of at most TILE x TILE blocks.
 BLOCK, TILE = 1024, 8
+#: Blocks at the most: more vectors make larger blocks, so what the driver holds of them is bounded.
+BLOCKS = 4000
 
 
 def _moments(dim_of: int):
@@ -128,16 +130,19 @@ def _tile(pairs: dict[tuple[int, int], list[tuple[int, int]]], dim: int, least:
             a, b = of.get(i), of.get(j)
             if a is None or b is None:
                 continue
-            near = f[a] @ f[b].T
-            link = near >= least + MARGIN
-            p, q = np.nonzero((near >= least - MARGIN) & ~link)  # too close to tell in single precision
-            link[p, q] = np.einsum("ij,ij->i", x[a[p]], x[b[q]]) >= least
-            if i == j:
-                link = np.triu(link, 1)
-            count[a] += link @ copies[b]
-            count[b] += link.T @ copies[a]
-            p, q = np.nonzero(link)
-            _join_labels(label, a[p], b[q])
+            for m in range(0, len(a), BLOCK):  # large blocks go piece by piece
+                for n in range(m if i == j else 0, len(b), BLOCK):
+                    c, d = a[m : m + BLOCK], b[n : n + BLOCK]
+                    near = f[c] @ f[d].T
+                    link = near >= least + MARGIN
+                    p, q = np.nonzero((near >= least - MARGIN) & ~link)  # too close to tell in single precision
+                    link[p, q] = np.einsum("ij,ij->i", x[c[p]], x[d[q]]) >= least
+                    if i == j and m == n:
+                        link = np.triu(link, 1)
+                    count[c] += link @ copies[d]
+                    count[d] += link.T @ copies[c]
+                    p, q = np.nonzero(link)
+                    _join_labels(label, c[p], d[q])
         some = np.flatnonzero(count)
         return pa.table({"rep": pa.array(rep[some], pa.int64()), "links": pa.array(count[some], pa.int64()), "other": pa.array(rep[label[some]], pa.int64())})
 
@@ -180,25 +185,26 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, key:
     # grid order, cut into blocks: a range partitioning, then runs of BLOCK rows within each partition
     order = [F.get("cell", F.lit(i)) for i in range(min(GRID, lead))] + [F.get("axes", F.lit(0)), F.col("rep")]
     n = sum(p["n"] for p in parts)
-    ranged = placed.repartitionByRange(max(1, min(2000, -(-n // (4 * BLOCK)))), *order).sortWithinPartitions(*order)
+    block = max(BLOCK, -(-n // BLOCKS))
+    ranged = placed.repartitionByRange(max(1, min(BLOCKS // 4, -(-n // (4 * block)))), *order).sortWithinPartitions(*order)
 
     def blocks(batches):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            number = (np.arange(seen, seen + b.num_rows) // BLOCK) + (part << 32)
+            number = (np.arange(seen, seen + b.num_rows) // block) + (part << 32)
             seen += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("v"), b.column("rep"), b.column("copies"), b.column("axes"), pa.array(number, pa.int64())], names=["v", "rep", "copies", "axes", "block"])
 
     cut = scratch.table(ranged.mapInArrow(blocks, "v array<double>, rep long, copies long, axes array<double>, block long"), "blocks")
     least_of = [F.min(F.get("axes", F.lit(i))).alias(f"l{i}") for i in range(lead)]
     most_of = [F.max(F.get("axes", F.lit(i))).alias(f"h{i}") for i in range(lead)]
-    boxes = sorted(cut.groupBy("block").agg(*least_of, *most_of).collect(), key=lambda r: r["block"])  # one row per BLOCK vectors
+    boxes = sorted(cut.groupBy("block").agg(*least_of, *most_of).collect(), key=lambda r: r["block"])  # one row a block
     number = {r["block"]: i for i, r in enumerate(boxes)}
     low = np.array([[r[f"l{i}"] for i in range(lead)] for r in boxes])
     high = np.array([[r[f"h{i}"] for i in range(lead)] for r in boxes])
-    tile = max(1, min(TILE, len(boxes) // 10))  # few blocks: smaller tiles, so that there are enough to share out
+    tile = max(1, min(TILE, len(boxes) // 10, TILE * BLOCK // block))  # few blocks: smaller tiles, so that there are enough to share out
     pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, j in near_blocks(low, high, eps + 1e-9):
         i, j = min(i, j), max(i, j)
