@@ -473,3 +473,43 @@ def stream_landmarks(spark, d):
 
     stream, run = _stream(spark, lines(spark, d), 2)
     return sessions.run_once(sessions.landmarks(stream), run, mode="append").select("file", "line_no", "mark")
+
+
+_ENT = f"(SELECT agent AS session, seq, CASE WHEN kind IN ('view', 'click') THEN 'tool' ELSE kind END AS kind, kind AS text, kind <> 'click' OR k % 4 > 0 AS settled, CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'ok' END AS verdict FROM {WORK})"
+
+
+def _entries(spark, d):
+    k = F.col("k")
+    kind = F.when(F.col("kind").isin("view", "click"), "tool").otherwise(F.col("kind"))
+    return work(spark, d).select(F.col("agent").alias("session"), "seq", kind.alias("kind"), F.col("kind").alias("text"), ((F.col("kind") != "click") | (k % 4 > 0)).alias("settled"), F.when(k % 3 == 0, "failed").when(k % 3 == 1, "ok").alias("verdict"))
+
+
+@query(f"""WITH e AS {_ENT}, s AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY session ORDER BY seq) <> kind, true) AS st FROM e), r AS (SELECT *, sum(CAST(st AS INT)) OVER (PARTITION BY session ORDER BY seq) AS run FROM s)
+ SELECT session, kind, min(seq) AS first, count(*) AS parts, CAST(sum(length(text)) AS BIGINT) AS chars FROM r GROUP BY session, run, kind""")
+def merged_text(spark, d):
+    from ..operators import view
+
+    return view.merged_text(_entries(spark, d))
+
+
+@query(f"""WITH e AS (SELECT *, kind = 'tool' AND settled AS ok FROM {_ENT}), s AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY session ORDER BY seq) <> ok, true) AS st FROM e), r AS (SELECT *, sum(CAST(st AS INT)) OVER (PARTITION BY session ORDER BY seq) AS run FROM s)
+ SELECT session, min(seq) AS first, max(seq) AS last, count(*) AS calls, count(*) FILTER (verdict = 'failed') AS failed, count(*) FILTER (verdict IS NULL) AS unrecorded FROM r WHERE ok GROUP BY session, run HAVING count(*) >= 2""")
+def tool_runs(spark, d):
+    from ..operators import view
+
+    return view.tool_runs(_entries(spark, d))
+
+
+@query(f"SELECT CAST(ts AS DATE) AS day, count(*) AS landmarks FROM {WORK} WHERE kind = 'signup' GROUP BY 1")
+def landmarks_by_day(spark, d):
+    from ..operators import view
+
+    return view.landmarks_by_day(work(spark, d).where("kind = 'signup'").withColumn("at", F.col("ts")))
+
+
+@query("""SELECT 'note_' || i AS name, CASE WHEN i < 30 THEN octet_length(CAST(('- [Note ' || i || '](note_' || i || '.md) about it') AS BLOB)) + 2 ELSE 0 END AS bytes FROM range(40) t(i)""")
+def index_entry_cost(spark, d):
+    from ..operators import view
+
+    index = "\n".join(f"- [Note {i}](note_{i}.md) about it" for i in range(30))
+    return spark.range(40).select(F.concat(F.lit("note_"), "id").alias("name")).select("name", view.index_entry_cost(F.lit(index), F.col("name")).cast("long").alias("bytes"))
