@@ -13,10 +13,14 @@ RELATIONS = ["part-of", "governs", "because", "refines", "supersedes", "contradi
 def tokenize(text: Column) -> Column:
     """Search terms: lower-case runs of letters and digits; a hyphen compound adds its joined form first."""
     runs = F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}-]+")
+
     def terms(run: Column) -> Column:
         parts = F.filter(F.split(run, "-"), lambda p: p != "")
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.array_join(parts, "")), parts)).otherwise(parts)
-    return F.flatten(F.transform(runs, terms))
+        compound = F.when(F.size(parts) > 1, F.concat(F.array(F.array_join(parts, "")), parts)).otherwise(parts)
+        return F.when(run.contains("-"), compound).otherwise(F.filter(F.array(run), lambda p: p != ""))
+
+    # most texts hold no hyphen, and need no more than the split
+    return F.when(text.contains("-"), F.flatten(F.transform(runs, terms))).otherwise(F.filter(runs, lambda r: r != ""))
 
 
 def hash_candidates(text: Column) -> Column:

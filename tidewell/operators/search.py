@@ -48,7 +48,9 @@ def rank(notes: DataFrame, query: str, require_all: bool = True) -> DataFrame:
     n, mean = float(totals["n"]), max(totals["mean"] or 0.0, 1.0)
     import math
 
-    found = notes.where(matched).select("*", *[t.alias(f"_t{i}") for i, t in enumerate(tokens)])
+    # a generator, so that no later filter is pushed below it and makes the tokens again for each term
+    once = F.array(F.struct(*[t.alias(f"_t{i}") for i, t in enumerate(tokens)]))
+    found = notes.where(matched).select("*", F.inline(once))
     size = F.size("_t0") + F.size("_t1") + F.size("_t2")
     score, some = F.lit(0.0), F.lit(False)
     for i, (t, k) in enumerate(times.items()):
