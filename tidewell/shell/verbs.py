@@ -26,7 +26,7 @@ VALUED = {
 }
 WRAPPERS = {"sudo": "-u -g", "env": "-C -u", "timeout": "", "nice": "", "ionice": "", "nohup": "", "setsid": "", "time": "", "command": "", "exec": "", "stdbuf": "", "builtin": "", "xargs": "-I -n -P -d -a", "npx": "", "pnpx": "", "bunx": "", "!": ""}
 
-# Kinds of work by program (and first argument).
+# Kinds of work by program (and first argument), where the operation alone doesn't tell it.
 BY_SUB = {
     ("cargo npm pnpm yarn bun", "test"): "test", ("cargo", "clippy fmt"): "check", ("cargo npm pnpm yarn", "build"): "build", ("cargo npm pnpm yarn bun", "add install update i"): "install",
     ("cargo npm pnpm", "run"): "run", ("nix", "build develop"): "build", ("nix", "flake"): "install", ("nix", "run"): "run", ("kubectl", "apply rollout delete create patch scale"): "deploy",
@@ -34,12 +34,12 @@ BY_SUB = {
 }
 BY_NAME = {
     "version control": "git gh", "test": "pytest vitest jest playwright ctest nextest", "build": "cargo npm pnpm yarn go gradlew gradle tsc ng cmake make javac kotlinc swift rustc lake esbuild vite webpack nix-build",
-    "check": "clippy ruff mypy pyright eslint biome prettier ktlint stylelint shellcheck black isort clang-format ast-grep", "deploy": "helm nixos-rebuild home-manager flyctl tofu terraform k3s k3d flux argocd",
+    "check": "clippy ast-grep", "deploy": "helm nixos-rebuild home-manager flyctl tofu terraform k3s k3d flux argocd",
     "observe": "kubectl docker podman journalctl systemctl dmesg ping dig nc wg lsof ps top df uptime system_profiler launchctl printenv env nixos-version mount screen curl wget adb pgrep pkill killall kill netstat ifconfig traceroute host whois iostat vm_stat sw_vers diskutil networksetup ssh scp rsync sftp restic borg rclone probe",
-    "install": "pip pip3 uv poetry brew nix-env nix-channel direnv npx corepack", "query": "mariadb mysql psql sqlite3 redis-cli mongosh", "edit": "cp mv ln shred truncate",
-    "run": "node python python3 bash sh zsh deno bun ruby perl nix nix-shell ffmpeg xcrun osascript xargs tar unzip zip gzip openssl tsx resvg convert sips qpdf pandoc",
+    "install": "pip pip3 uv poetry brew nix-env nix-channel direnv npx corepack", "query": "mariadb mysql psql sqlite3 redis-cli mongosh",
+    "run": "perl ffmpeg xcrun osascript xargs tar unzip zip gzip openssl tsx resvg convert sips qpdf pandoc",
     "navigate": "cd ls pwd echo printf mkdir which whoami date sleep tree clear export source open hostname uname id basename dirname realpath readlink touch chmod",
-    "inspect": "cat head tail less more wc sort uniq cut tr nl column sed awk jq yq diff od xxd strings file stat du base64 rev paste comm tee bat", "search": "grep rg egrep fgrep ag ack find fd locate",
+    "inspect": "tr rev tee", "search": "find fd locate",
     "not work": "for do done then else elif if fi while until case esac in break continue return exit seq true false : [ [[ test eval set unset read wait trap shift local function yes sync type hash disown jobs su sudo exec command builtin alias",
 }
 _NAME = {n: kind for kind, names in BY_NAME.items() for n in names.split()}
@@ -102,4 +102,4 @@ def activity(argv: list[str], writes_redirect: bool, kind: str) -> str:
     name, sub = argv[0].rsplit("/", 1)[-1], argv[1] if len(argv) > 1 else ""
     if name in ("gradlew", "gradle") and any(re.search("[Tt]est|spec", w) for w in argv[1:]):
         return "test"
-    return _SUB.get((name, sub)) or _NAME.get(name) or {"read": "inspect", "stream": "inspect", "run": "run", "git": "version control", "remote": "observe", "cd": "navigate"}.get(kind, name)
+    return _SUB.get((name, sub)) or _NAME.get(name) or {"read": "inspect", "stream": "inspect", "walk": "search", "check": "check", "run": "run", "git": "version control", "remote": "observe", "cd": "navigate"}.get(kind, name)
