@@ -114,6 +114,29 @@ def test_dropout_decodes_and_varies(bpe):
     assert len(kinds) > 3
 
 
+def test_each_occurrence_has_its_own_draws():
+    """A word of one merge is cut in a tenth of its occurrences, and a longer one has more than a few forms."""
+    path = vocabulary("piece_bpe_32k.model")
+    bpe = merge_dropout.MergeDropout(path, 0.1, seed=3)
+    for word in ("a", "i", "s"):  # with its blank one possible merge
+        whole = len(merge_dropout.MergeDropout(path, 0.0).encode([word])[0])
+        assert whole == 1
+        got = bpe.encode([" ".join([word] * 5000)] * 4, [1, 2, 3, 4])
+        assert all(0.085 < (len(x) - 5000) / 5000 < 0.115 for x in got)
+    forms = {tuple(bpe.encode(["understanding"], [k])[0].tolist()) for k in range(3000)}
+    assert len(forms) > 20
+
+
+def test_shared_ids_are_those_of_the_occurrence(bpe):
+    """Taking the kept ids gives what the segmentation of every occurrence on its own gives."""
+    alone = merge_dropout.MergeDropout(vocabulary("piece_bpe_32k.model"), 0.2, seed=9)
+    alone.merges.of = lambda slots: (np.arange(len(slots)), np.zeros(len(slots), np.uint64))
+    alone._skipped = lambda key, place: np.ones(len(place), bool) if not place.any() else bpe[1]._skipped(key, place)
+    texts = [t or "" for t in fuzz(500)] + ["the international understanding of the whole " * 40]
+    keys = list(range(len(texts)))
+    assert [x.tolist() for x in bpe[1].encode(texts, keys)] == [x.tolist() for x in alone.encode(texts, keys)]
+
+
 def test_vectorised_and_agenda_agree(bpe, monkeypatch):
     texts = ["internationalisation understanding thereafter " * 3, "ab" * 20, "élèves aïeux"]
     short = bpe[1].encode(texts, [1, 2, 3])

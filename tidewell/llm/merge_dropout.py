@@ -1,11 +1,14 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoding.
 
 Candidate merges are taken from the agenda best first; each is skipped when a keyed hash of (seed,
-variant, word, place of the merge) falls below the dropout rate, so a seed always gives the same
-segmentation and other seeds or variants give others. Without dropout the ids are the library's.
+document, place of the word, word, place of the merge) falls below the dropout rate, so a seed always
+gives the same segmentation and every occurrence of a word has its own draws. Without dropout the ids
+are the library's.
 
-Words (with their leading blanks) are segmented once for each distinct word and variant: short
-ones all at once with numpy, long ones by an agenda (heap) each.
+Words (with their leading blanks) are segmented without dropout once for each distinct word, and the
+merges made are kept with the ids. An occurrence that skips none of these takes the ids (skipping a
+merge that isn't made changes nothing); any other occurrence is segmented on its own. Short words are
+segmented all at once with numpy, long ones by an agenda (heap) each.
 """
 
 from __future__ import annotations
@@ -23,15 +26,45 @@ from .common import text_batches
 from .pretokens import Memo, vocabulary
 
 BLANK = "▁"
-#: Segmentations that a word may take; which one an occurrence takes is a keyed hash of document and place.
-VARIANTS = 4
 #: Words of more characters go by an agenda of their own.
 LONG = 48
 _NONE = np.int64(1) << 40
 
 
+def _place(start, mid, end) -> np.ndarray:
+    """One number for a merge's place in its word."""
+    return start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mid.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+
+
+class Merges:
+    """Places of the merges made in each slot of a memo, in flat arrays."""
+
+    def __init__(self):
+        self.n = self.used = 0
+        self.at, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint64)
+
+    def add(self, size: np.ndarray, flat: np.ndarray) -> None:
+        n, m = self.n, len(size)
+        if n + m > len(self.at):
+            grown = max(2 * len(self.at), n + m)
+            self.at, self.size = np.resize(self.at, grown), np.resize(self.size, grown)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(flat)))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.size[n : n + m] = size
+        self.at[n : n + m] = self.used + np.cumsum(size) - size
+        self.n, self.used = n + m, self.used + len(flat)
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each merge of each slot: which of the slots, and its place."""
+        size = self.size[slots]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - self.at[slots], size)
+        return np.repeat(np.arange(len(slots)), size), self.pool[at]
+
+
 class MergeDropout:
-    def __init__(self, path: str, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = 0.1, seed: int = 1):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,13 +100,11 @@ class MergeDropout:
         self.pair = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in sorted(pairs)], np.int64)
         self.skip_below = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
-        self.seed, self.variants = np.uint64(seed), variants
         self._salt = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
-        self.memo = Memo()
+        self.memo, self.merges = Memo(), Merges()
 
-    def _skipped(self, key, start, mid, end):
-        h = words.mix(key + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mid.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        return h < self.skip_below
+    def _skipped(self, key, place):
+        return words.mix(key + place) < self.skip_below
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
@@ -81,8 +112,8 @@ class MergeDropout:
         at = np.minimum(np.searchsorted(self.pair, k), len(self.pair) - 1)
         return np.where((self.pair[at] == k) & (left >= 0) & (right >= 0), self.merged[at], -1)
 
-    def _agenda(self, ids: np.ndarray, key: np.uint64) -> list[tuple[int, int]]:
-        """One word by its agenda: (piece or -1, first character) of each symbol."""
+    def _agenda(self, ids: np.ndarray, key: np.uint64 | None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """One word by its agenda: (piece or -1, first character) of each symbol, and the places of the merges made."""
         n = len(ids)
         sym, nxt, prv = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list = []
@@ -95,32 +126,38 @@ class MergeDropout:
                 return
             e = np.array([nxt[x] for x in j.tolist()], np.int64)
             m = self._join(np.array([sym[x] for x in i.tolist()], np.int64), np.array([sym[x] for x in j.tolist()], np.int64))
-            ok = (m >= 0) & ~self._skipped(key, i, j, e)
+            ok = m >= 0
+            if key is not None:
+                ok &= ~self._skipped(key, _place(i, j, e))
             for a, b, c, d in zip(i[ok].tolist(), j[ok].tolist(), e[ok].tolist(), m[ok].tolist(), strict=True):
                 heapq.heappush(heap, (int(self.rank[d]), a, b, c, d))
 
         offer(np.arange(n))
-        alive = [True] * n
+        alive, made = [True] * n, []
         while heap:
             _, i, j, e, m = heapq.heappop(heap)
             if not (alive[i] and j < n and alive[j] and nxt[i] == j and nxt[j] == e):
                 continue
             sym[i], nxt[i], alive[j] = m, e, False
+            made.append((i, j, e))
             if e < n:
                 prv[e] = i
             offer([x for x in (prv[i], i) if x >= 0])
-        return [(sym[i], i) for i in range(n) if alive[i]]
+        return [(sym[i], i) for i in range(n) if alive[i]], _place(*np.array(made, np.int64).reshape(-1, 3).T)
 
-    def _segment(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and all ids in order."""
+    def _segment(self, texts: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids in order; the same of the merges made. Without keys none is skipped."""
         chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(t) for t in texts], np.int64)
         first = np.concatenate(([0], np.cumsum(size)))
         ids = self.char_id[chars].astype(np.int64)
         keep = np.ones(len(ids), bool)
+        made_of, made = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for w in np.flatnonzero(size > LONG).tolist():
             a, b = first[w], first[w + 1]
-            found = self._agenda(ids[a:b], keys[w])
+            found, places = self._agenda(ids[a:b], None if keys is None else keys[w])
+            made_of.append(np.full(len(places), w))
+            made.append(places)
             keep[a:b] = False
             for s, i in found:
                 keep[a + i], ids[a + i] = True, s
@@ -136,8 +173,10 @@ class MergeDropout:
             end = np.where(np.append(w[1:] == w[:-1], False), after, size[w])
             ok = m >= 0
             same, m = same[ok], m[ok]
-            ok = ~self._skipped(keys[w[same]], start[same], start[same + 1], end[same + 1])
-            same, m = same[ok], m[ok]
+            place = _place(start[same], start[same + 1], end[same + 1])
+            if keys is not None:
+                ok = ~self._skipped(keys[w[same]], place)
+                same, m, place = same[ok], m[ok], place[ok]
             if not len(same):
                 break
             ww = w[same]
@@ -148,15 +187,19 @@ class MergeDropout:
             best = np.flatnonzero(value == np.repeat(least, np.diff(np.append(group, len(ww)))))
             left, right = live[same[best]], live[same[best] + 1]
             ids[left], keep[right] = m[best], False
+            made_of.append(ww[best])
+            made.append(place[best])
             busy = np.zeros(len(texts), bool)
             busy[ww[best]] = True
             live = live[busy[w] & keep[live]]
+        of = np.concatenate(made_of)
+        merges = np.bincount(of, minlength=len(texts)), np.concatenate(made)[np.argsort(of, kind="stable")]
         at = np.flatnonzero(keep)
         got, w = ids[at], word[at]
         miss = np.flatnonzero(got < 0)
         n = np.ones(len(at), np.int64)
         if not len(miss):
-            return np.bincount(w, minlength=len(texts)), got.astype(np.int32)
+            return np.bincount(w, minlength=len(texts)), got.astype(np.int32), *merges
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in chars[at[miss]].tolist()]
         n[miss] = [len(r) for r in raw]
         flat = np.zeros(int(n.sum()), np.int32)
@@ -164,16 +207,17 @@ class MergeDropout:
         flat[begin[got >= 0]] = got[got >= 0]
         for b, r in zip(begin[miss].tolist(), raw, strict=True):
             flat[b : b + len(r)] = self.byte_id[list(r)]
-        return np.bincount(w, weights=n, minlength=len(texts)).astype(np.int64), flat
+        return np.bincount(w, weights=n, minlength=len(texts)).astype(np.int64), flat, *merges
 
     def encode(self, texts: list[str | None], keys: list[int] | None = None) -> list[np.ndarray]:
-        """Ids (int32) of each text; ``keys`` (of documents, say) choose among the variants."""
+        """Ids (int32) of each text; ``keys`` (of documents, say) and places choose the merges to skip."""
         out = [np.zeros(0, np.int32)] * len(texts)
         full = [i for i, t in enumerate(texts) if t]
         if not full:
             return out
         if self.memo.n > self.memo.bound:
             self.memo.reset()
+            self.merges = Merges()
         raw = [b" " + texts[i].encode("utf-8", "surrogatepass") for i in full]
         buf, at = words.join_texts(raw, sep=b"")
         gap = buf == 0x20
@@ -184,16 +228,34 @@ class MergeDropout:
         n = np.diff(np.append(np.searchsorted(starts, at), len(starts)))
         doc = np.array([(keys[i] if keys and keys[i] is not None else 0) & (2**64 - 1) for i in full], np.uint64)
         place = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-        pick = words.mix(words.mix(np.repeat(doc, n) ^ self._salt) + place.astype(np.uint64))
-        variant = pick % np.uint64(self.variants)
-        hashed = words.mix(words.hash_runs(buf, starts, ends) + (variant + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        hashed = words.hash_runs(buf, starts, ends)
+        data = buf.tobytes()
+
+        def spelled(new: np.ndarray) -> list[str]:
+            return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
 
         def learn(new: np.ndarray):
-            data = buf.tobytes()
-            spelled = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            return self._segment(spelled, words.mix(hashed[new] ^ self.seed))
+            size, ids, *merges = self._segment(spelled(new), None)
+            self.merges.add(*merges)
+            return size, ids
 
-        flat, total = self.memo.flat(self.memo.slots(hashed, learn))
+        slots = self.memo.slots(hashed, learn)
+        key = words.mix(words.mix(words.mix(np.repeat(doc, n) ^ self._salt) + place.astype(np.uint64)) ^ hashed)
+        of, made = self.merges.of(slots)
+        own = np.zeros(len(slots), bool)
+        own[of[self._skipped(key[of], made)]] = True
+        own = np.flatnonzero(own)
+        size = self.memo.size[slots]
+        if len(own):
+            size[own], ids, *_ = self._segment(spelled(own), key[own])
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = np.zeros(total[-1], np.int32)
+        shared = np.ones(len(slots), bool)
+        shared[own] = False
+        fill = np.repeat(shared, size)
+        flat[fill] = self.memo.flat(slots[shared])[0]
+        if len(own):
+            flat[~fill] = ids
         stop = np.cumsum(n)
         for i, a, b in zip(full, total[stop - n].tolist(), total[stop].tolist(), strict=True):
             out[i] = flat[a:b]
