@@ -151,3 +151,11 @@ def test_naming_and_turns(spark):
     n = spark.createDataFrame([("s", "a", None, "p1", 1), ("s", "b", "a", None, 2), ("s", "c", "b", None, 3), ("s", "x", "y", None, 4), ("s", "y", "x", None, 5)], "session string, uuid string, parent string, prompt string, line_no int")
     assert {r.uuid: r.turn for r in turns.inherit(n).collect()} == {"a": "p1", "b": "p1", "c": "p1", "x": "x", "y": "y"}
     assert {r.uuid for r in turns.in_cycles(n).collect()} == {"x", "y"}
+
+
+def test_turns_far_below_their_prompt(spark):
+    deep = [("s", f"m{i}", f"m{i - 1}" if i else None, "p" if i == 0 else None, i) for i in range(150)]
+    other = [("s", f"o{i}", f"o{i - 1}", None, i) for i in range(70)] + [("t", "m1", "m0", None, 1), ("s", "x", "y", None, 1), ("s", "y", "x", None, 2)]
+    n = spark.createDataFrame(deep + other, "session string, uuid string, parent string, prompt string, line_no int")
+    got = {(r.session, r.uuid): r.turn for r in turns.inherit(n).collect()}
+    assert got == {("s", f"m{i}"): "p" for i in range(150)} | {(s, u): u for s, u, *_ in other}

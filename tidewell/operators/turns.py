@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 
-def inherit(nodes: DataFrame, depth: int = 64, save=None) -> DataFrame:
+
+def inherit(nodes: DataFrame, save=None) -> DataFrame:
     """(session, uuid, turn): the nearest promptId at or above a message, else its own uuid.
 
     ``nodes`` have session, uuid, parent, prompt and line_no; of several parents the last counts.
-    Each round doubles the distance looked at, so ``depth`` levels take log2(depth) joins; a cycle
-    simply finds nothing. ``save`` may cut the lineage between rounds.
+    Each round doubles the distance looked at, until no message without a turn has an ancestor left
+    to look at; as no chain is longer than the number of messages, its log2 bounds the rounds, and
+    what then has none hangs on a cycle and finds nothing. ``save`` cuts the lineage between rounds.
     """
+    save = save or Scratch(nodes.sparkSession, "turns").table
     one = nodes.groupBy("session", "uuid").agg(F.max_by("parent", F.when(F.col("parent").isNotNull(), F.col("line_no"))).alias("up"), F.max_by("prompt", F.when(F.col("prompt").isNotNull(), F.col("line_no"))).alias("turn"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
+    one = save(one)
+    for _ in range((one.count() - 1).bit_length()):
+        if one.where("turn IS NULL AND up IS NOT NULL").isEmpty():
+            break
         above = one.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("turn").alias("turn2"))
         one = one.join(above, ["session", "up"], "left").select("session", "uuid", F.when(F.col("turn").isNull(), F.col("up2")).alias("up"), F.coalesce("turn", "turn2").alias("turn"))
-        one = save(one) if save else one
+        one = save(one)
     return one.select("session", "uuid", F.coalesce("turn", "uuid").alias("turn"))
 
 

@@ -215,7 +215,7 @@ def turn_inheritance(spark, d):
     uuid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     parent = F.when(F.col("turn") > 0, F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))
     n = c.select(F.col("conv_id").alias("session"), uuid.alias("uuid"), parent.alias("parent"), F.when(F.col("role") == "user", F.concat(F.lit("p"), "turn")).alias("prompt"), F.col("turn").alias("line_no"))
-    return turns.inherit(n, depth=32)
+    return turns.inherit(n, _save(spark))
 
 
 @query(f"SELECT src, dst, relation, CAST(pos AS INT) AS pos FROM {EDGES}")
