@@ -1,6 +1,6 @@
 """Documents to packed training windows: five stages, each written and read again before the next.
 
-1. language ID: rows whose language isn't known (``und``, or flagged with a low score) go;
+1. language ID: rows whose language isn't known (``und``, or flagged as a near tie) go;
 2. exact deduplication: of equal texts the row with the least doc_id stays;
 3. near-deduplication: of each component of near-duplicates the least doc_id stays;
 4. personal data: spans are replaced by their kind's name;

@@ -47,6 +47,18 @@ def test_language(spark, talk):
     assert language.identify(docs.limit(0), language.train(docs.limit(0))).count() == 0
 
 
+def test_near_ties_of_two_languages_go(spark, talk):
+    model = language.fit([t for _, t, _ in talk], [lang for _, _, lang in talk])
+    rng = random.Random(8)
+    one, two = say(rng, "en", 2000).split(), say(rng, "fr", 2000).split()
+    texts = [" ".join(one[:k] + two[k:]) for k in (0, *range(850, 1200), 2000)]
+    names, score, flag = model.decode(texts)
+    assert names[0] == "fr" and names[-1] == "en" and not flag[[0, -1]].any()
+    assert flag.any() and score[flag].min() > 0.3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in language.keep_known(docs, model).collect()} == set(np.flatnonzero(~flag).tolist())
+
+
 def test_a_bit_error_is_corrected(talk):
     model = language.fit([t for _, t, _ in talk], [x for _, _, x in talk])
     broken = model.shift.copy()

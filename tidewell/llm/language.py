@@ -150,16 +150,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` in a language that the model knows: not ``und``, not flagged with a score below ``least``."""
+def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of ``docs`` in a language that the model knows: neither ``und`` nor flagged as a near tie."""
     spark = docs.sparkSession
     text_batches(spark)
     sent, at, schema = spark.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
 
     def run(batches):
         for b in batches:
-            names, score, flag = sent.value.decode(b.column(at).to_pylist())
-            ok = [n != UNKNOWN and not (f and s < least) for n, s, f in zip(names, score, flag, strict=True)]
+            names, _, flag = sent.value.decode(b.column(at).to_pylist())
+            ok = [n != UNKNOWN and not f for n, f in zip(names, flag, strict=True)]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
