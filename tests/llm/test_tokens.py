@@ -35,6 +35,15 @@ def test_word_pieces_are_the_librarys():
     assert w.count(texts[:50]).tolist() == [len(x) for x in want[:50]]
 
 
+def test_counts_come_from_frequencies():
+    w, whole = WordPieces(vocabulary(), ids=False), WordPieces(vocabulary())
+    texts = ["the cat the dog the", None, "the", "ΣΑΣ the ΣΑΣ"]
+    text, slot, n = w.frequencies(texts)
+    assert len(set(zip(text.tolist(), slot.tolist()))) == len(n) and sorted(n[text == 0].tolist()) == [1, 1, 3] and n[text == 2].tolist() == [1]
+    assert w.count(fuzz(500)).tolist() == whole.count(fuzz(500)).tolist() == [len(x) for x in whole.encode(fuzz(500))]
+    assert w.memo.n and not w.memo.used  # no ids are kept
+
+
 def test_counts(spark):
     w = WordPieces(vocabulary()).tokenizer
     got = token_counts(docs(spark, fuzz(300)), limit=20).collect()

@@ -135,16 +135,20 @@ class Memo:
 
 
 class WordPieces:
-    def __init__(self, path: str):
+    """With ``ids`` false only numbers of pieces are kept, for counting."""
+
+    def __init__(self, path: str, ids: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = {t: self.tokenizer.token_to_id(t) for t in ("<|startoftext|>", "<|endoftext|>")}
-        self.memo = Memo()
+        self.memo, self.ids = Memo(), ids
 
     def _pieces(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and flat ids of pre-tokens, spelled in the model's alphabet."""
+        if not self.ids:
+            return np.fromiter((len(self.model.tokenize(w)) if w not in self.special else 1 for w in spelled), np.int64, len(spelled)), np.zeros(0, np.int32)
         ids = [[t.id for t in self.model.tokenize(w)] if w not in self.special else [self.special[w]] for w in spelled]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return size, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
@@ -158,7 +162,7 @@ class WordPieces:
                 out += [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))]
         return out
 
-    def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def occurrences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per pre-token of all texts its slot in the memo; per text their number.
 
         The third is the texts' order in the first two: the plain texts, then the others.
@@ -199,20 +203,23 @@ class WordPieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(slots), np.concatenate(counts), np.array(plain + other, np.int64)
 
+    def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, slot in the memo) and how often the text has that pre-token."""
+        slots, counts, order = self.occurrences(texts)
+        pair, n = np.unique(np.repeat(order, counts) << 32 | slots, return_counts=True)
+        return pair >> 32, pair & 0xFFFFFFFF, n
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Number of tokens of each text: pieces of distinct pre-tokens times their frequencies, no ids."""
         out = np.zeros(len(texts), np.int64)
-        slots, counts, order = self.frequencies(texts)
-        if len(order):
-            total = np.concatenate(([0], np.cumsum(self.memo.size[slots])))
-            ends = np.cumsum(counts)
-            out[order] = total[ends] - total[ends - counts]
+        text, slot, n = self.frequencies(texts)
+        np.add.at(out, text, self.memo.size[slot] * n)
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids (int32) of each text."""
         out = [np.zeros(0, np.int32)] * len(texts)
-        slots, counts, order = self.frequencies(texts)
+        slots, counts, order = self.occurrences(texts)
         if not len(order):
             return out
         flat, total = self.memo.flat(slots)
@@ -223,9 +230,9 @@ class WordPieces:
 
 
 @lru_cache(maxsize=2)
-def word_pieces(path: str) -> WordPieces:
+def word_pieces(path: str, ids: bool = True) -> WordPieces:
     """One memo in each Python worker."""
-    return WordPieces(path)
+    return WordPieces(path, ids)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

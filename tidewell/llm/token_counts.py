@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, vocab: str | None = None, limit: int = 2048) -
     text_batches(docs.sparkSession, rows=1024)
 
     def run(batches):
-        pieces = word_pieces(vocab or vocabulary())
+        pieces = word_pieces(vocab or vocabulary(), ids=False)
         for b in batches:
             texts = b.column("text").to_pylist()
             n = pieces.count(texts)
