@@ -179,6 +179,16 @@ def test_tagger_and_masking(spark, tagger):
     assert pii.personal_data(docs.limit(0), tagger).count() == 0
 
 
+def test_carriers_come_from_anywhere_in_long_texts(spark, monkeypatch):
+    texts = ["".join(f"{k:08d}" for k in range(12_500))] * 40 + ["short", "y" * 20_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", lambda carriers: carriers)
+    got = pii.train_on(docs)
+    assert len(got) == len(texts) and got[40:] == ["short", "y" * 20_000, ""]
+    begins = [texts[0].index(c) for c in got[:40]]
+    assert all(len(c) == 20_000 for c in got[:40]) and min(begins) < 20_000 and max(begins) > 60_000 and len(set(begins)) > 30
+
+
 def test_windows_cover_all_anchors_and_reconcile():
     t = "x" * 500 + "12345 " * 60 + "y" * 500 + "@"
     spans = pii.windows_of(t)

@@ -28,6 +28,8 @@ WINDOW, STEP, AROUND = 96, 48, 32
 HIDDEN, EMBED = 16, 12
 #: Documents whose text carries the training spans, at most; windows trained on.
 CARRIERS, WINDOWS = 300, 1280
+#: Characters of a carrier that go to the driver, at most.
+CARRIED = 20_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -389,8 +391,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train_on(docs: DataFrame, bound: int = CARRIERS) -> Tagger:
-    """Trains on at most ``bound`` texts (picked by hash of the id) as carriers of labelled spans."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text"), 1, 20_000).alias("text"))
+    """Trains on at most ``bound`` texts (picked by hash of the id) as carriers of labelled spans.
+
+    Of a text of more than CARRIED characters so many go to the driver, from a place anywhere in it
+    that the hash of id and text gives.
+    """
+    text = F.col("text").cast("string")
+    begin = F.pmod(F.xxhash64("doc_id", text), F.greatest(F.length(text) - CARRIED, F.lit(0)) + 1) + 1
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, begin.cast("int"), F.lit(CARRIED)).alias("text"))
     rows = texts_of(docs.sparkSession, plain, sample_ids(plain, bound)).collect()
     return train([r["text"] or "" for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
