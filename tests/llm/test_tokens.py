@@ -98,6 +98,17 @@ def test_packer_keeps_a_fixed_number_of_windows():
     assert np.mean(out) > 97
 
 
+def test_leftovers_of_all_groups_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 2)
+    d = spark.createDataFrame([(i, "the " * 20) for i in range(45)], "doc_id long, text string").repartition(9)
+    got = packing.pack(d, Scratch(spark, "t")).collect()
+    assert len({r.sequence_id for r in got}) == 1 and {r.doc_id for r in got} == set(range(45))
+    at = 0
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == at
+        at += r.length
+
+
 @pytest.fixture(scope="module")
 def bpe():
     path = vocabulary("piece_bpe_32k.model")

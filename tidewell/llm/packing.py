@@ -124,10 +124,11 @@ def _pack(vocab: str | None, size: int, end_id: int):
 def _merge(size: int):
     """Best fit of leftover windows (window, used) into shared ones; one row per leftover.
 
-    ``windows`` come a bounded number at a time; the window that stays open last goes to the next level.
+    Windows come a bounded number at a time (``grp``); the emptiest shared one goes to the next level,
+    as all others are more than half full.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         left = sorted(zip(t.column("used").to_pylist(), t.column("window").to_pylist(), strict=True), reverse=True)
         bins: list[list] = []  # [room, name]
         window, into, shift = [], [], []
@@ -139,7 +140,7 @@ def _merge(size: int):
             window.append(name), into.append(b[1]), shift.append(size - b[0])
             b[0] -= used
         used_of = {b[1]: size - b[0] for b in bins}
-        return pa.table({"window": pa.array(window, pa.int64()), "into": pa.array(into, pa.int64()), "shift": pa.array(shift, pa.int64()), "used": pa.array([used_of[x] for x in into], pa.int64())})
+        return pa.table({"window": pa.array(window, pa.int64()), "into": pa.array(into, pa.int64()), "shift": pa.array(shift, pa.int64()), "used": pa.array([used_of[x] for x in into], pa.int64()), "grp": pa.array([key[0].as_py()] * len(into), pa.int64())})
 
     return run
 
@@ -156,8 +157,16 @@ def pack(docs: DataFrame, scratch: Scratch, vocab: str | None = None, size: int
     # leftovers: one window of each partition, FAN partitions to a group
     left = pieces.where("partial = 1").groupBy("window", "part").agg(F.sum("length").alias("used"))
     left = left.select("window", "used", F.floor(F.col("part") / FAN).alias("grp"))
-    placed = left.groupBy("grp").applyInArrow(_merge(size), "window long, into long, shift long, used long")
-    placed = scratch.table(placed.select("window", "into", "shift"), "placed")
+    merged = "window long, into long, shift long, used long, grp long"
+    placed, level = scratch.table(left.groupBy("grp").applyInArrow(_merge(size), merged), "placed"), 0
+    while placed.where("grp > 0").limit(1).count():  # the emptiest of each group, FAN groups to a group
+        level += 1
+        upper = F.floor(F.col("grp") / FAN).alias("grp")
+        left = placed.groupBy("grp").agg(F.min_by("into", F.struct("used", "into")).alias("window"), F.min("used").alias("used")).select("window", "used", upper)
+        above = left.groupBy("grp").applyInArrow(_merge(size), merged).selectExpr("window AS into", "into AS top", "shift AS more", "used AS sum")
+        placed = placed.join(above, "into", "left").select("window", F.coalesce("top", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), F.coalesce("sum", "used").alias("used"), upper)
+        placed = scratch.table(placed, f"placed{level}")
+    placed = placed.select("window", "into", "shift")
     moved = pieces.where("partial = 1").join(placed, "window").select(*[c for c in pieces.columns if c not in ("window", "offset")], F.col("into").alias("window"), (F.col("offset") + F.col("shift")).alias("offset"))
     out = pieces.where("partial = 0").unionByName(moved)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("window").alias("sequence_id"), "offset")
