@@ -32,7 +32,7 @@ def odd_docs(spark, seed=3):
             texts.append(rng.choice([" ", "\n", "\t "]).join(v))
     texts += [None, None, "", " ", "\t\n", "one", "ONE", "one two three", "one  two\nthree", "w " * 30_000, "w " * 30_000 + "end"]
     rows = [(i * 3, t, None, "d", 1, "k") for i, t in enumerate(texts)]
-    rows += [rows[0], rows[5], (None, texts[0], "en", None, None, None)]
+    rows += [rows[0], rows[5], (rows[2][0], rows[7][1], None, "d", 1, "k"), (-4, rows[9][1], None, "d", 1, "k"), (-4, rows[11][1], None, "d", 1, "k"), (None, texts[0], "en", None, None, None)]
     rng.shuffle(rows)
     return spark.createDataFrame(rows, DOCS)
 
@@ -84,19 +84,21 @@ def test_near(spark, width):
     got = near_dedup.near_groups(docs, Scratch(spark, "t"), width=width).collect()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert collections.Counter((r.doc_id, r.n_shingles) for r in got) == collections.Counter((i, len(shingles(t, width))) for i, t in rows)
-    sets = {i: shingles(t, width) for i, t in rows if i is not None}
-    up = {i: i for i in sets}
+    texts = collections.defaultdict(list)  # a doc_id may have several
+    for i, t in rows:
+        if i is not None:
+            texts[i].append(shingles(t, width))
+    up = {i: i for i in texts}
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(sets)
+    ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            if any(x & y and 100 * len(x & y) >= 80 * len(x | y) for x in texts[a] for y in texts[b]):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
     assert all(r.component_id == (None if r.doc_id is None else top(r.doc_id)) for r in got)
@@ -116,6 +118,48 @@ def test_near_large_mixed_bucket(spark):
     assert set(got.values()) == {0}
 
 
+def test_near_words_that_power_sums_confuse(spark):
+    from .test_tokens import thue_morse
+
+    a, b = thue_morse()
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + " z z z"), (4, b + " z z z")], "doc_id long, text string")
+    got = near_dedup.near_groups(docs, Scratch(spark, "t"), width=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_shingles_that_share_half_a_digest(monkeypatch):
+    from tidewell.llm import words
+
+    x = np.array([[1, 1, 5], [7, 8, 9]], np.uint64)
+    y = words.distinct_pairs(np.array([5, 1, 1, 1], np.uint64), np.array([9, 8, 7, 8], np.uint64))
+    assert y.tolist() == x.tolist()
+    assert near_dedup.similar(x, y, 100) and not near_dedup.similar(x, np.array([[1, 1, 5], [6, 8, 9]], np.uint64), 80)
+
+
+def test_near_blocks_of_any_size(spark, monkeypatch):
+    """Small blocks find what one block finds."""
+    rng = random.Random(6)
+    word = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(word)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(60)] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, Scratch(spark, "t"), width=2).collect()}
+    whole = run()
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    assert run() == whole
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 9000)
+    assert run() == whole
+    sets = {i: shingles(t, 2) for i, t in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert whole[i] == whole[j]
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_empty_tables(spark, empty):
     docs = spark.createDataFrame([] if empty else [(1, None, None, None, None, None)], DOCS)

@@ -169,3 +169,35 @@ def test_encode_pieces(spark):
     got = merge_dropout.digests(merge_dropout.encode_pieces(docs(spark, fuzz(200)))).collect()
     assert len(got) == len(fuzz(200)) and all(r.decoded for r in got)
     assert merge_dropout.encode_pieces(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def thue_morse(n=10):
+    """Two words of 2**n letters over {a, b} that agree in every sum of powers: each is the other with its letters changed."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_power_sums_confuse(spark, bpe):
+    a, b = thue_morse()
+    w = WordPieces(vocabulary())
+    for pair in ([a, b], ["é " + a, "漢 " + b]):
+        assert [x.tolist() for x in w.encode(pair)] == [e.ids for e in w.tokenizer.encode_batch(pair, add_special_tokens=False)]
+        assert [bpe[1].decode(x) for x in bpe[1].encode(pair, [1, 2])] == pair
+    got = {r.doc_id: r for r in packing.pack(docs(spark, ["", a, b]), Scratch(spark, "t")).collect()}
+    for i, t in ((1, a), (2, b)):
+        assert got[i].ids_crc32 == zlib.crc32(np.array([*w.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
+def test_equal_digests_are_told_apart(monkeypatch):
+    """With digests of three values every look-up meets strangers, and ids are still the library's."""
+    from tidewell.llm import words
+
+    plain = words.Runs.digests
+    monkeypatch.setattr(words.Runs, "digests", lambda self, halves=1: [x % np.uint64(3) for x in plain(self, halves)])
+    w = WordPieces(vocabulary())
+    texts = fuzz(200) + ["x" * 300, "y" * 300, "漢" * 200]
+    want = [e.ids for e in w.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        assert [x.tolist() for x in w.encode(texts)] == want

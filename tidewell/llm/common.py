@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -21,21 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 256, mb: int = 16) -> None:
+def text_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of whole texts holds in a Python worker, and sends the package there.
 
-    The plan reads these settings when it runs, so they stay set in the session.
+    The plan reads these settings when it runs, so they stay set in the session; they are the same
+    for all operators, so none changes what another's plan finds.
     """
     ship(spark)
-    spark.conf.set(ARROW_ROWS, str(rows))
-    with contextlib.suppress(Exception):
-        spark.conf.set(ARROW_BYTES, f"{mb}m")
+    spark.conf.set(ARROW_ROWS, "512")
+    spark.conf.set(ARROW_BYTES, "16m")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of its own only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, one of its own in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -76,6 +77,19 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).collect()
 
 
+def join_counted(big: DataFrame, small: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join on ``key`` with a table that holds each key once and in ``n`` the rows that ``big`` has for it.
+
+    Keys with more than a thousandth of all rows (and more than 256) can be at most a thousand; they
+    are broadcast, so their rows stay where they are. All others meet by a shuffle.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(small.where(F.col(n) > max(256, total // 1000)))
+    cold = small.where(F.col(n) <= max(256, total // 1000))
+    rest = big.join(hot.select(key), key, "left_anti").join(cold, key)
+    return big.join(hot, key).unionByName(rest)
+
+
 def split_rest(col: Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo ``mod``: the fixed split of learning and held-out rows."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_counted
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -13,20 +13,20 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, scratch: Scratch) -> DataFrame:
     """One star step over edges (u, v) with u > v.
 
     The least neighbour of a node comes from a plain grouped minimum, which combines before the
-    shuffle, and is joined back; so a node with very many neighbours is never gathered in one task.
+    shuffle, and is joined back; the rows of nodes with very many neighbours are not shuffled for it.
     """
     if small:
         around = edges
     else:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     if not small:
-        least = least.select("u", F.least("u", "m").alias("m"))
-    hung = around.join(least, "u")
+        least = least.select("u", F.least("u", "m").alias("m"), "n")
+    hung = join_counted(around, scratch.table(least, "least"), "u")
     if small:  # all lower neighbours, and the node itself, hang on the least
         moved = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
     else:  # all higher neighbours hang on the least of the node and its neighbours
@@ -45,7 +45,8 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", m
     for _ in range(most):
         if not state[0]:
             break
-        after = scratch.table(_star(_star(now, small=False), small=True), "star")
+        large = scratch.table(_star(now, False, scratch), "large")
+        after = scratch.table(_star(large, True, scratch), "star")
         scratch.drop(now)
         now, was, state = after, state, _state(after)
         if state == was:

@@ -228,7 +228,8 @@ class MergeDropout:
         n = np.diff(np.append(np.searchsorted(starts, at), len(starts)))
         doc = np.array([(keys[i] if keys and keys[i] is not None else 0) & (2**64 - 1) for i in full], np.uint64)
         place = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-        hashed = words.hash_runs(buf, starts, ends)
+        runs = words.Runs(buf, starts, ends)
+        hashed = runs.digests()[0]
         data = buf.tobytes()
 
         def spelled(new: np.ndarray) -> list[str]:
@@ -239,7 +240,7 @@ class MergeDropout:
             self.merges.add(*merges)
             return size, ids
 
-        slots = self.memo.slots(hashed, learn)
+        slots = self.memo.slots(runs, learn, hashed)
         key = words.mix(words.mix(words.mix(np.repeat(doc, n) ^ self._salt) + place.astype(np.uint64)) ^ hashed)
         of, made = self.merges.of(slots)
         own = np.zeros(len(slots), bool)

@@ -1,7 +1,8 @@
 """Near-duplicate documents: universal hash minima, banding, signature check, full check, components.
 
-The links that count are those confirmed on full shingle sets. MinHash only proposes pairs: with
-``BANDS`` bands of ``ROWS`` minima a pair of similarity 0.8 is missed with probability 5e-8.
+The links that count are those confirmed on full shingle sets (of 128-bit digests). MinHash only
+proposes pairs: with ``BANDS`` bands of ``ROWS`` minima a pair of similarity 0.8 is missed with
+probability 1e-7, and by the signature check with about 1e-8.
 """
 
 from __future__ import annotations
@@ -15,34 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, is_empty, text_batches
+from .common import Scratch, is_empty, join_counted, text_batches
 from .components import components
 
-ROWS, BANDS = 4, 32
+ROWS, BANDS = 6, 53
 #: Pairs whose signatures agree on a smaller share are not looked at further (0.8 less 5.6 deviations).
-LEAST_AGREE = 0.6
-#: Documents on either side of a block of comparisons.
-BLOCK = 512
-#: A family (documents joined by shared buckets) of more nodes is compared bucket by bucket instead.
-FAMILY = 50_000
+LEAST_AGREE = 0.675
+#: Rows, and bytes of their sets, on either side of a block of comparisons.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 
 
 def _coefficients(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 2**63, n, dtype=np.uint64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 _A, _B = _coefficients(ROWS * BANDS)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Minima of ROWS * BANDS universal (multiply-shift) hashes of a set of 64-bit numbers."""
+    """Minima of ROWS * BANDS universal (linear, modulo 2**32) hashes of a set of digests."""
+    x = (s[0] >> np.uint64(32)).astype(np.uint32)
     best = np.full(len(_A), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(s), 2048):
-        part = s[at : at + 2048]
-        h = (_A[:, None] * part[None, :] + _B[:, None]) >> np.uint64(32)
-        best = np.minimum(best, h.min(axis=1).astype(np.uint32))
+    for at in range(0, len(x), 256):
+        np.minimum(best, (_A[:, None] * x[None, at : at + 256] + _B[:, None]).min(axis=1), out=best)
     return best
 
 
@@ -55,19 +52,28 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
     return h
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal minima for each pair of rows of two signature matrices."""
-    return (x == y).mean(axis=-1)
+def short(sigs: np.ndarray) -> np.ndarray:
+    """The low byte of each minimum: enough to tell how far two signatures agree (unlike minima agree by chance in 1 of 256)."""
+    return sigs.astype(np.uint8)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, on two sorted arrays of distinct numbers."""
-    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+    """100 * intersection >= percent * union, on two sets of digests as ``words.shingle_sets`` gives them."""
+    n, m = x.shape[1], y.shape[1]
+    if not n or not m or percent * max(n, m) > 100 * min(n, m):
         return False
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum()) if len(y) else 0
-    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+    at = np.searchsorted(y[0], x[0])
+    at[at == m] = 0
+    high = y[0][at] == x[0]
+    low = high & (y[1][at] == x[1])
+    both = int(low.sum())
+    if both != int(high.sum()):  # equal halves of different digests
+        both = len(set(zip(*x.tolist(), strict=True)) & set(zip(*y.tolist(), strict=True)))
+    return 100 * both >= percent * (n + m - both)
+
+
+def _sets(col) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64).reshape(2, -1) for x in col.to_pylist()]
 
 
 def _sign(width: int):
@@ -78,56 +84,93 @@ def _sign(width: int):
             sets = words.shingle_sets(b.column("text").to_pylist(), width)
             digests, bands, made = [], [], {}
             for s in sets:
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.shape[1] else None
                 if d is not None and d not in made:  # copies within a batch share their bands
                     made[d] = band_keys(signature(s)[None, :])[0].view(np.int64)
                 digests.append(d), bands.append(made.get(d))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _full(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("bands", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for b in batches:
             sets = words.shingle_sets(b.column("text").to_pylist(), width)
-            sigs = pa.array([signature(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sigs = [signature(s) for s in sets]
+            keys = [band_keys(s[None, :])[0].astype(np.uint32).tobytes() for s in sigs]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([short(s).tobytes() for s in sigs], pa.binary()), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema
+            )
 
     return run
 
 
-def _signatures(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(len(col), len(_A))
+def _bytes(col, kind, n: int) -> np.ndarray:
+    """A column of equally long binaries as a matrix."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(len(col), n)
 
 
-def _confirm(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _near(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(rows == one, axis=1) >= LEAST_AGREE * len(_A)
+
+
+def _likely(batches):
+    """Pairs whose signatures agree far enough."""
+    for b in batches:
+        x, y = (_bytes(b.column(c), np.uint8, len(_A)) for c in ("sa", "sb"))
+        ok = pa.array(_near(x, y), pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
 
+def _confirm(percent: int):
     def run(batches):
         for b in batches:
-            likely = agreement(_signatures(b.column("sa")), _signatures(b.column("sb"))) >= LEAST_AGREE
-            # the signatures first, then the full sets
-            ok = [bool(k) and similar(np.frombuffer(f.as_py(), np.uint64), np.frombuffer(g.as_py(), np.uint64), percent) for k, f, g in zip(likely, b.column("fa"), b.column("fb"), strict=True)]
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], schema=schema)
+            ok = pa.array([similar(f, g, percent) for f, g in zip(_sets(b.column("fa")), _sets(b.column("fb")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
 
+class _Block:
+    """One block of a bucket: minor rows against home rows, and which pairs are to be looked at."""
+
+    def __init__(self, t: pa.Table):
+        self.rep, self.comp, self.home, self.minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home", "minor"))
+        self.sig, self.bands = _bytes(t.column("sig"), np.uint8, len(_A)), _bytes(t.column("bands"), np.uint32, BANDS)
+        self.pos = t.column("pos")[0].as_py()
+        self.rows, self.others = np.flatnonzero(self.home), np.flatnonzero(~self.home)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Home rows of other components that are likely near row i and meet it first in this bucket."""
+        # two minor rows meet twice; the greater looks at the lesser
+        other = self.rows[(self.comp[self.rows] != self.comp[i]) & (~self.minor[self.rows] | (self.rep[self.rows] < self.rep[i]))]
+        other = other[_near(self.sig[other], self.sig[i])]
+        return other[(self.bands[other] == self.bands[i]).argmax(axis=1) == self.pos]
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """The rows of a block that have a partner in it."""
+    b = _Block(t)
+    some = np.zeros(len(b.rep), bool)
+    for i in b.others.tolist():
+        other = b.partners(i)
+        some[other] = True
+        some[i] |= len(other) > 0
+    return t.select(["band", "hb", "mb", "pos", "rep", "comp", "minor", "home"]).filter(pa.array(some))
+
+
 def _cross(percent: int):
-    """Confirmed links between different components in one block: minor rows against home rows.
+    """Confirmed links between different components in one block, on full sets.
 
-    Pairs are tried best signature first, and not at all once their components hang together here;
-    so the links that come out are fewer than the rows, while no pair that could join two components
-    goes untested.
+    Pairs are not tried once their components hang together here; so the links that come out are
+    fewer than the rows, while no pair that could join two components goes untested.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        rep, comp, home, minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home", "minor"))
-        sigs, sets = _signatures(t.column("sig")), [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        b, sets = _Block(t), _sets(t.column("shingles"))
         up: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -135,32 +178,29 @@ def _cross(percent: int):
                 c = up[c]
             return c
 
-        rows, out = np.flatnonzero(home), []
-        for i in np.flatnonzero(~home).tolist():
-            # two minor rows meet twice; the greater looks at the lesser
-            other = rows[(comp[rows] != comp[i]) & (~minor[rows] | (rep[rows] < rep[i]))]
-            share = agreement(sigs[other], sigs[i])
-            near = np.flatnonzero(share >= LEAST_AGREE)
-            for j in other[near[np.argsort(-share[near], kind="stable")]].tolist():
-                a, b = top(int(comp[i])), top(int(comp[j]))
-                if a != b and similar(sets[i], sets[j], percent):
-                    up[max(a, b)] = min(a, b)
-                    out.append((int(rep[i]), int(rep[j])))
+        out = []
+        for i in b.others.tolist():
+            for j in b.partners(i).tolist():
+                x, y = top(int(b.comp[i])), top(int(b.comp[j]))
+                if x != y and similar(sets[i], sets[j], percent):
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(b.rep[i]), int(b.rep[j])))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures and then full sets are similar enough.
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose signatures agree and whose full sets, sent for those alone, are similar enough."""
 
-    Nothing above the joins needs the rows of an end together, so a large star's join can be split
-    where it is skewed.
-    """
-    left = full.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("fa"))
-    right = full.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "fa", "fb")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    def ends(of: DataFrame, col: str, name: str) -> DataFrame:
+        out = of
+        for end in ("a", "b"):
+            out = out.join(full.select(F.col("rep").alias(end), F.col(col).alias(name + end)), end)
+        return out
+
+    likely = scratch.table(ends(pairs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    return ends(likely, "shingles", "f").select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _nearest(star: DataFrame) -> DataFrame:
@@ -170,53 +210,29 @@ def _nearest(star: DataFrame) -> DataFrame:
     return best.select(F.col("rep").alias("a"), (-F.col("best.low")).alias("b"))
 
 
-def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of a forest in which each node a hangs on at most one lesser node b: pointer jumping."""
-    now = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    while True:
-        up = now.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = scratch.table(now.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"), F.col("up").isNotNull().alias("moved")), "roots")
-        now = step.select("node", "component")
-        if is_empty(step.where("moved")):
-            return now
-
+def _rest(mixed: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between different components of the nodes that share a bucket: none that counts is left out.
 
-def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components after further links: those of the graph between components, put through."""
-    of = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    ends = links
-    for end in ("a", "b"):
-        ends = ends.join(of, ends[end] == of["n"], "left").withColumn(end, F.coalesce("c", end)).drop("n", "c")
-    over = scratch.table(components(ends, scratch), "over")
-    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
-    single = over.join(comp.select("node"), "node", "left_anti")  # roots, and nodes that had no links
-    return scratch.table(moved.select("node", F.coalesce("least", "component").alias("component")).unionByName(single), "merged")
-
-
-def _rest(now: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links between different components of the nodes that share a mixed bucket: none that counts is left out.
-
-    ``now`` holds band, rep, first and comp. A family is compared once, not once for each of its
-    buckets; one of more than FAMILY nodes is compared bucket by bucket. In each, the rows outside
-    its largest component (minor) meet all its rows (home), BLOCK by BLOCK of either.
+    ``mixed`` holds band, pos, rep, n_shingles and comp. In each bucket the rows outside its largest
+    component (minor) meet all its rows (home), block by block of either; a pair is looked at in its
+    first common bucket only. Signatures meet first; sets go only to the blocks in which their row
+    has a partner.
     """
-    family = scratch.table(components(now.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), scratch), "family")
-    size = family.groupBy("component").agg(F.count("*").alias("n"))
-    family = family.join(size, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), (F.col("n") > FAMILY).alias("large"))
-    small = now.select("rep", "comp").distinct().join(family.where("NOT large"), "rep").select(F.concat(F.lit("f"), "family").alias("key"), "rep", "comp")
-    large = now.join(family.where("large"), "rep").select(F.concat(F.lit("b"), "band").alias("key"), "rep", "comp").distinct()
-    rows = scratch.table(small.unionByName(large), "rows")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nh"), F.greatest(F.ceil((F.col("all") - F.col("main.n")) / BLOCK), F.lit(1)).cast("int").alias("nm"))
-    rows = rows.join(main, "key").withColumn("minor", F.col("comp") != F.col("main"))
+    rows = mixed.withColumn("w", F.col("n_shingles") * 16 + len(_A) + 4 * BANDS)
+    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES), F.lit(1)).cast("int")
+    main = main.select("band", F.col("main.comp").alias("main"), "n", parts(F.col("n"), F.col("w")).alias("nh"), parts(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("nm"))
+    rows = join_counted(rows, scratch.table(main, "main"), "band").withColumn("minor", F.col("comp") != F.col("main"))
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cols = ("key", "rep", "comp", "minor", "home", "hb", "mb")
+    cols = ("band", "pos", "rep", "comp", "minor", "home", "hb", "mb")
     as_home = rows.withColumn("home", F.lit(True)).withColumn("hb", mine("nh")).withColumn("mb", F.explode(all_of("nm"))).select(*cols)
     as_minor = rows.where("minor").withColumn("home", F.lit(False)).withColumn("mb", mine("nm")).withColumn("hb", F.explode(all_of("nh"))).select(*cols)
-    sent = as_home.unionByName(as_minor).join(full, "rep")
-    return sent.groupBy("key", "hb", "mb").applyInArrow(_cross(percent), "a long, b long")
+    signed = as_home.unionByName(as_minor).join(full.select("rep", "sig", "bands"), "rep")
+    kept = "band long, hb int, mb int, pos int, rep long, comp long, minor boolean, home boolean"
+    met = scratch.table(signed.groupBy("band", "hb", "mb").applyInArrow(_meet, kept), "met")
+    return met.join(full, "rep").groupBy("band", "hb", "mb").applyInArrow(_cross(percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
@@ -224,44 +240,53 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
 
     Texts are linked when 100 * intersection >= percent * union of their sets of ``width``-word
     shingles. Null, empty and blank texts have no shingles and are linked with nothing, as are rows
-    without doc_id (their component_id is null, and they are kept). Repeated rows have the same
-    component; a doc_id with several texts has in each row the component of that row's text. Any
-    length of text is read whole.
+    without doc_id (their component_id is null, and they are kept). Rows of one doc_id are one
+    document, whose links are those of all its texts. An empty table gives an empty result; further
+    columns are ignored. Any length of text is read whole.
 
     Documents with equal sets are one node, named by the least doc_id. Each node is first compared
     with the one least node of its buckets that it shares most of them with (a star, not all pairs).
-    Buckets that still hold several components are then compared in full: the nodes that such
-    buckets join form families, and within each all pairs of different components are tested, in
-    blocks of bounded size, whatever their number.
+    In buckets that then still hold several components all pairs of different components are
+    tested, in blocks of bounded size.
     """
     text_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.table(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    nodes = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = signed.join(nodes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
+    able = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    nodes = scratch.table(signed.where(able).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    member = join_counted(signed.where(able), nodes, "digest").select("doc_id", "digest", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     member = scratch.table(member, "member")
-    scratch.drop(signed)
-    banded = member.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("band"))
-    bucket = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    banded = scratch.table(banded.join(bucket, "band").select("band", "rep", "first"), "banded")
+    banded = member.where("bands IS NOT NULL").select("rep", "n_shingles", F.posexplode("bands").alias("pos", "band"))
+    bucket = scratch.table(banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "bucket")
+    banded = scratch.table(join_counted(banded, bucket, "band").select("band", "pos", "rep", "n_shingles", "first"), "banded")
     busy = banded.select(F.col("rep").alias("doc_id")).distinct()
-    full = scratch.table(plain.join(busy, "doc_id", "left_semi").mapInArrow(_full(width), "rep long, sig binary, shingles binary"), "full")
+    full = scratch.table(plain.join(busy, "doc_id", "left_semi").mapInArrow(_full(width), "rep long, sig binary, bands binary, shingles binary"), "full")
 
+    # a document of several texts hangs together by its id
+    several = member.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    own = member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     first = banded.where("rep > first").select("rep", F.col("first").alias("heart"))
-    comp = _roots(scratch.table(_confirmed(_nearest(first), full, percent).distinct(), "links"), scratch)
+    links = scratch.table(_confirmed(_nearest(first), full, percent, scratch).unionByName(own), "links")
+    comp = scratch.table(components(links, scratch), "component")
     # buckets in which more than one component is left
-    now = banded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "first", F.coalesce("component", "rep").alias("comp"))
-    mixed = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    now = scratch.table(now.join(mixed, "band"), "mixed")
+    now = banded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "pos", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    now = scratch.table(now, "now")
+    mixed = scratch.table(now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high"), "several")
+    now = scratch.table(join_counted(now, mixed, "band").drop("low", "high", "n"), "mixed")
     if not is_empty(now):
         new = scratch.table(_rest(now, full, percent, scratch), "links")
         if not is_empty(new):
-            comp = _merged(comp, new, scratch)
-    out = member.join(comp, member["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+            comp = scratch.table(components(links.unionByName(new), scratch), "component")
+    joined = member.select("doc_id", "n_shingles", "rep").join(comp, member["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    alone = signed.where(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component that with the least doc_id."""
-    drop = near_groups(docs, scratch, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns: of each component that with the least doc_id.
+
+    Rows without shingles or without doc_id stay, and so do all rows of a doc_id that stays; an empty
+    table stays empty.
+    """
+    drop = near_groups(docs, scratch, width, percent).where("NOT kept").select(F.col("doc_id").alias("_drop_id")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["_drop_id"], "left_anti").select(*docs.columns)

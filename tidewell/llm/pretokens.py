@@ -82,7 +82,11 @@ def split_runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """Ids of distinct strings, by 64-bit hash: learned once, kept in flat arrays, bounded."""
+    """Ids of distinct strings: learned once, kept in flat arrays, bounded.
+
+    Strings are looked up by 64-bit digest and then compared byte by byte with what the slot was
+    learned from; one that meets another's digest gets a slot of its own.
+    """
 
     def __init__(self, bound: int = MEMO):
         self.bound = bound
@@ -90,27 +94,49 @@ class Memo:
 
     def reset(self) -> None:
         self.direct, self.direct_slot = np.zeros(1 << DIRECT, np.uint64), np.zeros(1 << DIRECT, np.int32)
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known strings
+        self.keys = np.zeros(0, np.uint64)  # sorted digests of known strings
         self.slot = np.zeros(0, np.int64)
         self.at, self.size, self.pool, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0, 0
+        self.text_at, self.text_size, self.blocks, self.text_used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint64), 0
+        self.clash: dict[bytes, int] = {}
 
-    def _add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+    def _append(self, runs: words.Runs, new: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Slots for the strings at places ``new``, with their ids and bytes."""
         n, m = self.n, len(size)
+        long = -(-runs.size[new] // 8)
         if n + m > len(self.at):
-            grown = max(2 * len(self.at), n + m)
-            self.at, self.size = np.resize(self.at, grown), np.resize(self.size, grown)
+            for name in ("at", "size", "text_at", "text_size"):
+                setattr(self, name, np.resize(getattr(self, name), max(2 * len(self.at), n + m) if name == "at" else len(self.at)))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(flat)))
+        if self.text_used + int(long.sum()) > len(self.blocks):
+            self.blocks = np.resize(self.blocks, max(2 * len(self.blocks), self.text_used + int(long.sum())))
         self.pool[self.used : self.used + len(flat)] = flat
         self.size[n : n + m] = size
         self.at[n : n + m] = self.used + np.cumsum(size) - size
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.slot = np.insert(self.slot, where, np.arange(n, n + m))
-        self.n, self.used = n + m, self.used + len(flat)
-
-    def slots(self, hashed: np.ndarray, learn) -> np.ndarray:
-        """The slot of each string; ``learn(i)`` gives sizes and flat ids of the new ones, at places i of ``hashed``."""
+        self.text_size[n : n + m] = runs.size[new]
+        self.text_at[n : n + m] = self.text_used + np.cumsum(long) - long
+        for k, live in runs.levels(new):
+            self.blocks[self.text_at[n + live] + k] = runs.block(new[live], k)
+        for i in np.flatnonzero(runs.size[new] > words.SHORT).tolist():
+            at = self.text_at[n + i]
+            self.blocks[at : at + long[i]] = np.frombuffer(runs.bytes(new[i]).ljust(8 * int(long[i]), b"\0"), np.uint64)
+        self.n, self.used, self.text_used = n + m, self.used + len(flat), self.text_used + int(long.sum())
+        return np.arange(n, n + m)
+
+    def _same(self, runs: words.Runs, slot: np.ndarray) -> np.ndarray:
+        """Whether each string has the bytes that its slot was learned from."""
+        ok = self.text_size[slot] == runs.size
+        for k, live in runs.levels(np.arange(len(slot))):
+            ok[live] &= self.blocks[np.minimum(self.text_at[slot[live]] + k, len(self.blocks) - 1)] == runs.block(live, k)
+        for i in np.flatnonzero(ok & (runs.size > words.SHORT)).tolist():
+            at, size = self.text_at[slot[i]], runs.size[i]
+            ok[i] = self.blocks[at : at - (-size // 8)].tobytes()[:size] == runs.bytes(i)
+        return ok
+
+    def slots(self, runs: words.Runs, learn, digest: np.ndarray | None = None) -> np.ndarray:
+        """The slot of each string; ``learn(i)`` gives sizes and flat ids of the new ones, at places i of ``runs``."""
+        hashed = runs.digests()[0] if digest is None else digest
         place = (hashed >> np.uint64(64 - DIRECT)).astype(np.int64)
         slot = self.direct_slot[place].astype(np.int64)
         missed = np.flatnonzero(self.direct[place] != hashed)
@@ -119,12 +145,21 @@ class Memo:
             spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
             fresh = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
             if fresh.any():
-                self._add(keys[fresh], *learn(missed[where[fresh]]))
+                new = missed[where[fresh]]
+                made = self._append(runs, new, *learn(new))
+                at = np.searchsorted(self.keys, keys[fresh])
+                self.keys, self.slot = np.insert(self.keys, at, keys[fresh]), np.insert(self.slot, at, made)
             found = self.slot[np.searchsorted(self.keys, keys)]
             slot[missed] = found[inverse]
             place = (keys >> np.uint64(64 - DIRECT)).astype(np.int64)
             free = self.direct[place] == 0
             self.direct[place[free]], self.direct_slot[place[free]] = keys[free], found[free]
+        for i in np.flatnonzero(~self._same(runs, slot)).tolist():  # another string has its digest
+            word = runs.bytes(i)
+            if word not in self.clash:
+                one = np.array([i])
+                self.clash[word] = int(self._append(runs, one, *learn(one))[0])
+            slot[i] = self.clash[word]
         return slot
 
     def flat(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,15 +222,15 @@ class WordPieces:
                 raw = buf.tobytes()
                 return self._pieces([raw[a:b].decode("latin-1").translate(_STAND_IN) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
 
-            slots.append(self.memo.slots(words.hash_runs(buf, starts, ends), learn))
+            slots.append(self.memo.slots(words.Runs(buf, starts, ends), learn))
             counts.append(np.diff(np.append(np.searchsorted(starts, at), len(starts))))
         if other:
             split = [self._library_split(texts[i]) for i in other]
             distinct = sorted({w for x in split for w in x})
-            # their keys are apart from those above: other letters, mixed once more
-            raw, at = words.join_texts([w.encode() for w in distinct])
-            hashed = words.mix(words.hash_runs(raw, at, np.append(at[1:], len(raw)) - 1)) if distinct else np.zeros(0, np.uint64)
-            found = self.memo.slots(hashed, lambda new: self._pieces([distinct[i] for i in new.tolist()]))
+            # they are spelled in the model's alphabet, so a byte that no text has keeps them apart from those above
+            raw, at = words.join_texts([b"\xff" + w.encode() for w in distinct]) if distinct else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+            runs = words.Runs(raw, at, np.append(at[1:], len(raw))[: len(at)] - 1)
+            found = self.memo.slots(runs, lambda new: self._pieces([distinct[i] for i in new.tolist()]))
             of = dict(zip(distinct, found.tolist(), strict=True))
             slots.append(np.fromiter((of[w] for x in split for w in x), np.int64))
             counts.append(np.array([len(x) for x in split], np.int64))

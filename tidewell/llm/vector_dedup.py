@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9, key:
     and is kept. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    text_batches(spark, rows=4096)
+    text_batches(spark)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(col).cast("array<double>"), lambda x: x + 0.0).alias("v"))  # -0.0 becomes 0.0
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
