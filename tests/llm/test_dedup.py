@@ -73,6 +73,17 @@ def test_drop_copies(spark):
     assert len(texts) == len(set(texts)) == len({re.sub("[\x20\x09-\x0d]+", " ", r.text or "") for r in docs.collect()})
 
 
+def test_drop_copies_of_one_id(spark, tmp_path):
+    rows = [(1, "a b", 0), (1, "a  b", 1), (None, "c d", 2), (None, "c  d", 3), (2, "e", 4), (2, "e", 4), (2, "f", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _file int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/t")
+    for d, stored in ((docs, False), (spark.read.parquet(f"{tmp_path}/t"), True)):
+        out = exact_dedup.drop_copies(d, Scratch(spark, "t"), stored=stored)
+        assert out.columns == docs.columns
+        out = out.collect()
+        assert sorted((r.doc_id or 0, re.sub(" +", " ", r.text)) for r in out) == [(0, "c d"), (1, "a b"), (2, "e"), (2, "f")]
+
+
 def shingles(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

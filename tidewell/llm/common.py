@@ -90,6 +90,22 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, n: str = "n") -> Da
     return big.join(hot, key).unionByName(rest)
 
 
+def sent(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A saved table of short keys as the small side of a semi or anti join: broadcast up to ``most`` rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_merge")
+
+
+def located(docs: DataFrame, scratch: Scratch, stored: bool) -> DataFrame:
+    """``docs`` with ``_file`` and ``_row``: where each row's content lies.
+
+    ``stored`` says that ``docs`` is a plain read of Parquet files, whose places are taken; otherwise
+    it is saved first. The places stay the same however often the table is read.
+    """
+    docs = docs if stored else scratch.table(docs, "located")
+    at = docs.metadataColumn("_metadata")
+    return docs.select("*", at["file_path"].alias("_file"), at["row_index"].alias("_row"))
+
+
 def split_rest(col: Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo ``mod``: the fixed split of learning and held-out rows."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod

@@ -1,8 +1,8 @@
 """Exact deduplication with keyed streaming state (DataFrame operations only).
 
 A table of digests is read as a stream; the state store (RocksDB, on disk, without expiry) keeps
-for each digest the number of rows, the identifier of the row that stays and its content locator.
-Hits, digests that several rows share, are then checked on their full bytes.
+for each digest the number of rows, the identifier of the row that stays and its content locator (file
+and row). Hits, digests that several rows share, are then checked on their full bytes, fetched by locator.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_empty
+from .common import Scratch, is_empty, join_counted, located, sent
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,8 +26,8 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _first(where: Column | None = None) -> Column:
-    """The row that stays: least id (nulls last), then first place in the digest table."""
+def _first() -> Column:
+    """The row that stays: least id (nulls last), then least content locator."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("locator").alias("locator")))
 
 
@@ -72,53 +72,66 @@ def stream_groups(spark: SparkSession, source: str, schema, state_dir: str, sink
 
 
 def exact_groups(
-    docs: DataFrame, scratch: Scratch, text: str = "text", digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int | None = None
+    docs: DataFrame,
+    scratch: Scratch,
+    text: str = "text",
+    digest: Callable[[Column], Column] = sha256_hex,
+    files_per_batch: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, keep_id, group_size, kept.
 
     Equal texts (after ``normalised``) form a group; the row with the least doc_id stays, and of
-    rows that repeat that id the first in the digest table. A null doc_id counts as greater than
-    any other; null text is empty; an empty table gives an empty result; further columns are
-    ignored. ``digest`` may be weak: texts that share a digest but differ in bytes are told apart.
+    rows that repeat that id the first by content locator (file and row). A null doc_id counts as
+    greater than any other; null text is empty; an empty table gives an empty result; further
+    columns are ignored. ``digest`` may be weak: texts that share a digest but differ in bytes are
+    told apart. ``stored`` tells that ``docs`` is a plain read of Parquet files (see ``located``).
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id"), normalised(F.col(text)).alias("norm"))
-    rows = scratch.table(plain.select("doc_id", digest(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("locator")), "digests")
+    plain = docs.select("doc_id", F.col(text).alias("text"))
+    return _groups(located(plain, scratch, stored), scratch, digest, files_per_batch).drop("_file", "_row")
+
+
+def _groups(placed: DataFrame, scratch: Scratch, digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int | None = None) -> DataFrame:
+    """The groups of rows with ``_file`` and ``_row``, which the result has too."""
+    spark = placed.sparkSession
+    plain = placed.select("doc_id", normalised(F.col("text")).alias("norm"), "_file", "_row")
+    where = F.struct(F.col("_file").alias("file"), F.col("_row").alias("row")).alias("locator")
+    rows = scratch.table(plain.select("doc_id", digest(F.col("norm")).alias("digest"), where), "digests")
     at = scratch.path
     path = next(iter({f.rsplit("/", 1)[0] for f in rows.inputFiles()}), None)
     groups = stream_groups(spark, path, rows.schema, f"{at}/state", f"{at}/groups", files_per_batch)
     groups = scratch.table(groups, "newest")
-    found = rows.join(groups, "digest").select(
-        "doc_id", "digest", "locator", F.col("first.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept")
-    )
+    out = ["doc_id", "digest", "keep_id", "group_size", "kept", "_file", "_row"]
+    found = join_counted(rows, groups, "digest", n="group_size").select(
+        "doc_id", "digest", F.col("first.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"),
+        F.col("locator.file").alias("_file"), F.col("locator.row").alias("_row"),
+    )
     found = scratch.table(found, "found")
 
-    # Hits: of equal digests the full bytes must be equal. Equal texts combine before the shuffle.
-    hits = found.where("group_size > 1").select("doc_id").distinct()
-    member = plain.join(hits, plain["doc_id"].eqNullSafe(hits["doc_id"]), "left_semi")
-    texts = member.groupBy("norm").agg(F.count("*").alias("n")).select(digest(F.col("norm")).alias("digest"))
+    # Hits: of equal digests the full bytes, fetched by locator, must be equal. Equal texts combine before the shuffle.
+    hits = scratch.table(found.where("group_size > 1").select("_file", "_row"), "hits")
+    texts = plain.join(sent(hits), ["_file", "_row"], "left_semi").groupBy("norm").agg(F.count("*").alias("n")).select(digest(F.col("norm")).alias("digest"))
     clash = scratch.table(texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clash")
     if is_empty(clash):
-        return found.drop("locator")
+        return found.select(*out)
     # a digest that stands for several texts: group those rows by the texts themselves
-    again = plain.withColumn("digest", digest(F.col("norm"))).withColumn("locator", F.monotonically_increasing_id())
-    again = scratch.table(again.join(clash, "digest", "left_semi").withColumn("full", sha256_hex(F.col("norm"))), "again")
-    true = again.groupBy("norm").agg(F.count("*").alias("group_size"), _first().alias("first"))
-    redone = again.join(true, "norm").select(
-        "doc_id", "digest", F.col("first.id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept")
-    )
-    return found.join(clash, "digest", "left_anti").drop("locator").select(*redone.columns).unionByName(redone)
+    again = plain.withColumn("digest", digest(F.col("norm"))).withColumn("locator", where)
+    again = scratch.table(again.join(clash, "digest", "left_semi"), "again")
+    true = scratch.table(again.groupBy("norm").agg(F.count("*").alias("group_size"), _first().alias("first")), "true")
+    redone = join_counted(again, true, "norm", n="group_size")
+    redone = redone.withColumn("keep_id", F.col("first.id")).withColumn("kept", F.col("locator") == F.col("first.locator")).select(*out)
+    return found.join(clash, "digest", "left_anti").select(*out).unionByName(redone)
 
 
-def drop_copies(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+def drop_copies(docs: DataFrame, scratch: Scratch, text: str = "text", stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the row that the state kept.
 
-    Rows that repeat an id and its text are one row of the result.
+    One row stays of each text, whatever ids repeat; nulls and ``stored`` as in ``exact_groups``. An
+    empty table stays empty.
     """
-    groups = exact_groups(docs, scratch, text)
-    stay = groups.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
-    keyed = docs.withColumn("_digest", sha256_hex(normalised(F.col(text))))
-    out = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_digest"] == stay["_stay_digest"]), "left_semi")
-    again = out.drop("_digest")
-    twice = groups.where("kept = false AND doc_id <=> keep_id")
-    return again if is_empty(twice) else again.dropDuplicates(["doc_id", text])
+    names = docs.columns
+    placed = located(docs, scratch, stored).toDF(*[f"c{i}" for i in range(len(names))], "_file", "_row")  # whatever the names are
+    id_at, text_at = (F.col(f"c{names.index(c)}") for c in ("doc_id", text))
+    groups = _groups(placed.select(id_at.alias("doc_id"), text_at.alias("text"), "_file", "_row"), scratch)
+    gone = scratch.table(groups.where("NOT kept").select("_file", "_row"), "gone")
+    return placed.join(sent(gone), ["_file", "_row"], "left_anti").drop("_file", "_row").toDF(*names)

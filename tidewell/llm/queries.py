@@ -41,7 +41,7 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
-    groups = exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    groups = exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), stored=True)
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
