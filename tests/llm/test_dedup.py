@@ -186,33 +186,46 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 9: 9, 10: 9, 11: 9, 12: 9, 13: 9}
 
 
+def brute_vectors(rows, least=0.9):
+    """(vec_id, n_links, component_id) of each row, by all pairs of distinct (id, vector)."""
+    able = lambda i, x: i is not None and x is not None and all(y is not None and np.isfinite(y) for y in x) and any(x)
+    node = sorted({(i, tuple(x)) for i, x in rows if able(i, x)})
+    x = [np.array(v) / max(abs(y) for y in v) for _, v in node]
+    x = [v / np.linalg.norm(v) for v in x]
+    near = [[b for b in range(len(node)) if a != b and len(x[a]) == len(x[b]) and x[a] @ x[b] >= least] for a in range(len(node))]
+    label = {i: i for i, _ in node}
+    for _ in range(len(node)):
+        for a, bs in enumerate(near):
+            label[node[a][0]] = min([label[node[a][0]], *(label[node[b][0]] for b in bs)])
+    at = {n: k for k, n in enumerate(node)}
+    return sorted(((i, len(near[at[i, tuple(v)]]), label[i]) if able(i, v) else (i, 0, i) for i, v in rows), key=repr)
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     rng = np.random.default_rng(1)
     d = 12
     v = [rng.normal(size=d).tolist() for _ in range(80)]
     v += [(np.array(v[i % 5]) * rng.uniform(0.1, 9) + rng.normal(size=d) * 0.12).tolist() for i in range(60)]
-    v += [v[3]] * 20 + [[0.0] * d, None, [], [float("nan")] + [1.0] * (d - 1), [None] + [1.0] * (d - 1), [float("inf")] * d, [1.0, 2.0], [1e300] * d, [1e-300] * d]
+    v += [v[3]] * 20 + [[0.0] * d, None, [], [float("nan")] + [1.0] * (d - 1), [None] + [1.0] * (d - 1), [float("inf")] * d, [1e300] * d, [1e-300] * d]
     v += [(np.eye(d)[0] * np.cos(t / 3) + np.eye(d)[1] * np.sin(t / 3)).tolist() for t in range(9)]
-    ids = [int(i) for i in rng.permutation(len(v))]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(spark.createDataFrame(list(zip(ids, v, ids)), "vec_id long, embedding array<double>, rep long"), Scratch(spark, "t")).collect()}
-    ok = [x is not None and len(x) == d and all(y is not None and np.isfinite(y) for y in x) and any(x) for x in v]
-    x = np.array([np.array(a) / max(abs(b) for b in a) if k else np.zeros(d) for a, k in zip(v, ok)])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    link = (x @ x.T >= 0.9) & np.outer(ok, ok)
-    np.fill_diagonal(link, False)
-    label = np.array(ids)
-    for _ in range(len(v)):
-        label = np.minimum(label, np.where(link, label[None, :], 10**9).min(1))
-    for i, n, c in zip(ids, link.sum(1), label):
-        assert got[i] == (n, c, i == c)
-
-
-def test_near_blocks_lose_nothing():
+    v += [[1.0, 2.0], [1.0, 2.01], [2.0, -1.0], [5.0], [7.0], [1.0, 2.0, 3.0]]  # other lengths are joined among themselves
+    rows = list(zip((int(i) for i in rng.permutation(len(v))), v, strict=True))
+    rows += [rows[0], rows[3], rows[3], (None, v[0]), (None, None)]
+    rng.shuffle(rows := [list(r) for r in rows])
+    docs = spark.createDataFrame([(i, x, 5) for i, x in rows], "vec_id long, embedding array<double>, rep long")
+    got = vector_dedup.near_vectors(docs, Scratch(spark, "t")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute_vectors(rows)
+    assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
+
+
+def test_near_intervals_lose_nothing(spark):
     rng = np.random.default_rng(2)
     low = np.sort(rng.normal(size=(40, 3)) * 3, axis=0)
     high = low + rng.uniform(0, 0.5, low.shape)
-    found = {tuple(sorted(p)) for p in vector_dedup.near_blocks(low, high, 1.0)}
+    names = [f"{s}{i}" for s in "lh" for i in range(3)]
+    boxes = spark.createDataFrame([(k, *map(float, low[k]), *map(float, high[k])) for k in range(40)], ["at", *names])
+    found = {(r.i, r.j) for r in vector_dedup.near_intervals(boxes, 40, 3, 1.0, Scratch(spark, "t")).collect()}
     gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
     near = (gap**2).sum(-1) <= 1.0
     assert found == {(i, j) for i in range(40) for j in range(i, 40) if near[i, j]}

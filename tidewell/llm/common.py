@@ -90,8 +90,8 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, n: str = "n") -> Da
     return big.join(hot, key).unionByName(rest)
 
 
-def sent(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A saved table of short keys as the small side of a semi or anti join: broadcast up to ``most`` rows, else shuffled."""
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A saved table of short keys as one side of a join: broadcast up to ``most`` rows, else shuffled."""
     return F.broadcast(df) if df.count() <= most else df.hint("shuffle_merge")
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, is_empty, join_counted, located, sent
+from .common import Scratch, is_empty, join_counted, located, small_side
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -110,7 +110,7 @@ def _groups(placed: DataFrame, scratch: Scratch, digest: Callable[[Column], Colu
 
     # Hits: of equal digests the full bytes, fetched by locator, must be equal. Equal texts combine before the shuffle.
     hits = scratch.table(found.where("group_size > 1").select("_file", "_row"), "hits")
-    texts = plain.join(sent(hits), ["_file", "_row"], "left_semi").groupBy("norm").agg(F.count("*").alias("n")).select(digest(F.col("norm")).alias("digest"))
+    texts = plain.join(small_side(hits), ["_file", "_row"], "left_semi").groupBy("norm").agg(F.count("*").alias("n")).select(digest(F.col("norm")).alias("digest"))
     clash = scratch.table(texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clash")
     if is_empty(clash):
         return found.select(*out)
@@ -134,4 +134,4 @@ def drop_copies(docs: DataFrame, scratch: Scratch, text: str = "text", stored: b
     id_at, text_at = (F.col(f"c{names.index(c)}") for c in ("doc_id", text))
     groups = _groups(placed.select(id_at.alias("doc_id"), text_at.alias("text"), "_file", "_row"), scratch)
     gone = scratch.table(groups.where("NOT kept").select("_file", "_row"), "gone")
-    return placed.join(sent(gone), ["_file", "_row"], "left_anti").drop("_file", "_row").toDF(*names)
+    return placed.join(small_side(gone), ["_file", "_row"], "left_anti").drop("_file", "_row").toDF(*names)
