@@ -111,16 +111,29 @@ def split_rest(col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def sample_ids(df: DataFrame, bound: int, seed: int = 7) -> list[int]:
-    """At most ``bound`` ids by hash order: a documented, bounded sample to fit models on."""
-    ids = df.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    rows = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound).collect()
-    return [r[0] for r in rows]
-
-
-def texts_of(spark: SparkSession, docs: DataFrame, ids: list[int]) -> DataFrame:
-    """Rows of ``docs`` for a bounded list of ids, by a join whose small side has that bound."""
-    if not ids:
-        return docs.limit(0)
-    keys = spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
-    return docs.join(F.broadcast(keys), "doc_id", "left_semi")
+#: Bytes of text that a model learns from at most, whatever the number of rows.
+LEARN_BYTES = 96 << 20
+
+
+def sample_texts(docs: DataFrame, known: DataFrame | None, bound: int, most: int = LEARN_BYTES, seed: int = 7) -> list:
+    """A bounded, documented sample to fit models on: rows (doc_id, text, and the columns of ``known``).
+
+    ``known`` has at most one row for each doc_id; without it all ids may be picked. At most
+    ``bound`` ids of ``docs`` are, by the order of their hash, as long as their texts hold at most
+    ``most`` bytes in all (a text that no longer fits is passed over). Of rows that repeat an id the
+    least text is taken; null text is empty.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("size")).where("doc_id IS NOT NULL")
+    sizes = able.select("doc_id", "size") if known is None else able.select("doc_id", "size").join(known.select("doc_id"), "doc_id", "left_semi")
+    order = sizes.groupBy("doc_id").agg(F.min("size").alias("size")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    picked, left = [], most
+    for r in order.limit(bound).collect():
+        if r["size"] <= left:
+            picked.append((r["doc_id"],))
+            left -= r["size"]
+    if not picked:
+        return []
+    keys = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long"))
+    least = able.join(keys, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("size", "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"))
+    return sorted((least if known is None else least.join(known.join(keys, "doc_id", "left_semi"), "doc_id")).collect())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import split_rest, text_batches, texts_of
+from .common import sample_texts, split_rest, text_batches
 
 SIZES, BITS = (1, 2, 3), 14
 #: Learning rows of each language, at most about so many (picked by hash of the id).
@@ -25,7 +25,12 @@ CODE_BITS = 15
 #: Share by which the best codeword must beat the next, else the text is flagged.
 MARGIN = 0.05
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals that are no decimal digits
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter: fractions, circled and Roman numerals are none."""
+    return bool(text) and any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
 
 
 def codewords(k: int, bits: int = CODE_BITS, seed: int = 5) -> np.ndarray:
@@ -65,7 +70,7 @@ class LanguageModel:
             loss[:, i] = np.logaddexp(0, -f * c) @ self.weight
         names, score, flag = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
-            if not self.names or not t or not _LETTER.search(t):
+            if not self.names or not has_letter(t):
                 names.append(UNKNOWN)
                 continue
             p = np.exp(loss[i].min() - loss[i])
@@ -116,18 +121,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, held_out: int = 2,
     """Learns from text and non-null lang of rows whose crc32(doc_id) modulo ``mod`` isn't ``held_out``.
 
     At most about ``per_language`` rows of each language are picked, by hash of their id, so a
-    language with few rows keeps them all.
+    language with few rows keeps them all; their texts are bounded in bytes too (``sample_texts``).
+    A doc_id of several languages counts for the least. Nothing to learn from gives ``und`` for all.
     """
-    spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_rest(F.col("doc_id"), mod) != held_out))
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["count"] for r in known.select("lang").groupBy("lang").count().collect()}
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("lang").cast("string")).alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return fit([], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    picked = known.select("doc_id", "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    ids = [r["doc_id"] for r in picked.select("doc_id").limit(2 * per_language * len(sizes)).collect()]
-    rows = sorted(texts_of(spark, known, ids).select("doc_id", "lang", "text").collect())
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    rows = sample_texts(docs.where("text IS NOT NULL"), picked, 2 * per_language * len(sizes))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -151,7 +155,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows of ``docs`` in a language that the model knows: neither ``und`` nor flagged as a near tie."""
+    """Rows of ``docs``, with their columns, in a language that the model knows: neither ``und`` nor flagged as a near tie.
+
+    Null and empty texts and texts without a letter go; repeated rows stay or go alike; an empty
+    table stays empty.
+    """
     spark = docs.sparkSession
     text_batches(spark)
     sent, at, schema = spark.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema

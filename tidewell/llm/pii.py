@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, text_batches, texts_of
+from .common import sample_texts, text_batches
 from .ngrams import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
@@ -394,13 +394,12 @@ def train_on(docs: DataFrame, bound: int = CARRIERS) -> Tagger:
     """Trains on at most ``bound`` texts (picked by hash of the id) as carriers of labelled spans.
 
     Of a text of more than CARRIED characters so many go to the driver, from a place anywhere in it
-    that the hash of id and text gives.
+    that the hash of id and text gives. Without any text a made-up one carries the spans.
     """
     text = F.col("text").cast("string")
     begin = F.pmod(F.xxhash64("doc_id", text), F.greatest(F.length(text) - CARRIED, F.lit(0)) + 1) + 1
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, begin.cast("int"), F.lit(CARRIED)).alias("text"))
-    rows = texts_of(docs.sparkSession, plain, sample_ids(plain, bound)).collect()
-    return train([r["text"] or "" for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    return train([r["text"] for r in sample_texts(plain, None, bound)])
 
 
 def personal_data(docs: DataFrame, model: Tagger | None) -> DataFrame:

@@ -88,7 +88,8 @@ def quality(docs: DataFrame, model: QualityModel, least: int = 1, chance: float
     """One row per row of ``docs``: doc_id, expected_grade, tails (P(grade >= k), k from 1), selected.
 
     Selected are texts whose P(grade >= least) is at least ``chance``. The whole text counts; null
-    is empty, which is scored by the cuts alone. Repeated rows each have their row.
+    is empty, which is scored by the cuts alone. Repeated rows each have their row, a null doc_id
+    stays null, further columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import sample_ids, split_rest, text_batches, texts_of
+from .common import sample_texts, split_rest, text_batches
 
 SIZES, BITS = (5, 8), 20
 #: Labelled rows to learn from, at most (picked by hash of the id).
@@ -69,18 +69,16 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 300, penalty:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, col: str, bound: int, where) -> list[tuple[int, str, int]]:
-    """At most ``bound`` (doc_id, text, label) rows in order of doc_id; null labels and ids are left out."""
-    spark = docs.sparkSession
+    """At most ``bound`` (doc_id, text, label) rows in order of doc_id, bounded in bytes too (``sample_texts``).
+
+    Null labels and ids are left out; an id of several labels has the greatest.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(where)
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    ids = sample_ids(known, bound)
-    y = {r["doc_id"]: r["y"] for r in texts_of(spark, known, ids).collect()}
-    rows = texts_of(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).collect()
-    return sorted((r["doc_id"], r["text"] or "", y[r["doc_id"]]) for r in rows)
+    return [tuple(r) for r in sample_texts(docs, known.groupBy("doc_id").agg(F.max("y").alias("y")), bound)]
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LEARN, mod: int = 5) -> ToxicModel:
-    """Learns from at most ``bound`` labelled rows whose crc32(doc_id) modulo ``mod`` isn't 0."""
+    """Learns from at most ``bound`` labelled rows whose crc32(doc_id) modulo ``mod`` isn't 0; from none it learns nothing."""
     rows = labelled(docs, labels, "toxic", bound, split_rest(F.col("doc_id"), mod) != 0)
     return fit([r[1] for r in rows], [int(r[2] > 0) for r in rows])
 
