@@ -8,7 +8,8 @@ import pytest
 
 from tidewell.llm import merge_dropout, packing
 from tidewell.llm.common import Scratch
-from tidewell.llm.pretokens import WordPieces, vocabulary
+from tidewell.llm import token_counts as token_counts_module
+from tidewell.llm.pretokens import PreTokens, WordPieces, vocabulary
 from tidewell.llm.token_counts import token_counts
 
 ODD = [None, "", " ", "don't i'll 're 'summer !'s 's's 'tis '' 'LL", "a<|endoftext|>b <|startoftext|>", "-" * 5000, "x" * 3000, "ΣΑΣ İstanbul ﬁ ½²³ 漢字 K", "ab\x00\x1c c", "▁a ▁ b", "é" * 200]
@@ -30,28 +31,38 @@ def test_word_pieces_are_the_librarys():
     want = [e.ids for e in w.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for _ in range(2):  # the second time from the memo
         assert [x.tolist() for x in w.encode(texts)] == want
-        assert w.count(texts).tolist() == [len(x) for x in want]
     w.memo.bound = 10
-    assert w.count(texts[:50]).tolist() == [len(x) for x in want[:50]]
+    assert [x.tolist() for x in w.encode(texts[:50])] == want[:50]
 
 
-def test_counts_come_from_frequencies():
-    w, whole = WordPieces(vocabulary(), ids=False), WordPieces(vocabulary())
+def test_frequencies_and_sizes():
+    w, whole = PreTokens(vocabulary()), WordPieces(vocabulary())
     texts = ["the cat the dog the", None, "the", "ΣΑΣ the ΣΑΣ"]
-    text, slot, n = w.frequencies(texts)
-    assert len(set(zip(text.tolist(), slot.tolist()))) == len(n) and sorted(n[text == 0].tolist()) == [1, 1, 3] and n[text == 2].tolist() == [1]
-    assert w.count(fuzz(500)).tolist() == whole.count(fuzz(500)).tolist() == [len(x) for x in whole.encode(fuzz(500))]
-    assert w.memo.n and not w.memo.used  # no ids are kept
-
-
-def test_counts(spark):
+    text, names, name, n = w.frequencies(texts)
+    got = {(t, names[k]): c for t, k, c in zip(text.tolist(), name.tolist(), n.tolist(), strict=True)}
+    assert len(got) == len(n) and sorted(c for (t, _), c in got.items() if t == 0) == [1, 1, 3] and [c for (t, _), c in got.items() if t == 2] == [1]
+    for bound in (10, 10**6):  # the memo begins anew, or doesn't
+        w.memo.bound = bound
+        for part in (fuzz(500)[:250], fuzz(500)[250:], fuzz(500)):
+            text, names, name, n = w.frequencies(part)
+            total = np.zeros(len(part), np.int64)
+            np.add.at(total, text, np.array(w.sizes(names), np.int64)[name] * n)
+            assert total.tolist() == [len(x) for x in whole.encode(part)]
+    assert not w.memo.used  # no ids are kept
+
+
+@pytest.mark.parametrize("hot", [200_000, 40, 0])
+def test_counts(spark, monkeypatch, hot):
+    monkeypatch.setattr(token_counts_module, "HOT", hot)  # with fewer some or all pre-tokens meet by a shuffle
     w = WordPieces(vocabulary()).tokenizer
-    got = token_counts(docs(spark, fuzz(300)), limit=20).collect()
-    rows = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got}
-    for i, t in enumerate(fuzz(300)):
-        n = len(w.encode(t or "", add_special_tokens=False).ids)
-        assert (i or None, len((t or "").encode()), n, n > 20) in rows
-    assert token_counts(docs(spark, []).limit(0)).count() == 0
+    texts = fuzz(300) + ["-" * 200 + " the"] * 300
+    rows = docs(spark, texts).unionByName(docs(spark, ["", "the same", "the same"]))
+    got = token_counts(rows.unionByName(rows.where("doc_id = 40")), Scratch(spark, "t"), limit=20).collect()
+    want = [(i or None, t or "") for i, t in enumerate([*texts])] + [(None, ""), (1, "the same"), (2, "the same")]
+    want.append(want[40])
+    sizes = [len(w.encode(t, add_special_tokens=False).ids) for _, t in want]
+    assert sorted([(i, len(t.encode()), n, n > 20) for (i, t), n in zip(want, sizes, strict=True)], key=repr) == sorted(map(tuple, got), key=repr)
+    assert token_counts(docs(spark, []).limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_packing(spark):

@@ -170,20 +170,18 @@ class Memo:
 
 
 class WordPieces:
-    """With ``ids`` false only numbers of pieces are kept, for counting."""
+    """Pre-tokens of texts, numbered in a memo, with their ids."""
 
-    def __init__(self, path: str, ids: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = {t: self.tokenizer.token_to_id(t) for t in ("<|startoftext|>", "<|endoftext|>")}
-        self.memo, self.ids = Memo(), ids
+        self.memo = Memo()
 
     def _pieces(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and flat ids of pre-tokens, spelled in the model's alphabet."""
-        if not self.ids:
-            return np.fromiter((len(self.model.tokenize(w)) if w not in self.special else 1 for w in spelled), np.int64, len(spelled)), np.zeros(0, np.int32)
         ids = [[t.id for t in self.model.tokenize(w)] if w not in self.special else [self.special[w]] for w in spelled]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return size, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
@@ -238,19 +236,6 @@ class WordPieces:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(slots), np.concatenate(counts), np.array(plain + other, np.int64)
 
-    def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, slot in the memo) and how often the text has that pre-token."""
-        slots, counts, order = self.occurrences(texts)
-        pair, n = np.unique(np.repeat(order, counts) << 32 | slots, return_counts=True)
-        return pair >> 32, pair & 0xFFFFFFFF, n
-
-    def count(self, texts: list[str | None]) -> np.ndarray:
-        """Number of tokens of each text: pieces of distinct pre-tokens times their frequencies, no ids."""
-        out = np.zeros(len(texts), np.int64)
-        text, slot, n = self.frequencies(texts)
-        np.add.at(out, text, self.memo.size[slot] * n)
-        return out
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids (int32) of each text."""
         out = [np.zeros(0, np.int32)] * len(texts)
@@ -264,10 +249,41 @@ class WordPieces:
         return out
 
 
+class PreTokens(WordPieces):
+    """Pre-tokens by name only: the BPE model is asked for their number of pieces alone, and apart from the texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.names: list[str] = []
+
+    def _pieces(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.memo.n:  # the memo is new, or began anew
+            self.names = []
+        self.names += spelled
+        return np.zeros(len(spelled), np.int64), np.zeros(0, np.int32)
+
+    def frequencies(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Distinct (text, pre-token) and how often the text has it; pre-tokens are places in a list of names."""
+        slots, counts, order = self.occurrences(texts)
+        pair, n = np.unique(np.repeat(order, counts) << 32 | slots, return_counts=True)
+        distinct, name = np.unique(pair & 0xFFFFFFFF, return_inverse=True)
+        return pair >> 32, [self.names[i] for i in distinct.tolist()], name, n
+
+    def sizes(self, names: list[str]) -> list[int]:
+        """Number of pieces of each pre-token."""
+        return [1 if w in self.special else len(self.model.tokenize(w)) for w in names]
+
+
 @lru_cache(maxsize=2)
-def word_pieces(path: str, ids: bool = True) -> WordPieces:
+def word_pieces(path: str) -> WordPieces:
     """One memo in each Python worker."""
-    return WordPieces(path, ids)
+    return WordPieces(path)
+
+
+@lru_cache(maxsize=2)
+def pre_tokens(path: str) -> PreTokens:
+    """One memo of names in each Python worker."""
+    return PreTokens(path)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

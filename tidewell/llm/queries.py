@@ -48,7 +48,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), stored=True)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
