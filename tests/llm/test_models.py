@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import language, ngrams, pii, quality, toxicity
 
@@ -220,7 +221,7 @@ def test_base_spans_are_the_patterns():
 
 @pytest.fixture(scope="module")
 def tagger(talk):
-    return pii.train([t for _, t, _ in talk], windows=640, rounds=8)
+    return pii.train([t for _, t, _ in talk])
 
 
 def test_gradients():
@@ -257,7 +258,42 @@ def test_tagger_and_masking(spark, tagger):
     out = {r.doc_id: r for r in pii.masked(docs, tagger).collect()}
     assert out[0].text == "mail <EMAIL> or <PHONE> to <IP>" and out[0].n_chars == len(out[0].text)
     assert out[1].text == texts[1] and out[2].text is None
-    assert pii.personal_data(docs.limit(0), tagger).count() == 0
+    assert pii.personal_data(docs.limit(0), tagger).count() == 0 and pii.masked(docs.limit(0), tagger).count() == 0
+    twice = pii.masked(docs.where("doc_id = 0").unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))), tagger).collect()
+    assert len({r.text for r in twice}) == 1 and twice[0].spans == "x"
+
+
+def test_added_spans_are_found_in_held_out_texts(tagger):
+    """Recall of spans that the base doesn't hold, whole and of the right kind, and few additions to look-alikes."""
+    rng, words = np.random.default_rng(99), random.Random(7)
+    found, of, wrong, none = {0: 0, 2: 0, 3: 0}, {0: 0, 2: 0, 3: 0}, 0, 0
+    for _ in range(900):
+        kind, made = pii._made_span(rng)
+        before, after = say(words, words.choice(sorted(SYLLABLES)), 12) + " ", " " + say(words, "en", 12)
+        base, added = pii.find([before + made + after], tagger)[0]
+        span = (len(before), kind, len(before) + len(made))
+        if kind is None:
+            none, wrong = none + 1, wrong + bool(added)
+        elif not any(a < span[2] and span[0] < b for a, _, b in base) and pii.valid(kind, made):
+            of[kind] += 1
+            found[kind] += span in added
+    assert min(of.values()) > 20 and all(found[k] >= 0.9 * of[k] for k in of), (found, of)
+    assert wrong <= 0.03 * none
+
+
+def test_longest_span_lies_whole_in_a_window():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, pii.LONGEST)
+        anchor = rng.randrange(n)
+        text = "a" * rng.randint(0, 300) + "7 " * rng.randint(0, 90)
+        a, text = len(text), text + "b" * anchor + "@" + "b" * (n - anchor - 1) + "c" * rng.randint(0, 300)
+        assert any(x <= a and a + n <= y and (x < a or first) and (a + n < y or last) for x, y, first, last in pii.windows_of(text))
+
+
+def test_forms_that_the_base_leaves(tagger):
+    for text, span in (("call (974) 555-3436 now", (5, 3, 19)), ("mail jörg@müller.de please", (5, 0, 19)), ("ring 030 1234 5678 90 today", (5, 3, 21))):
+        assert pii.find([text], tagger)[0] == ([], [span])
 
 
 def test_carriers_come_from_anywhere_in_long_texts(spark, monkeypatch):

@@ -283,7 +283,8 @@ def encode_pieces(docs: DataFrame, vocab: str | None = None, dropout: float = 0.
     """One row per row of ``docs``: doc_id, ids, decoded (whether decoding the ids gave the text again).
 
     Null and empty texts have no ids and decode to the empty text. The whole text is segmented; rows
-    that repeat a doc_id and its text get the same ids; further columns are ignored.
+    that repeat a doc_id and its text get the same ids; a null doc_id draws as 0 does; further
+    columns are ignored; an empty table gives an empty result.
     """
     text_batches(docs.sparkSession)
 

@@ -149,7 +149,8 @@ def pack(docs: DataFrame, scratch: Scratch, vocab: str | None = None, size: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its text and then ``end_id``; null and empty texts have that id
-    alone. Every row of ``docs``, repeated ones too, is packed; an empty table gives no pieces.
+    alone. Every row of ``docs``, repeated ones and those without doc_id too, is packed; an empty
+    table gives no pieces; further columns are ignored.
     """
     text_batches(docs.sparkSession)
     plain = docs.selectExpr("cast(doc_id AS long) doc_id", "cast(text AS string) text")

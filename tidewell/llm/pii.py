@@ -23,11 +23,13 @@ from .common import sample_texts, text_batches
 from .ngrams import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
-#: Window length, step between windows, and how far around an anchor the model looks.
-WINDOW, STEP, AROUND = 96, 48, 32
-HIDDEN, EMBED = 16, 12
+#: The longest span that the model may add; windows overlap by it, and reach so far on either side of
+#: an anchor, so every such span lies whole in a window.
+LONGEST = 64
+WINDOW, STEP, AROUND = 2 * LONGEST, LONGEST, LONGEST
+HIDDEN, EMBED = 20, 12
 #: Documents whose text carries the training spans, at most; windows trained on.
-CARRIERS, WINDOWS = 300, 1280
+CARRIERS, WINDOWS = 300, 1600
 #: Characters of a carrier that go to the driver, at most.
 CARRIED = 20_000
 
@@ -87,17 +89,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_LONGER = (
+    re.compile(r"\w[\w.%+-]*@\w[\w-]*(?:\.\w[\w-]*)+"),
+    re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
+    re.compile(r"[0-9]+(?:[ .-][0-9]+)*"),
+    re.compile(r"\+?\(?[0-9](?:[ ().-]*[0-9])*"),
+)
+
+
 def valid(kind: int, s: str) -> bool:
-    """Whether an added span can be of its kind at all."""
+    """Whether an added span can be of its kind at all: the base's forms, freer in letters and signs."""
+    if len(s) > LONGEST or not _LONGER[kind].fullmatch(s):
+        return False
     d = _digits(s)
-    if kind == 0:
-        return "@" in s and " " not in s and "." in s.rpartition("@")[2] and bool(re.fullmatch(r"[^@]+@[^@]*\w", s))
     if kind == 1:
-        p = s.split(".")
-        return len(p) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in p)
+        return all(x.isascii() and len(x) <= 3 and int(x) <= 255 for x in s.split("."))
     if kind == 2:
-        return 14 <= len(d) <= 19 and bool(re.fullmatch("[0-9 .-]+", s)) and luhn(d) and len(set(d)) > 2
-    return 10 <= len(d) <= 15 and bool(re.fullmatch(r"\+?[0-9 ().-]*[0-9]", s)) and bool(re.search("[ ().-]", s))
+        return 14 <= len(d) <= 19 and luhn(d) and len(set(d)) > 2
+    if kind == 3:
+        most = 15 if s[0] == "+" or d[:2] == "00" else 13
+        return 10 <= len(d) <= most and len(d) < len(s) and s.count("(") == s.count(")") and len(set(d)) > 2
+    return True
 
 
 # characters fall into classes: some signs for themselves, digits, hex and other letters by case
@@ -234,22 +246,31 @@ def labels_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
 def _made_span(rng: np.random.Generator) -> tuple[int | None, str]:
     """A made-up span and its kind, or a look-alike that is of none."""
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
-    pick = int(rng.integers(0, 10))
-    if pick < 2:
-        local = word(int(rng.integers(2, 9))) + rng.choice([".", "_", "+", "-", ""]) + num(int(rng.integers(0, 3)))
-        return 0, f"{local}@{word(5)}{num(1)}.{rng.choice(['com', 'org', 'net', 'example.com', 'de', 'co.uk'])}"
-    if pick < 4:
+    some = lambda a, b: int(rng.integers(a, b))
+    pick = lambda *of: of[some(0, len(of))]
+    letters = pick("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzäöüéèñçß", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    word = lambda n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    what = some(0, 12)
+    if what < 3:
+        local = word(some(2, 9)) + pick(".", "_", "+", "-", "") + word(some(0, 7)) + num(some(0, 3))
+        return 0, f"{local.strip('.-_+')}@{word(some(2, 12))}{pick('', '-' + word(4), '.' + word(3))}.{pick('com', 'org', 'net', 'example.com', 'de', 'co.uk', 'fr', 'info')}"
+    if what < 4:
         return 1, ".".join(str(x) for x in rng.integers(0, 256, 4))
-    if pick < 6:
-        d = num(int(rng.integers(13, 19)))
+    if what < 6:
+        d = num(some(13, 19))
         d = next(d + str(c) for c in range(10) if luhn(d + str(c)))
-        sep = rng.choice(["", " ", "-"])
-        return 2, sep.join(d[i : i + 4] for i in range(0, len(d), 4))
-    if pick < 8:
-        a, b, c = num(3), num(3), num(4)
-        return 3, str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(2)} {a} {b} {c}", f"{a}.{b}.{c}"]))
-    return None, str(rng.choice([f'token = "{hashlib.sha1(num(9).encode()).hexdigest()}"', f"20{num(2)}-0{num(1)}-1{num(1)}", f"v{num(1)}.{num(1)}.{num(1)}", f"{num(5)} items", f"Version {num(1)}.0", f"{num(2)}:{num(2)}:{num(2)}", f"= {num(3)}.{num(2)} +"]))
+        return 2, pick("", " ", "-", ".").join(d[i : i + 4] for i in range(0, len(d), 4))
+    if what < 9:
+        a, b, c, e = num(3), num(3), num(4), num(2)
+        return 3, pick(
+            f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{e} {a} {b} {c}", f"+{e}-{a}-{b}-{c}",
+            f"0{e} {c} {num(4)} {e}", f"0{a} {num(4)}{a}", f"0{e[0]} {e} {num(2)} {num(2)} {num(2)}", f"(0{e}) {c} {num(4)}", f"00{e} {a} {num(7)}", f"+{e} (0){e} {c} {num(4)}", f"1-{a}-{b}-{c}",
+        )
+    return None, pick(
+        f'token = "{hashlib.sha1(num(9).encode()).hexdigest()}"', f"20{num(2)}-0{num(1)}-1{num(1)}", f"v{num(1)}.{num(1)}.{num(1)}", f"{num(5)} items", f"Version {num(1)}.0", f"{num(2)}:{num(2)}:{num(2)}",
+        f"= {num(3)}.{num(2)} +", f"20{num(2)}-0{num(1)}-1{num(1)} 1{num(1)}:{num(2)}", f"{num(3)} {num(3)} {num(3)} {num(3)} {num(3)}", f"{num(2)}, {num(2)}, {num(2)}, {num(3)}", f"{num(10)}", f"{num(16)}",
+        f"({num(1)}) {word(5)} ({num(2)})", f"{num(4)}-{num(4)}", f"@{word(6)}", f"{word(4)} @ {word(5)}", f"1{num(3)}/{num(2)}/{num(2)}", f"{num(2)} + {num(3)} = {num(3)}", f"{num(1)}.{num(2)} {num(1)}.{num(2)} {num(1)}.{num(2)} {num(1)}.{num(3)}",
+    )
 
 
 def training_windows(carriers: list[str], n: int = WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +303,7 @@ def training_windows(carriers: list[str], n: int = WINDOWS, seed: int = 11) -> t
     return x, y
 
 
-def train(carriers: list[str], windows: int = WINDOWS, rounds: int = 5, batch: int = 64, rate: float = 0.015) -> Tagger:
+def train(carriers: list[str], windows: int = WINDOWS, rounds: int = 5, batch: int = 32, rate: float = 0.03) -> Tagger:
     x, y = training_windows(carriers, windows)
     model, rng = Tagger.fresh(), np.random.default_rng(5)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -435,7 +456,11 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def masked(docs: DataFrame, model: Tagger | None) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced; ``n_chars``, if there, is counted anew."""
+    """``docs`` with the personal data in ``text`` replaced; ``n_chars``, if there, is counted anew.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, further columns are kept,
+    and an empty table stays empty.
+    """
     spark = docs.sparkSession
     text_batches(spark)
     sent, schema, at = spark.sparkContext.broadcast(model), docs.schema, docs.columns.index("text")
