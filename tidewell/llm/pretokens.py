@@ -27,6 +27,8 @@ _KIND[0x80:] = _LETTER  # parts of Latin-1 letters, in the texts that come this
 
 #: Distinct pre-tokens that the memo holds before it starts anew.
 MEMO = 1_500_000
+#: The same where only names are held, which nothing is saved by keeping for long.
+NAMES = 100_000
 #: Bits of the direct-mapped table in front of the memo.
 DIRECT = 20
 
@@ -254,6 +256,7 @@ class PreTokens(WordPieces):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.memo = Memo(NAMES)
         self.names: list[str] = []
 
     def _pieces(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
