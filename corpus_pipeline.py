@@ -6,7 +6,7 @@
 4. personal data: spans are replaced by their kind's name;
 5. packing: the texts' token ids are packed into windows of 2048.
 
-Every stage works on all rows that its predecessor kept. Stages 1 to 4 return the columns of
+Every stage works on all rows that its predecessor kept, and gives an empty table for an empty one. Stages 1 to 4 return the columns of
 ``documents``; the last returns one row per piece. SQL can't express the models, so there is no
 ORACLE_SQL; ``tests/llm/test_pipeline.py`` holds the stages against brute force.
 """
@@ -22,22 +22,27 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows in a language learned from ``docs``; null, empty and letterless texts and near ties go."""
     return language.keep_known(docs, language.train(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each text, that of the least doc_id (null ids last); null text is empty text."""
     return exact_dedup.drop_copies(docs, Scratch(spark, "pipeline-exact"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least doc_id of each component (five words, 0.8); rows without words or doc_id stay."""
     return near_dedup.keep_one(docs, Scratch(spark, "pipeline-near"), width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps all rows, with spans masked; null and empty texts stay as they are."""
     return pii.masked(docs, pii.train_on(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece; every row is packed, null text as its end id alone."""
     return packing.pack(docs, Scratch(spark, "pipeline-pack"))
 
 

@@ -14,7 +14,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self._n = spark, 0
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:  # tests; a cluster names a shared folder
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             base = tempfile.mkdtemp(prefix="tidewell-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
