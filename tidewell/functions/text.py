@@ -97,11 +97,14 @@ def sign(text: Column, most: int = 120) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
-def snippet(text: Column, term: Column, around: int = 80) -> Column:
-    """Text around the first hit, with ellipses where it is cut; the start if there is no hit."""
+def snippet(text: Column, term: Column, around: int = 80, length: Column | None = None) -> Column:
+    """Text around the first hit, with ellipses where it is cut; the start if there is no hit.
+
+    ``length`` is what the hit counts as, if not as the term's own.
+    """
     at = F.call_function("instr", F.lower(text), term)
     first = F.greatest(at - around, F.lit(1))
-    end = F.least(at + F.char_length(term) + around, F.char_length(text) + 1)
+    end = F.least(at + (F.char_length(term) if length is None else length) + around, F.char_length(text) + 1)
     cut = F.replace(F.substr(text, first, end - first), F.lit("\n"), F.lit(" "))
     return F.concat(F.when(first > 1, "…").otherwise(""), cut, F.when(end <= F.char_length(text), "…").otherwise(""))
 

@@ -25,17 +25,18 @@ def short_lines(mentions: DataFrame, line: list[str], most: int = MOST_IN_LINE)
     return mentions.join(sizes, line, "left_semi")
 
 
-def pairs(basket: DataFrame, transcripts: int, support: int = LEAST_SESSIONS) -> DataFrame:
+def pairs(basket: DataFrame, transcripts, support: int = LEAST_SESSIONS) -> DataFrame:
     """Pairs a < b of names used in one turn: sessions, turns and npmi, of at least ``support`` sessions.
 
-    A basket holds at most MOST_NAMES names, so a turn makes at most 780 pairs. Where npmi is 0/0 it is null.
+    ``transcripts`` is their number, or a scalar subquery for it; ``basket`` is read three times, so
+    it had better be saved. A basket holds at most MOST_NAMES names, so a turn makes at most 780 pairs. Where npmi is 0/0 it is null.
     """
     left = basket.withColumnRenamed("name", "a")
     right = basket.withColumnRenamed("name", "b")
     both = left.join(right, ["session", "turn"]).where("a < b")
     of_pair = both.groupBy("a", "b").agg(F.count_distinct("session").alias("sessions"), F.count("*").alias("turns")).where(F.col("sessions") >= support)
     single = basket.groupBy("name").agg(F.count_distinct("session").alias("s"))
-    n = F.lit(float(transcripts))
+    n = F.lit(float(transcripts)) if isinstance(transcripts, (int, float)) else transcripts
     joined = of_pair.join(single.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(single.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
     pab = F.col("sessions") / n
     npmi = F.try_divide(F.ln(pab / ((F.col("sa") / n) * (F.col("sb") / n))), -F.ln(pab))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Saved frontiers that are read side by side before they are put together.
+MOST_FRONTS = 12
+
 
 def build_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (src, dst, relation, pos) to distinct resolvable edges; the first stated relation counts."""
@@ -47,18 +52,21 @@ def reach(edges: DataFrame, seeds: DataFrame, save, most: int | None = None) ->
     """(name, depth) of nodes reachable from the seeds along (src, dst), ``most`` steps at the most.
 
     A frontier at a time; ``save`` writes a table and reads it back, so the plan stays small and a
-    lost executor costs one step. Each step reads only the new frontier.
+    lost executor costs one step. The edges are made once, each step reads only the new frontier,
+    and what was found is the union of the saved frontiers, which are put together when they are many.
     """
-    found = save(seeds.select("name").distinct().withColumn("depth", F.lit(0)))
-    front, depth = found, 0
+    edges = save(edges.select("src", "dst"))
+    fronts, depth = [save(seeds.select("name").distinct().withColumn("depth", F.lit(0)))], 0
     while most is None or depth < most:
         depth += 1
+        front = fronts[-1]
         step = front.join(edges, front["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct()
-        front = save(step.join(found, "name", "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.limit(1).collect():
+        found = reduce(DataFrame.unionByName, fronts)
+        new = save(step.join(found, "name", "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
             break
-        found = save(found.unionByName(front))
-    return found
+        fronts = [*fronts, new] if len(fronts) < MOST_FRONTS else [save(found), new]
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def reachable_without(edges: DataFrame, index: DataFrame, demoted: DataFrame, save) -> DataFrame:
@@ -124,8 +132,8 @@ def degree_stats(degree: DataFrame) -> DataFrame:
     hist = degree.groupBy("degree").agg(F.count("*").alias("n"))
     w = Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, 0)
     run = hist.withColumn("upto", F.sum("n").over(w))
-    total = degree.agg(F.count("*").alias("all"), F.max("degree").alias("most"))
-    return run.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("degree").alias("median"), F.max("most").alias("most"))
+    half = degree.agg(F.floor(F.count("*") / 2)).scalar()
+    return run.agg(F.min(F.when(F.col("upto") > half, F.col("degree"))).alias("median"), F.max("degree").alias("most"))
 
 
 def louvain(edges: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def first_outcome(calls: DataFrame, results: DataFrame, key: list[str], order: str = "line_no") -> DataFrame:
-    """Each call with the verdict of its first result at or after it, else ``unknown`` (deferred resolution)."""
-    r = results.select(*[F.col(k).alias(f"_r_{k}") for k in key], F.col(order).alias("_r_at"), F.col("verdict").alias("_r_verdict"))
-    on = [calls[k] == r[f"_r_{k}"] for k in key] + [r["_r_at"] >= calls[order]]
-    joined = calls.join(r, on, "left")
-    out = joined.groupBy(*calls.columns).agg(F.min_by("_r_verdict", "_r_at").alias("verdict"))
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit("unknown")))
+    """Each call with the verdict of its first result at or after it, else ``unknown`` (deferred resolution).
+
+    Calls and results of a key are read once from the last to the first, so a key of many of either
+    costs no pairs; identical calls each keep their row.
+    """
+    both = calls.withColumn("_verdict", F.lit(None).cast("string")).withColumn("_call", F.lit(True)).unionByName(
+        results.select(*key, order, F.col("verdict").alias("_verdict"), F.lit(False).alias("_call")), allowMissingColumns=True
+    )
+    back = Window.partitionBy(*key).orderBy(F.desc(order), "_call").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.coalesce(F.last("_verdict", ignorenulls=True).over(back), F.lit("unknown"))
+    return both.withColumn("verdict", near).where("_call").select(*calls.columns, "verdict")
 
 
 def last_outcome(calls: DataFrame, results: DataFrame, key: list[str], order: str = "line_no") -> DataFrame:

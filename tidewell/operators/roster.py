@@ -78,7 +78,7 @@ def without_titling(lines: DataFrame) -> DataFrame:
 
 
 def activity_span(lines: DataFrame, by: list[str]) -> DataFrame:
-    """First and last activity (stamps compare as text), transcripts by kind."""
+    """First and last activity (stamps compare as text)."""
     return lines.groupBy(*by).agg(F.min("stamp").alias("earliest"), F.max("stamp").alias("latest"))
 
 
@@ -89,12 +89,12 @@ def works_on(facts: list[DataFrame], query: str, aliases: DataFrame | None = Non
     """
     q = query.strip().lower()
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
-    hit = F.lower("path").contains(q)
+    hit = F.coalesce(F.lower("path").contains(q), F.lit(False))
+    found = every.where(hit)  # on the path alone, so it is pushed below the facts' aggregates and joins
     if aliases is not None:
-        old = aliases.groupBy("path").agg(F.bool_or(F.lower("former").contains(q)).alias("_old"))
-        every = every.join(old, "path", "left")
-        hit = hit | F.coalesce("_old", F.lit(False))
-    every = every.where(hit)
+        old = aliases.where(F.lower("former").contains(q)).select("path")
+        found = found.unionByName(every.where(~hit).join(old, "path", "left_semi").select(*every.columns))
+    every = found
     keys = [c for c in ("agent", "host", "path") if c in every.columns]
     sums = [F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("reads", "edits", "commits") if c in every.columns]
     return every.groupBy(*keys).agg(*sums)

@@ -53,9 +53,11 @@ def session_state(events: DataFrame, by: str = "session", order: str = "seq") ->
 
 def open_background(events: DataFrame, by: str = "session", order: str = "seq") -> DataFrame:
     """Begun and not ended: an end names the call or the task; ``joined`` clears all before it."""
-    begun = events.where(F.col("kind") == "begin").select(by, order, "call_id", "task_id")
-    ended = events.where(F.col("kind") == "end").select(F.col(by).alias("_s"), F.col(order).alias("_at"), F.col("ends").alias("_id"))
-    out = begun.join(ended, (begun[by] == ended["_s"]) & (ended["_at"] > begun[order]) & ((ended["_id"] == begun["call_id"]) | (ended["_id"] == begun["task_id"])), "left_anti")
+    out = events.where(F.col("kind") == "begin").select(by, order, "call_id", "task_id")
+    # of each id its last end decides; one equality join for each of the two names
+    ended = events.where(F.col("kind") == "end").groupBy(F.col(by).alias("_s"), F.col("ends").alias("_id")).agg(F.max(order).alias("_at"))
+    for name in ("call_id", "task_id"):
+        out = out.join(ended, (out[by] == ended["_s"]) & (out[name] == ended["_id"]) & (ended["_at"] > out[order]), "left_anti")
     clear = events.where(F.col("kind") == "joined").groupBy(F.col(by).alias("_s")).agg(F.max(order).alias("_at"))
     return out.join(clear, (out[by] == clear["_s"]) & (clear["_at"] > out[order]), "left_anti")
 

@@ -379,12 +379,12 @@ def sweep_difference(spark, d):
     return usage.sweep(w.where("day = 19726").select("pid").distinct(), w.where("day = 19725").select("pid").distinct(), "pid")
 
 
-@query(f"""WITH t AS (SELECT agent AS holder, count(*) FILTER (kind = 'click') AS open, count(*) AS total FROM {WORK} WHERE user_id < 60 GROUP BY agent), s AS (SELECT agent AS holder, count(*) AS strays FROM {WORK} WHERE user_id >= 50 AND kind = 'error' GROUP BY agent)
+@query(f"""WITH t AS (SELECT agent AS holder, count(*) FILTER (kind = 'click') AS open, count(*) AS total FROM {WORK} WHERE kind IN ('click', 'view') GROUP BY agent), s AS (SELECT agent AS holder, count(*) AS strays FROM {WORK} WHERE kind = 'error' GROUP BY agent)
  SELECT coalesce(t.holder, s.holder) AS holder, coalesce(open, 0) AS open, coalesce(total, 0) AS total, coalesce(strays, 0) AS strays FROM t FULL OUTER JOIN s ON t.holder = s.holder""")
 def task_counts(spark, d):
     w = work(spark, d).withColumn("holder", F.col("agent"))
-    strays = w.where("user_id >= 50 AND kind = 'error'").groupBy("holder").agg(F.count("*").alias("strays"))
-    return usage.task_counts(w.where("user_id < 60").select("holder", (F.col("kind") == "click").alias("open")), strays)
+    strays = w.where("kind = 'error'").groupBy("holder").agg(F.count("*").alias("strays"))
+    return usage.task_counts(w.where("kind IN ('click', 'view')").select("holder", (F.col("kind") == "click").alias("open")), strays)
 
 
 @query(f"SELECT project, count(*) AS n FROM {WORK} GROUP BY project ORDER BY n DESC, min(seq) LIMIT 1")

@@ -38,8 +38,9 @@ _TOKENS = r"""(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}
  t AS (SELECT doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_concat([array_to_string(parts, '')], parts) ELSE parts END) AS term FROM p)
  SELECT doc_id, count(*) AS terms, count(DISTINCT term) AS distinct_terms FROM t GROUP BY doc_id""")
 def tokenize_terms(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"))
+    # a generator, so that the terms are made once; counted in the row, as doc_id is a key
+    t = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(T.tokenize(F.col("text")).alias("t")))))
+    return t.where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("terms"), F.size(F.array_distinct("t")).cast("long").alias("distinct_terms"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || ' ', '[0-9A-Za-z]+')) AS hash FROM documents)
@@ -86,7 +87,7 @@ def path_attributable(spark, d):
 
 @query(rf"""SELECT href, starts_with(href, '~') OR contains(href, '/') OR href IN ('Makefile','Dockerfile','README','LICENSE','Cargo.lock','Justfile','Procfile') OR regexp_matches(href, '^.+\.[A-Za-z0-9]{{1,8}}$') AS is_path FROM (SELECT DISTINCT substr(href, 2) AS href FROM {_HREF})""")
 def looks_like_path(spark, d):
-    return _hrefs(spark, d).select(F.substring("href", 2, 10_000).alias("href")).distinct().withColumn("is_path", P.looks_like_path(F.col("href")))
+    return _hrefs(spark, d).select(F.call_function("substr", F.col("href"), F.lit(2)).alias("href")).distinct().withColumn("is_path", P.looks_like_path(F.col("href")))
 
 
 @query(r"""SELECT split_part(split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1), '.', 1) AS host, count(*) AS pages FROM pages GROUP BY host""")
@@ -169,8 +170,9 @@ _PAIRS = _PAIRS.replace("GROUP BY ALL", "GROUP BY x.name, y.name")
 
 
 def _pairs(spark, d):
-    n = table(spark, d, "customer").count()
-    return couse.pairs(couse.baskets(_mentions(spark, d)), n).withColumn("npmi", F.round("npmi", 6))
+    n = table(spark, d, "customer").agg(F.count("*").cast("double")).scalar()
+    basket = _save(spark)(couse.baskets(_mentions(spark, d)).repartition("session", "turn"))
+    return couse.pairs(basket, n).withColumn("npmi", F.round("npmi", 6))
 
 
 @query(f"SELECT * FROM {_PAIRS}")
@@ -314,11 +316,11 @@ def degree_stats(spark, d):
     return graph.degree_stats(_degree(spark, d))
 
 
-@query(f"""WITH u AS (SELECT agent AS name, count(*) AS sessions, count(*) FILTER (kind = 'view') AS reads, count(*) FILTER (kind = 'purchase') AS edits, count(DISTINCT project) AS projects, max(day) AS last_day, count(DISTINCT k) AS degree FROM {WORK} WHERE day % 3 = 0 GROUP BY agent),
+@query(f"""WITH u AS (SELECT agent AS name, count(*) AS sessions, count(*) FILTER (kind = 'view') AS reads, count(*) FILTER (kind = 'purchase') AS edits, count(DISTINCT project) AS projects, max(day) AS last_day, count(DISTINCT k) AS degree FROM {WORK} GROUP BY agent),
  m AS (SELECT name, least(1, sqrt(sessions) / 3.6) AS use, least(1, sqrt(reads) / 5.5) AS reads, least(1, log10(1 + edits) / 2.1) AS edits, CASE WHEN projects <= 1 THEN 0 ELSE least(1, (sqrt(projects) - 1) / 3.0) END AS reach, greatest(0.05, 1 - least(1, (19753 - last_day) / 30.0)) AS freshness, least(1, sqrt(degree) / 5.5) AS links FROM u)
  SELECT name, round(use, 6) AS use, round(reads, 6) AS reads, round(edits, 6) AS edits, round(reach, 6) AS reach, round(freshness, 6) AS freshness, round(links, 6) AS links, round(least(1, 0.3 * use + 0.25 * reads + 0.2 * reach + 0.15 * links + 0.1 * freshness), 6) AS standing FROM m""")
 def node_metrics(spark, d):
-    u = work(spark, d).where("day % 3 = 0").groupBy(F.col("agent").alias("name")).agg(
+    u = work(spark, d).groupBy(F.col("agent").alias("name")).agg(
         F.count("*").alias("sessions"), F.count_if(F.col("kind") == "view").alias("reads"), F.count_if(F.col("kind") == "purchase").alias("edits"),
         F.count_distinct("project").alias("projects"), F.max("day").alias("last_day"), F.count_distinct("k").alias("degree"))
     m = graph.metrics(u, F.lit(19753))
