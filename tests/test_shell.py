@@ -100,3 +100,50 @@ def test_on_spark(spark):
     assert extract.file_uses(read).where("path = '/code/app/src/m.py'").count() == 2
     assert {r.activity for r in extract.activity_report(read).collect()} >= {"edit", "inspect", "search"}
     assert {r.reason for r in extract.report(read).collect()} >= {"read", "unclosed single quote"}
+
+
+LAW = [c for c, _ in CASES] + [
+    "! cat a", "cat a & rm b", "cat a & ", "a | b |& c", "cat 2>err.txt <in.txt >>out.txt 2>&1", "until x; do y; done", "case $x in a | b) cat a ;; *) rm b ;; esac", "cat <<E && rm b\nbody $x\nE\ncat c",
+    "if cat <<E; then\nbody\nE\nx; else y & fi", "{ a; b & }", "( a; cat <<-E\n\tbody\nE\n)", "f() { cat a; }; f", "x=$(cat b) y=`cat c`", "diff <(sort a) <(sort b)", "select x in a b; do y; done", "cat <<< 'x y' 3<&0", "while read l; do echo $l; done < in.txt &",
+    "function g { a; }", "for f; do cat $f; done", "a && b || c; d", "echo $((1 + (2)))",
+]
+
+
+@pytest.mark.parametrize("cmd", LAW)
+def test_printed_text_reads_as_the_same(cmd):
+    tree = parse.parse(cmd)
+    once = parse.show(tree)
+    again = parse.parse(once)
+    assert parse.show(again) == once
+    assert parse.project(again) == parse.project(tree)
+
+
+def test_printing_keeps_what_decides():
+    assert parse.show(parse.parse("! cat a")) == "! cat a" and parse.show(parse.parse("cat a & rm b")) == "cat a & rm b"
+    assert parse.show(parse.parse("cat 2>>e <i")) == "cat 2>> e < i" and parse.show(parse.parse("until a; do b; done")).startswith("until ")
+
+
+def test_scripts_inside_words():
+    use = lambda cmd: sorted(extract.extract(cmd, "/code", HOME).uses)
+    assert use("diff <(sort a) <(sort b)") == [(None, "/code/a", False, "always"), (None, "/code/b", False, "always")]
+    assert use("x=$(cat b)") == use("echo `cat b`") == use("echo \"$(cat b)\"") == use("while read l; do :; done < <(cat b)") == [(None, "/code/b", False, "always")]
+    assert use("a && x=$(cd sub; cat b); cat c") == [(None, "/code/c", False, "always"), (None, "/code/sub/b", False, "sometimes")]
+    assert use("for f in $(cat list); do :; done") == [(None, "/code/list", False, "always")]
+    assert use("tee >(cat > log.txt)") == [(None, "/code/log.txt", True, "always")]
+
+
+def test_any_text_is_read_or_refused():
+    import random
+
+    rng = random.Random(3)
+    for end in ("cat <<", "cat <<-", "..<<", "a <<<", "x=$(", "<(", "`", "case", "case x", "for", "function", "! "):
+        assert extract.extract(end, "/c", HOME).refused
+    parts = ["cat", " ", "<<", "<<-", "E", "\n", "$(", ")", "`", "'", '"', "<(", "&&", "||", "|", ";", "&", "case x in", "esac", "if", "then", "fi", "{", "}", "\\", "$x", "(", "!", "for f in", "do", "done", "#", "2>", "a"]
+    for _ in range(30_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        got = extract.extract(text, "/c", HOME)
+        if got.refused is None:
+            try:
+                parse.show(parse.parse(text))
+            except parse.Refused:
+                pass

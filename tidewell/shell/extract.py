@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import BARE_FILES
 from . import embedded, verbs
 from .parse import Refused, Simple, both, parse, project, show
 
 DEPTH = 4
 _PATHLIKE = re.compile(r"^.+\.[A-Za-z0-9]{1,8}$")
-_BARE = {"Makefile", "Dockerfile", "README", "LICENSE", "Cargo.lock", "Justfile", "Procfile"}
+_BARE = set(BARE_FILES)
 
 
 @dataclass
@@ -49,7 +50,7 @@ def normalise(path: str) -> str:
 
 def resolve(word: str, cwd: str | None, home: str) -> str | None:
     """An absolute path, or none for what names no local file for certain."""
-    if not word or word == "-" or "://" in word or word.startswith("/dev/") or "$" in word or "`" in word or re.match(r"^[A-Za-z0-9_.@-]+:", word):
+    if not word or word == "-" or re.search(r"[<>]\(", word) or "://" in word or word.startswith("/dev/") or "$" in word or "`" in word or re.match(r"^[A-Za-z0-9_.@-]+:", word):
         return None
     if word == "~" or word.startswith("~/"):
         return normalise(home + word[1:])

@@ -1,9 +1,9 @@
 """A shell reader: text to a tree, and the tree to flat commands with reach and scope.
 
-Nodes are tuples: ("cmd", words, redirects), ("pipe", [..]), ("list", [(joint, node), ..]) with joint
-in ";", "&&", "||", ("group"|"sub", node), ("if", [(test, body), ..], other), ("loop", test, body),
-("for", name, words, body), ("case", [bodies]), ("def", name, body). A text that can't be read
-raises ``Refused`` with a named reason.
+Nodes are tuples: ("cmd", words, redirects, inner), ("pipe", [..], joints), ("list", [(joint, node), ..])
+with joint in ";", "&&", "||", ("group"|"sub"|"not"|"bg", node), ("if", [(test, body), ..], other),
+("loop", test, body, word), ("for", name, words, body, word), ("case", subject, [(patterns, body), ..]),
+("def", name, body). A text that can't be read raises ``Refused`` with a named reason.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ class Word:
     computed: bool = False
     glob: bool = False
     quoted: bool = False
+    inner: list[str] = field(default_factory=list)
+    """Scripts of the command and process substitutions in it."""
 
 
 @dataclass
@@ -37,6 +39,8 @@ class Redirect:
     target: Word
     write: bool
     heredoc: str | None = None
+    op: str = ""
+    """How it is written: the operator with its descriptor."""
 
 
 @dataclass
@@ -50,11 +54,21 @@ class Simple:
     bound: tuple[tuple[str, str], ...] = ()
 
 
+class _Op(str):
+    """An operator, which also knows the descriptor written before it."""
+
+    def __new__(cls, text: str, fd: str = ""):
+        out = super().__new__(cls, text)
+        out.fd = fd
+        return out
+
+
 class _Lexer:
     def __init__(self, text: str):
         self.s, self.i, self.n = text, 0, len(text)
         self.pending: list[tuple[Redirect, str, bool, bool]] = []
         self.tokens: list = []
+        self.inner: list[str] = []
         self._run()
 
     def _run(self) -> None:
@@ -69,19 +83,20 @@ class _Lexer:
             m = re.compile(r"[0-9]+(?=[<>])").match(self.s, self.i)
             if m:
                 self.i = m.end()
+            fd = m[0] if m else ""
             op = next((o for o in _OPERATORS if self.s.startswith(o, self.i)), None)
             if op in ("<", ">") and self.s.startswith("(", self.i + 1):
                 op = None  # process substitution is a word
             if op:
                 self.i += len(op)
-                self.tokens.append(op)
+                self.tokens.append(_Op(op, fd))
                 if op == "\n":
                     self._bodies()
                 elif op in ("<<", "<<-"):
                     while self.i < self.n and self.s[self.i] in " \t":
                         self.i += 1
                     w = self._word()
-                    r = Redirect(w, False, "")
+                    r = Redirect(w, False, "", fd + op)
                     self.pending.append((r, w.text, op == "<<-", w.quoted))
                     self.tokens[-1] = r
                 continue
@@ -105,6 +120,12 @@ class _Lexer:
             r.heredoc = "\n".join(lines) + ("\n" if lines else "")
         self.pending = []
 
+    def _substituted(self) -> None:
+        """Past a bracketed script, which is noted."""
+        start = self.i
+        self._balanced("(", ")")
+        self.inner.append(self.s[start : self.i - 1])
+
     def _balanced(self, open_: str, close: str) -> None:
         depth = 1
         while depth:
@@ -157,12 +178,17 @@ class _Lexer:
             if end >= self.n:
                 raise Refused("unclosed backtick")
             self.i = end + 1
+            self.inner.append(re.sub(r"\\([$`\\])", r"\1", self.s[start + 1 : end]))
             return self.s[start : self.i], True
         self.i += 1
-        if self.s.startswith("(", self.i):
+        if self.s.startswith("((", self.i):
             self.i += 1
             self._balanced("(", ")")
             return self.s[start : self.i], True
+        if self.s.startswith("(", self.i):
+            self.i += 1
+            self._substituted()
+            return self.s[start : self.i], True
         if self.s.startswith("{", self.i):
             self.i += 1
             self._balanced("{", "}")
@@ -175,6 +201,7 @@ class _Lexer:
 
     def _word(self) -> Word:
         start, out, w = self.i, [], Word("", "")
+        self.inner = w.inner
         while self.i < self.n:
             c = self.s[self.i]
             if c in " \t\n;|&()<>" and not (c in "<>" and self.s.startswith("(", self.i + 1)):
@@ -211,7 +238,7 @@ class _Lexer:
             elif c in "<>":
                 a = self.i
                 self.i += 2
-                self._balanced("(", ")")
+                self._substituted()
                 out.append(self.s[a : self.i])
                 w.computed = True
             else:
@@ -222,7 +249,7 @@ class _Lexer:
                 if c == "(":
                     break
         if self.i == start:
-            raise Refused(f"unexpected {self.s[self.i]!r}")
+            raise Refused(f"unexpected {self.s[self.i]!r}" if self.i < self.n else "end of text")
         w.text, w.raw = "".join(out), self.s[start : self.i]
         return w
 
@@ -260,21 +287,27 @@ class _Parser:
                 if self.peek() is None:
                     raise Refused("nothing after a joint")
             elif op in (";", "\n", "&"):
-                self.skip(";", "\n", "&")
+                if op == "&":
+                    items[-1] = (items[-1][0], ("bg", items[-1][1]))
+                    self.i += 1
+                self.skip(";", "\n")
                 joint = ";"
             elif op is not None and op not in (")", ";;") and not (ends and self.is_word(*ends)):
                 raise Refused(f"unexpected {op if isinstance(op, str) else op.text!r}")
         return ("list", items)
 
     def pipeline(self):
+        no = False
         while self.is_word("!"):
-            self.i += 1
-        parts = [self.command()]
+            self.i, no = self.i + 1, not no
+        parts, joints = [self.command()], []
         while self.peek() in ("|", "|&"):
+            joints.append(self.peek())
             self.i += 1
             self.skip("\n")
             parts.append(self.command())
-        return parts[0] if len(parts) == 1 else ("pipe", parts)
+        node = parts[0] if len(parts) == 1 else ("pipe", parts, joints)
+        return ("not", node) if no else node
 
     def command(self):
         if self.peek() == "(":
@@ -305,13 +338,15 @@ class _Parser:
                 self.take("fi")
                 return self.redirected(("if", arms, other))
         if self.is_word("while", "until"):
+            kind = self.peek().text
             self.i += 1
             test = self.list("do")
             self.take("do")
             body = self.list("done")
             self.take("done")
-            return self.redirected(("loop", test, body))
+            return self.redirected(("loop", test, body, kind))
         if self.is_word("for", "select"):
+            kind = self.peek().text
             self.i += 1
             name, words = self.peek(), None
             if not isinstance(name, Word):
@@ -328,23 +363,28 @@ class _Parser:
             self.take("do")
             body = self.list("done")
             self.take("done")
-            return self.redirected(("for", name.text, words, body))
+            return self.redirected(("for", name.text, words, body, kind))
         if self.is_word("case"):
+            subject = self.peek(1)
+            if not isinstance(subject, Word):
+                raise Refused("case without a subject")
             self.i += 2
             self.skip("\n")
             self.take("in")
-            bodies = []
+            arms = []
             self.skip("\n")
             while not self.is_word("esac"):
+                patterns = []
                 while self.peek() is not None and self.peek() != ")":
+                    patterns.append(self.peek())
                     self.i += 1
                 if self.peek() is None:
                     raise Refused("unclosed case")
                 self.i += 1
-                bodies.append(self.list("esac"))
+                arms.append(([w for w in patterns if isinstance(w, Word)], self.list("esac")))
                 self.skip(";;", "\n")
             self.take("esac")
-            return self.redirected(("case", bodies))
+            return self.redirected(("case", subject, arms))
         if self.is_word("function"):
             self.i += 1
             name = self.peek().text if isinstance(self.peek(), Word) else ""
@@ -370,11 +410,12 @@ class _Parser:
             if not isinstance(w, Word):
                 raise Refused("redirect without a target")
             self.i += 2
+            how = op.fd + op
             if op == "<<<":
-                return Redirect(w, False, w.text + "\n")
+                return Redirect(w, False, w.text + "\n", how)
             if op in (">&", "<&") and re.fullmatch("[0-9]+|-", w.text):
-                return Redirect(Word("", ""), False)
-            return Redirect(w, op not in ("<", "<&"))
+                return Redirect(Word("", ""), False, None, how + w.raw)
+            return Redirect(w, op not in ("<", "<&"), None, how)
         return None
 
     def redirected(self, node):
@@ -443,7 +484,7 @@ def _walk(node):
         if node[3]:
             yield from _walk(node[3])
         return
-    for x in {"list": lambda: [n for _, n in node[1]], "pipe": lambda: node[1], "sub": lambda: [node[1]], "group": lambda: [node[1]], "loop": lambda: [node[1], node[2]], "for": lambda: [node[3]], "case": lambda: node[1], "def": lambda: [node[2]], "if": lambda: [y for a in node[1] for y in a] + ([node[2]] if node[2] else [])}[kind]():
+    for x in {"list": lambda: [n for _, n in node[1]], "pipe": lambda: node[1], "sub": lambda: [node[1]], "group": lambda: [node[1]], "not": lambda: [node[1]], "bg": lambda: [node[1]], "loop": lambda: [node[1], node[2]], "for": lambda: [node[3]], "case": lambda: [b for _, b in node[2]], "def": lambda: [node[2]], "if": lambda: [y for a in node[1] for y in a] + ([node[2]] if node[2] else [])}[kind]():
         yield from _walk(x)
 
 
@@ -456,6 +497,12 @@ def project(tree) -> list[Simple]:
         scopes[0] += 1
         return (*scope, scopes[0])
 
+    def inside(words, reach, scope, bound):
+        """Substituted scripts run as wholes, each in a scope of its own, before the words are used."""
+        for w in words:
+            for text in w.inner:
+                run(parse(text), reach, enter(scope), bound)
+
     def run(node, reach, scope, bound):
         kind = node[0]
         if kind == "list":
@@ -471,9 +518,9 @@ def project(tree) -> list[Simple]:
         elif kind == "pipe":
             for x in node[1]:
                 run(x, reach, enter(scope), bound)
-        elif kind == "sub":
+        elif kind in ("sub", "bg"):
             run(node[1], reach, enter(scope), bound)
-        elif kind == "group":
+        elif kind in ("group", "not"):
             run(node[1], reach, scope, bound)
         elif kind == "if":
             for i, (test, body) in enumerate(node[1]):
@@ -485,12 +532,14 @@ def project(tree) -> list[Simple]:
             run(node[1], reach, scope, bound)
             run(node[2], "sometimes", scope, bound)
         elif kind == "case":
-            for x in node[1]:
+            inside([node[1]], reach, scope, bound)
+            for _, x in node[2]:
                 run(x, "sometimes", scope, bound)
         elif kind == "def":
             run(node[2], "sometimes", enter(scope), bound)
         elif kind == "for":
-            _, name, words, body = node
+            _, name, words, body, _ = node
+            inside([w for w in words or [] if seq(w.raw) is None], reach, scope, bound)
             values = None
             if words is not None:
                 values = []
@@ -507,6 +556,7 @@ def project(tree) -> list[Simple]:
         else:
             _, words, redirects, inner = node
             put = Simple([w.text for w in words], reach, scope, [(r.target.text, r.write) for r in redirects if r.heredoc is None and r.target.raw], [r.heredoc for r in redirects if r.heredoc is not None], [w.computed for w in words], bound)
+            inside([*words, *(r.target for r in redirects)], reach, scope, bound)
             if inner:
                 run(inner, reach, scope, bound)
             if words or put.redirects:
@@ -523,27 +573,52 @@ def project(tree) -> list[Simple]:
 
 
 def show(node) -> str:
-    """The tree as normalised text."""
-    kind = node[0]
-    if kind == "list":
-        return "".join((f" {j} " if j != ";" else "; ") * (i > 0) + show(x) for i, (j, x) in enumerate(node[1]))
-    if kind == "pipe":
-        return " | ".join(map(show, node[1]))
-    if kind == "sub":
-        return f"( {show(node[1])} )"
-    if kind == "group":
-        return f"{{ {show(node[1])}; }}"
-    if kind == "loop":
-        return f"while {show(node[1])}; do {show(node[2])}; done"
-    if kind == "for":
-        return f"for {node[1]}{'' if node[2] is None else ' in ' + ' '.join(w.raw for w in node[2])}; do {show(node[3])}; done"
-    if kind == "if":
-        arms = "; el".join(f"if {show(t)}; then {show(b)}" for t, b in node[1])
-        return f"{arms}{'; else ' + show(node[2]) if node[2] else ''}; fi"
-    if kind == "case":
-        return "case x in " + " ;; ".join(f"*) {show(b)}" for b in node[1]) + " ;; esac"
-    if kind == "def":
-        return f"{node[1]}() {show(node[2])}"
-    words = " ".join(w.raw for w in node[1])
-    more = "".join(f" {'>' if r.write else '<'} {r.target.raw}" for r in node[2] if r.heredoc is None and r.target.raw)
-    return (show(node[3]) if node[3] else words) + more
+    """The tree as normalised text, which reads as the same tree; comments are left out."""
+    bodies: list[str] = []
+
+    def end(sep: str) -> str:
+        """A separator; here documents that were begun before it follow at once, on lines of their own."""
+        out = "\n" + "".join(bodies) if bodies else sep
+        bodies.clear()
+        return out
+
+    def redirect(r: Redirect) -> str:
+        if r.heredoc is not None and not r.op.endswith("<<<"):
+            bodies.append(r.heredoc + r.target.text + "\n")
+        return f" {r.op}{' ' if r.target.raw else ''}{r.target.raw}"
+
+    def put(node) -> str:
+        kind = node[0]
+        if kind == "list":
+            out = ""
+            for i, (j, x) in enumerate(node[1]):
+                if i:
+                    out += f" {j} " if j != ";" else end(" " if node[1][i - 1][1][0] == "bg" else "; ")
+                out += put(x)
+            return out
+        if kind == "bg":
+            return f"{put(node[1])} &"
+        if kind == "not":
+            return f"! {put(node[1])}"
+        if kind == "pipe":
+            return "".join((f" {node[2][i - 1]} " if i else "") + put(x) for i, x in enumerate(node[1]))
+        stop = lambda x: put(x) + end(" " if x[0] == "list" and x[1] and x[1][-1][1][0] == "bg" else "; ")
+        if kind == "sub":
+            return f"( {put(node[1])}{end(' ')})"
+        if kind == "group":
+            return f"{{ {stop(node[1])}}}"
+        if kind == "loop":
+            return f"{node[3]} {stop(node[1])}do {stop(node[2])}done"
+        if kind == "for":
+            return f"{node[4]} {node[1]}{'' if node[2] is None else ''.join([' in', *(' ' + w.raw for w in node[2])])}; do {stop(node[3])}done"
+        if kind == "if":
+            arms = "el".join(f"if {stop(t)}then {stop(b)}" for t, b in node[1])
+            return f"{arms}{'else ' + stop(node[2]) if node[2] else ''}fi"
+        if kind == "case":
+            arms = "".join(f"{' | '.join(w.raw for w in p)}) {put(b)}{end(' ')};; " for p, b in node[2])
+            return f"case {node[1].raw} in {arms}esac"
+        if kind == "def":
+            return f"{node[1]}() {put(node[2])}"
+        return (put(node[3]) if node[3] else " ".join(w.raw for w in node[1])) + "".join(map(redirect, node[2]))
+
+    return (put(node) + end("")).strip(" ")
