@@ -65,8 +65,16 @@ def token_counts(docs: DataFrame, scratch: Scratch, vocab: str | None = None, li
     plain = (plain if stored else scratch.table(plain, "texts")).withColumn("row", F.monotonically_increasing_id())
     distinct = plain.select("text").mapInArrow(_distinct(vocab), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     pieces = scratch.table(distinct.mapInArrow(_sizes(vocab), "token string, n long, pieces long"), "pieces")
-    hot = pieces.where(F.length("token") <= HOT_LENGTH).orderBy(F.desc("n"), "token").limit(HOT)
-    hot = scratch.table(hot.select("token", "pieces"), "hot")
+    # the hot ones by a least frequency: from the histogram of their magnitudes, at most HOT of them
+    size = F.floor(F.log2("n") * 8)
+    able = pieces.where(F.length("token") <= HOT_LENGTH)
+    least, left = None, HOT
+    for r in able.groupBy(size.alias("size")).agg(F.count("*").alias("tokens")).orderBy(F.desc("size")).collect():  # some hundred rows
+        left -= r["tokens"]
+        if left < 0:
+            break
+        least = r["size"]
+    hot = scratch.table(able.where(F.lit(False) if least is None else size >= least).select("token", "pieces"), "hot")
     cold = scratch.table(pieces.join(F.broadcast(hot.select("token")), "token", "left_anti"), "cold")
     per_row = plain.select("row", "text").mapInArrow(_frequencies(vocab), "row long, token string, times long")
     found = per_row.join(F.broadcast(hot), "token").select("row", (F.col("times") * F.col("pieces")).alias("tokens"))
