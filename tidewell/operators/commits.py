@@ -40,3 +40,13 @@ def fold_renames(facts: DataFrame, renames: DataFrame, sums: list[str]) -> DataF
     """Facts by (agent, path) with old names replaced and summed again."""
     moved = facts.join(renames, "path", "left").withColumn("path", F.coalesce("now", "path"))
     return moved.groupBy("agent", "path").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def first_writers(writes: DataFrame, notes: DataFrame) -> DataFrame:
+    """(name, session, at) of the earliest write (path, session, at) to each note that states no session itself.
+
+    Writes by tools and by shells count alike; a path belongs to the note whose file name it ends with.
+    """
+    wanted = notes.where(F.coalesce("origin_session", F.lit("")) == "").select("name")
+    named = writes.withColumn("name", F.regexp_extract("path", r"([^/]+)\.md$", 1)).where("at IS NOT NULL")
+    return named.join(wanted, "name", "left_semi").groupBy("name").agg(F.min_by("session", F.struct("at", "session")).alias("session"), F.min("at").alias("at"))

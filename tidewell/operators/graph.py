@@ -211,3 +211,14 @@ def separation(positions: DataFrame) -> DataFrame:
     d = F.sqrt(sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in "yz"), F.pow(F.col("a_x") - F.col("b_x"), 2)))
     both = a.join(b, F.col("a_name") < F.col("b_name")).select(d.alias("d"), (F.col("a_cluster") == F.col("b_cluster")).alias("same"))
     return both.agg(F.try_divide(F.avg(F.when(F.col("same"), F.col("d"))), F.avg(F.when(~F.col("same"), F.col("d")))).alias("separation"))
+
+
+def enrich(nodes: DataFrame, usage: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Nodes with their usage and the number and strength of their affinities, where those tables exist."""
+    out = nodes
+    if usage is not None:
+        out = out.join(usage, "name", "left")
+    if pairs is not None:
+        ends = pairs.select(F.col("a").alias("name"), "npmi").unionByName(pairs.select(F.col("b").alias("name"), "npmi"))
+        out = out.join(ends.groupBy("name").agg(F.count("*").alias("affinities"), F.max("npmi").alias("strongest")), "name", "left").withColumn("affinities", F.coalesce("affinities", F.lit(0)))
+    return out

@@ -108,3 +108,36 @@ def passed_for(findings: DataFrame, notes: DataFrame, session: str) -> DataFrame
     own = notes.where(F.col("origin_session") == session).select(F.col("name").alias("memory"))
     mine = findings.where(F.col("memory") == "").unionByName(findings.join(own, "memory", "left_semi").select(*findings.columns))
     return passed(mine)
+
+
+# Segments under the code root that are no repository.
+NOT_A_REPO = ["check"]
+
+
+def repos_named(block, code_root: str):
+    """Distinct repositories that a block names under ``~/Code/`` or the absolute root, final dots dropped."""
+    import re
+
+    prefix = "(?:" + re.escape("~/Code/") + "|" + re.escape(code_root.rstrip("/") + "/") + ")"
+    seg = F.transform(F.regexp_extract_all(block, F.lit(prefix + r"([A-Za-z0-9_.-]*)"), 1), lambda x: F.regexp_replace(x, r"\.+$", ""))
+    return F.filter(F.array_distinct(seg), lambda x: (x != "") & ~x.isin(NOT_A_REPO))
+
+
+def check_world(blocks: DataFrame, repos: DataFrame, code_root: str, readable: bool = True) -> DataFrame:
+    """Repositories that a note's blocks (name, block) send a reader to and that aren't there, once for each note.
+
+    A block that names the repository's place in the archive says that it is retired. A root that
+    can't be read is itself the only finding.
+    """
+    if not readable:
+        row = [("unresolvable-code-root", "(corpus)", f"{code_root} is not a readable directory")]
+        return blocks.sparkSession.createDataFrame(row, "rule string, memory string, detail string")
+    named = blocks.select("name", "block", F.explode(repos_named(F.col("block"), code_root)).alias("repo"))
+    named = named.where(~F.col("block").contains(F.concat(F.lit("~/Archive/"), "repo")))
+    dead = named.join(repos, "repo", "left_anti").select("name", "repo").distinct()
+    return dead.select(F.lit("dead-repo-path").alias("rule"), F.col("name").alias("memory"), F.concat(F.lit("~/Code/"), "repo", F.lit(" does not exist")).alias("detail"))
+
+
+def relation_usage(links: DataFrame) -> DataFrame:
+    """Links of each stated relation, those without one as null."""
+    return links.groupBy("relation").agg(F.count("*").alias("links"))

@@ -106,3 +106,80 @@ def top_places(facts: DataFrame, by: str, weight: str, name: str, k: int) -> Dat
 
     rn = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(weight), name))
     return facts.withColumn("place", rn).where(F.col("place") <= k)
+
+
+def name_of_session(sessions: DataFrame) -> DataFrame:
+    """(session, agent): of the agents (agent, session, rank) that have a session, the first in rank and then name."""
+    return sessions.groupBy("session").agg(F.min_by("agent", F.struct("rank", "agent")).alias("agent"))
+
+
+def tool_uses(calls: DataFrame, code_root: str) -> DataFrame:
+    """Reads and edits of each agent and path under the code root by completed tool calls (agent, path, role, verdict)."""
+    from ..functions.paths import attributable, relative_to
+
+    rel = relative_to(F.col("path"), code_root)
+    done = calls.where((F.col("verdict") == "ok") & attributable(rel)).withColumn("path", rel)
+    return done.groupBy("agent", "path").agg(F.count_if(F.col("role") == "read").alias("reads"), F.count_if(F.col("role") == "write").alias("edits"))
+
+
+def memory_uses(calls: DataFrame, shell: DataFrame, memory_root: str) -> DataFrame:
+    """Uses of each note by agent: tool calls (agent, path, role, verdict) that were completed, and shell uses
+    (agent, path, write, verdict, reached), which count as certain by admission and as possible else."""
+    from ..functions.paths import memory_of
+    from .outcomes import admits
+
+    tool = calls.where("verdict = 'ok'").select("agent", memory_of(F.col("path"), memory_root).alias("memory"), (F.col("role") == "write").alias("write"), F.lit(True).alias("sure"))
+    sure = admits(F.col("verdict"), F.col("reached"))
+    ran = shell.where("verdict <> 'rejected'").select("agent", memory_of(F.col("path"), memory_root).alias("memory"), "write", sure.alias("sure"))
+    w, s = F.col("write"), F.col("sure")
+    counts = [F.count_if(~w & s).alias("reads"), F.count_if(w & s).alias("edits"), F.count_if(~w & ~s).alias("maybe_reads"), F.count_if(w & ~s).alias("maybe_edits")]
+    return tool.unionByName(ran).where("memory IS NOT NULL").groupBy("agent", "memory").agg(*counts)
+
+
+def transcript_counts(files: DataFrame) -> DataFrame:
+    """Per agent its own and delegated transcripts and the sessions that own them (agent, owner, delegated)."""
+    return files.groupBy("agent").agg(F.count_if(~F.col("delegated")).alias("transcripts"), F.count_if("delegated").alias("delegated"), F.count_distinct("owner").alias("sessions"))
+
+
+def work_order(files: DataFrame) -> DataFrame:
+    """Files of a match (agent, path, edits, reads): most edited, then most read, then by path, within each agent."""
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("edits"), F.desc("reads"), "path"))
+    return files.withColumn("place", rn)
+
+
+def work_matches(files: DataFrame) -> DataFrame:
+    """Agents of a match with the sums of their files, in the same order by name."""
+    return files.groupBy(F.col("agent").alias("name")).agg(F.sum("edits").alias("edits"), F.sum("reads").alias("reads")).orderBy(F.desc("edits"), F.desc("reads"), "name")
+
+
+#: How many places, machines and notes an agent's page shows.
+PLACES, MACHINES, KNOWN = 6, 4, 5
+
+
+def agent_page(tool: DataFrame, recent: DataFrame, remote: DataFrame, memories: DataFrame) -> DataFrame:
+    """Rows (agent, what, name, reads, writes, share, place) of an agent's page.
+
+    Places (tool: agent, project, reads, writes, of calls and shell together) go by recent writing, with
+    recent reading as a thousandth of it (recent: agent, project, read, wrote), as a share of the agent's
+    greatest; machines (agent, host, reads, edits) by all uses; notes (agent, memory, reads, edits) by all
+    uses and then edits; ``total`` rows sum the places.
+    """
+    def top(df, by, k):
+        from pyspark.sql import Window
+
+        return df.withColumn("place", F.row_number().over(Window.partitionBy("agent").orderBy(*by))).where(F.col("place") <= k)
+
+    weight = F.coalesce("wrote", F.lit(0.0)) + F.coalesce("read", F.lit(0.0)) / 1000
+    seen = tool.join(recent, ["agent", "project"], "left").select("agent", F.col("project").alias("name"), "reads", "writes", weight.alias("w"))
+    most = seen.groupBy("agent").agg(F.max("w").alias("top"))
+    places = top(seen, [F.desc("w"), F.desc("writes"), "name"], PLACES).join(most, "agent").withColumn("share", F.coalesce(F.try_divide("w", "top"), F.lit(0.0)))
+    hosts = remote.groupBy("agent", F.col("host").alias("name")).agg(F.sum("reads").alias("reads"), F.sum("edits").alias("writes"))
+    machines = top(hosts, [F.desc(F.col("reads") + F.col("writes")), "name"], MACHINES)
+    notes = memories.select("agent", F.col("memory").alias("name"), "reads", F.col("edits").alias("writes"))
+    known = top(notes, [F.desc(F.col("reads") + F.col("writes")), F.desc("writes"), "name"], KNOWN)
+    total = tool.groupBy("agent").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes")).withColumn("name", F.lit("")).withColumn("place", F.lit(0))
+    parts = [("place", places), ("machine", machines), ("note", known), ("total", total)]
+    cols = lambda what, df: df.select("agent", F.lit(what).alias("what"), "name", "reads", "writes", (F.col("share") if what == "place" else F.lit(None).cast("double")).alias("share"), "place")
+    return reduce(DataFrame.unionByName, [cols(what, df) for what, df in parts])

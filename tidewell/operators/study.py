@@ -59,3 +59,27 @@ def snapshot_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Treated are names that went; controls those that stayed."""
     gone = before.select("name").join(after, "name", "left_anti").distinct().withColumn("treated", F.lit(True))
     return gone.unionByName(after.select("name").distinct().withColumn("treated", F.lit(False)))
+
+
+#: Rows of a list; most weighted reads of what is rarely opened; least of what is still consulted.
+LISTED, RARELY, CONSULTED = 15, 1.0, 0.5
+
+
+def lists(standings: DataFrame) -> DataFrame:
+    """(list, name, weight, place): indexed notes without a home that are rarely opened (by name), notes off the
+    index that are still consulted (most first), and indexed rules (never opened ones first)."""
+    s, w = standings, F.col("weight")
+
+    def top(name: str, where, order):
+        few = s.where(where).orderBy(*order).limit(LISTED)
+        return few.select(F.lit(name).alias("list"), "name", "weight", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+    homeless = top("no home", F.col("indexed") & (F.col("homes") == 0) & (w <= RARELY) & ~F.col("behavioural"), ["name"])
+    archive = top("still consulted", ~F.col("indexed") & (w > CONSULTED), [F.desc("weight"), "name"])
+    rules = top("rules", F.col("behavioural") & F.col("indexed"), ["weight", "name"])
+    return homeless.unionByName(archive).unionByName(rules)
+
+
+def rule_counts(standings: DataFrame) -> DataFrame:
+    """Indexed rules, and how many of them were never opened."""
+    return standings.where(F.col("behavioural") & F.col("indexed")).agg(F.count("*").alias("rules"), F.count_if(F.col("weight") == 0).alias("never"))

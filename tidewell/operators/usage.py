@@ -101,3 +101,45 @@ def task_counts(tasks: DataFrame, strays: DataFrame) -> DataFrame:
 def commonest(rows: DataFrame, col: str, order: str) -> DataFrame:
     """The most frequent value, ties to the one counted first."""
     return rows.groupBy(col).agg(F.count("*").alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first").limit(1).drop("_first")
+
+
+# Directories whose conversations aren't listed.
+DISPOSABLE = ["/tmp/", "/private/tmp/", "/var/folders/"]
+
+
+def listed(conversations: DataFrame, running: DataFrame) -> DataFrame:
+    """Conversations (id, name, dir, modified) outside scratch directories, newest first, and whether a running
+    process has their id or their name as an argument (running: argument)."""
+    scratch = F.lit(False)
+    for d in DISPOSABLE:
+        scratch = scratch | F.coalesce(F.col("dir"), F.lit("")).startswith(d)
+    said = running.select("argument").distinct()
+    by_id = said.select(F.col("argument").alias("id"), F.lit(True).alias("_a"))
+    by_name = said.select(F.col("argument").alias("name"), F.lit(True).alias("_b"))
+    out = conversations.where(~scratch).join(by_id, "id", "left").join(by_name, "name", "left")
+    return out.select(*conversations.columns, F.coalesce("_a", "_b", F.lit(False)).alias("busy")).orderBy(F.desc("modified"), "id")
+
+
+def ranked(live: DataFrame, past: DataFrame, off: int = 9) -> DataFrame:
+    """Live sessions (id, rank, at) and past conversations (id, at) that aren't live, by rank, then newest."""
+    gone = past.join(live.select("id"), "id", "left_anti").select("id", F.lit(off).alias("rank"), "at")
+    return live.select("id", "rank", "at").unionByName(gone).orderBy("rank", F.desc("at"), "id")
+
+
+def idlest(sessions: DataFrame) -> DataFrame:
+    """The session to ask: one that doesn't work before one that does, then the one heard last (session, working, last_heard)."""
+    return sessions.agg(F.max_by("session", F.struct((~F.col("working")).alias("idle"), "last_heard", "session")).alias("session"))
+
+
+# Statuses of tasks, whether they are open, and their rank.
+STANDING = [("doing", True, 0), ("open", True, 1), ("done", False, 2), ("dropped", False, 3)]
+UNKNOWN_RANK = 1
+
+
+def shown_tasks(tasks: DataFrame, everything: bool = False) -> DataFrame:
+    """Open tasks (session, seq, status), or all, by the rank of their status and then as they were made; an
+    unknown status is open and ranks as open."""
+    ranks = tasks.sparkSession.createDataFrame(STANDING, "status string, open boolean, rank int")
+    t = tasks.join(F.broadcast(ranks), "status", "left").withColumn("open", F.coalesce("open", F.lit(True))).withColumn("rank", F.coalesce("rank", F.lit(UNKNOWN_RANK)))
+    t = t if everything else t.where("open")
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("rank", "seq"))).select("session", "seq", "status", "place")

@@ -54,3 +54,9 @@ def index_entry_cost(index: Column, name: Column) -> Column:
     """Bytes of the index line that links a note, with its line end; 0 if there is none."""
     line = F.call_function("regexp_extract", index, F.concat(F.lit(r"(?m)^(.*\]\("), name, F.lit(r"\.md\).*)$")), F.lit(1))
     return F.when(line != "", F.octet_length(line) + 2).otherwise(0)
+
+
+def run_counts(entries: DataFrame, by: str = "session") -> DataFrame:
+    """Tool entries (settled, verdict) of each session: calls, failed, running, and settled ones without a record."""
+    tool, settled, verdict = F.col("kind") == "tool", F.col("settled"), F.col("verdict")
+    return entries.where(tool).groupBy(by).agg(F.count("*").alias("calls"), F.count_if(settled & (verdict == "failed")).alias("failed"), F.count_if(~settled).alias("running"), F.count_if(settled & verdict.isNull()).alias("unrecorded"))

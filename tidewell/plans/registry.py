@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, corpus
+from . import activity, corpus, people
 
-QUERIES = activity.QUERIES | corpus.QUERIES
-ORACLE_SQL = activity.ORACLE_SQL | corpus.ORACLE_SQL
+QUERIES = activity.QUERIES | corpus.QUERIES | people.QUERIES
+ORACLE_SQL = activity.ORACLE_SQL | corpus.ORACLE_SQL | people.ORACLE_SQL
