@@ -105,14 +105,18 @@ def recorded(decoded: DataFrame) -> DataFrame:
     line = decoded.withColumn("blocks", F.coalesce("blocks", F.when(type_.isin("user", "assistant") & get("$.message.content").isNotNull(), plain)))
     carries = F.exists("blocks", lambda b: b["type"] == "image")
 
-    queued = F.when((type_ == "queue-operation") & (get("$.operation") == "enqueue"), _finished(F.coalesce(get("$.content"), F.lit(""))))
-    compacted = F.when((type_ == "system") & (get("$.subtype") == "compact_boundary"), _event("compacted"))
+    # generators keep what they make from being made again for each use
+    once = lambda **f: F.inline(F.array(F.struct(*[v.alias(k) for k, v in f.items()])))
+    head = line.where(type_.isin("queue-operation", "system", "assistant")).select("file", "at", "type", "prompt_tokens", once(operation=get("$.operation"), content=F.coalesce(get("$.content"), F.lit("")), subtype=get("$.subtype")))
+    queued = F.when((type_ == "queue-operation") & (F.col("operation") == "enqueue"), _finished(F.col("content")))
+    compacted = F.when((type_ == "system") & (F.col("subtype") == "compact_boundary"), _event("compacted"))
     context = F.when((type_ == "assistant") & F.col("prompt_tokens").isNotNull(), _event("context", tokens=F.col("prompt_tokens")))
-    heads = line.select("file", "at", F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.coalesce(queued, compacted, context).alias("e"))
+    heads = head.select("file", "at", F.lit(-1).alias("pos"), F.lit(0).alias("part"), F.coalesce(queued, compacted, context).alias("e"))
 
     each = line.where(type_.isin("user", "assistant")).select("file", "at", "type", carries.alias("carries"), F.posexplode("blocks").alias("pos", "b"))
     text, whole = F.coalesce("b.text", F.lit("")), F.col("whole")
-    each = each.withColumn("whole", F.when(F.col("b.type") == "tool_result", result_text(F.col("b.content")))).withColumn("text", text)
+    each = each.select("file", "at", "type", "carries", "pos", "b", once(whole=F.when(F.col("b.type") == "tool_result", result_text(F.col("b.content"))), text=text))
+    each = each.select("*", once(command=commanded(F.col("text")), ended=_finished(F.col("text"))))
     long = F.char_length(whole) > RESULT_SNIPPET
     result = _event("result", id=F.col("b.tool_use_id"), ok=~F.coalesce("b.is_error", F.lit(False)), text=F.when(long, F.substring(whole, 1, RESULT_SNIPPET)).otherwise(whole), cut=F.when(long, F.char_length(whole)))
     # a picture's copy: the last note of it in the text, up to its closing bracket
@@ -123,13 +127,14 @@ def recorded(decoded: DataFrame) -> DataFrame:
     words = F.when(note.isNull(), F.col("text")).otherwise(F.trim(F.concat(before, F.substr(note, F.call_function("instr", note, F.lit(")")) + 1))))
     user = F.col("type") == "user"
     said = (F.col("b.type") == "text") & user
-    prompt = F.when(is_notification(F.col("text")), F.lit(None)).when(commanded(F.col("text")).isNotNull(), _event("command", text=commanded(F.col("text")))).when(~is_plumbing(F.col("text")), _event("prompt", text=F.col("text")))
+    own = ~is_notification(F.col("text"))
+    prompt = F.when(own & F.col("command").isNotNull(), _event("command", text=F.col("command"))).when(own & ~is_plumbing(F.col("text")), _event("prompt", text=F.col("text")))
     first = (
         F.when((F.col("b.type") == "text") & ~user, _event("text", text=F.col("text")))
         .when((F.col("b.type") == "tool_use") & ~user, _event("tool", id=F.col("b.id"), name=F.col("b.name"), text=F.to_json("b.input")))
         .when((F.col("b.type") == "tool_result") & user, result)
         .when(said & F.col("carries"), F.when(note.isNotNull(), _event("shown", name=file)))
-        .when(said, F.coalesce(_finished(F.col("text")), prompt))
+        .when(said, F.coalesce("ended", prompt))
     )
     second = F.when(said & F.col("carries") & (words != ""), _event("prompt", text=words))
     events = each.select("file", "at", "pos", F.posexplode(F.array(first, second)).alias("part", "e")).unionByName(heads).where("e IS NOT NULL")
