@@ -161,3 +161,33 @@ def test_turns_far_below_their_prompt(spark):
     n = spark.createDataFrame(deep + other, "session string, uuid string, parent string, prompt string, line_no int")
     got = {(r.session, r.uuid): r.turn for r in turns.inherit(n).collect()}
     assert got == {("s", f"m{i}"): "p" for i in range(150)} | {(s, u): u for s, u, *_ in other}
+
+
+def test_communities_of_known_graphs(spark):
+    """Cliques on a ring fall apart into themselves, and each level's modularity is no less than the one before."""
+    from itertools import combinations
+
+    from tidewell.operators import graph
+
+    edges = [(f"{c}{i}", f"{c}{j}") for c in "abcdef" for i, j in combinations(range(5), 2)] + [(f"{x}0", f"{y}1") for x, y in zip("abcdef", "bcdefa", strict=True)]
+    rows = graph.louvain(spark.createDataFrame(edges, "src string, dst string")).collect()
+    level = lambda n: {r.name: r.cluster for r in rows if r.level == n}
+    first = level(0)
+    assert len(set(first.values())) == 6 and all(len({first[f"{c}{i}"] for i in range(5)}) == 1 for c in "abcdef")
+
+    def modularity(of):
+        m, deg = len(edges), {}
+        for a, b in edges:
+            deg[a], deg[b] = deg.get(a, 0) + 1, deg.get(b, 0) + 1
+        inside = sum(of[a] == of[b] for a, b in edges) / m
+        return inside - sum((sum(d for n, d in deg.items() if of[n] == c) / (2 * m)) ** 2 for c in set(of.values()))
+
+    values = [modularity(level(n)) for n in range(max(r.level for r in rows) + 1)]
+    assert values == sorted(values) and values[0] > 0.6
+
+
+def test_cycles_of_messages(spark):
+    rows = [("s", "a", "b", 1), ("s", "b", "c", 2), ("s", "c", "a", 3), ("s", "d", "a", 4), ("s", "e", "e", 5), ("s", "f", None, 6), ("s", "g", "f", 7), ("t", "a", "b", 1), ("t", "b", "a", 2)]
+    n = spark.createDataFrame(rows, "session string, uuid string, parent string, line_no int")
+    assert {tuple(r) for r in turns.cycles(n).collect()} == {("s", "a", 3), ("s", "e", 1), ("t", "a", 2)}
+    assert turns.cycles(n.where("uuid IN ('f', 'g')")).count() == 0

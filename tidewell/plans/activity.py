@@ -401,40 +401,67 @@ def deaf_after(spark, d):
     return work(spark, d).select("seq", usage.deaf_after(ms(k % 10), F.when(k % 3 > 0, ms(k % 11)), F.when(k % 4 > 0, ms(s % 9)), s % 5 == 0, F.lit(200000).cast("long")).alias("deaf"))
 
 
-#: Commands with known uses, for the readers of program text.
-COMMANDS = [
-    ("cat a.txt b.txt", "/code/app"), ("cd src && sed -i s/x/y/ m.py", "/code/app"), ("(cd src; cat m.py); cat m.py", "/code/app"), ("cp a.txt b.txt", "/code/app"),
-    ("for f in a.txt b.txt; do wc $f; done", "/code/app"), ("for f in *.log; do cat $f; done", "/code/app"), ("ssh u@box.lan 'cat /etc/hosts'", "/code/app"), ("cat $(git rev-parse HEAD)", "/code/app"), ("cargo test && git commit -m x", "/code/app"), ("cat 'torn", "/code/app"),
-]
+# commands made from events, by the last digit of their number; what each uses follows from how it is made
+_MADE = f"(SELECT DISTINCT CAST(seq % 10 AS INT) AS way, k, user_id AS u FROM {WORK})"
+
+
+def _commands(spark, d):
+    w = work(spark, d).select((F.col("seq") % 10).cast("int").alias("way"), F.col("k").cast("string").alias("k"), F.col("user_id").cast("string").alias("u"), (F.col("k") % 3 + 1).cast("string").alias("n")).distinct()
+    put = lambda *parts: F.concat(*[F.col(x) if x in ("k", "u", "n") else F.lit(x) for x in parts])
+    made = [
+        put("cat f", "k", ".txt g", "u", ".txt"),
+        put("cd d", "k", " && sed -i s/x/y/ m", "u", ".py"),
+        put("(cd d", "k", "; cat a", "u", ".txt); rm b", "u", ".txt"),
+        put("for i in $(seq 1 ", "n", "); do touch n", "u", ".", "k", "_$i.txt; done"),
+        put("diff <(sort p", "k", ") <(sort q", "u", ") || cp p", "k", " r", "u"),
+        put("ssh me@h", "k", ".lan 'cat /etc/c", "u", "'"),
+        put("x=$(cat l", "u", ".", "k", ") && rm $x"),
+        put("cat f", "k", " 'torn ", "u"),
+        put("cargo test && git commit -m x", "k", "u"),
+        put("! grep -n foo s", "k", ".rs > o", "u", ".log &"),
+    ]
+    return w.select(F.element_at(F.array(*made), F.col("way") + 1).alias("cmd"), F.lit("/code/app").alias("cwd"))
+
+
+def _read(spark, d):
+    from ..shell.extract import read_commands
 
+    return read_commands(_commands(spark, d), "/home/example")
 
-def _read(spark):
-    from ..shell.extract import read_commands
 
-    return read_commands(spark.createDataFrame(COMMANDS, "cmd string, cwd string"), "/home/example")
+_CMD = """(CASE way WHEN 0 THEN 'cat f' || k || '.txt g' || u || '.txt' WHEN 1 THEN 'cd d' || k || ' && sed -i s/x/y/ m' || u || '.py'
+ WHEN 2 THEN '(cd d' || k || '; cat a' || u || '.txt); rm b' || u || '.txt' WHEN 3 THEN 'for i in $(seq 1 ' || (k % 3 + 1) || '); do touch n' || u || '.' || k || '_$i.txt; done'
+ WHEN 4 THEN 'diff <(sort p' || k || ') <(sort q' || u || ') || cp p' || k || ' r' || u WHEN 5 THEN 'ssh me@h' || k || '.lan ''cat /etc/c' || u || '''' WHEN 6 THEN 'x=$(cat l' || u || '.' || k || ') && rm $x'
+ WHEN 7 THEN 'cat f' || k || ' ''torn ' || u WHEN 8 THEN 'cargo test && git commit -m x' || k || u WHEN 9 THEN '! grep -n foo s' || k || '.rs > o' || u || '.log &' END)"""
 
 
-@query("""SELECT * FROM (VALUES ('cat a.txt b.txt', NULL, '/code/app/a.txt', false, 'always'), ('cat a.txt b.txt', NULL, '/code/app/b.txt', false, 'always'), ('cd src && sed -i s/x/y/ m.py', NULL, '/code/app/src/m.py', true, 'on-success'),
- ('(cd src; cat m.py); cat m.py', NULL, '/code/app/src/m.py', false, 'always'), ('(cd src; cat m.py); cat m.py', NULL, '/code/app/m.py', false, 'always'), ('cp a.txt b.txt', NULL, '/code/app/a.txt', false, 'always'), ('cp a.txt b.txt', NULL, '/code/app/b.txt', true, 'always'),
- ('for f in a.txt b.txt; do wc $f; done', NULL, '/code/app/a.txt', false, 'always'), ('for f in a.txt b.txt; do wc $f; done', NULL, '/code/app/b.txt', false, 'always'), ('ssh u@box.lan ''cat /etc/hosts''', 'box', '/etc/hosts', false, 'always')) t(cmd, host, path, write, reached)""")
+@query(f"""WITH m AS {_MADE}, u AS (
+ SELECT way, k, u, NULL AS host, 'f' || k || '.txt' AS path, false AS write, 'always' AS reached FROM m WHERE way = 0 UNION ALL SELECT way, k, u, NULL, 'g' || u || '.txt', false, 'always' FROM m WHERE way = 0
+ UNION ALL SELECT way, k, u, NULL, 'd' || k || '/m' || u || '.py', true, 'on-success' FROM m WHERE way = 1 UNION ALL SELECT way, k, u, NULL, 'd' || k || '/a' || u || '.txt', false, 'always' FROM m WHERE way = 2 UNION ALL SELECT way, k, u, NULL, 'b' || u || '.txt', true, 'always' FROM m WHERE way = 2
+ UNION ALL SELECT way, k, u, NULL, 'n' || u || '.' || k || '_' || unnest(range(1, k % 3 + 2)) || '.txt', true, 'always' FROM m WHERE way = 3 UNION ALL SELECT way, k, u, NULL, 'p' || k, false, unnest(['always', 'sometimes']) FROM m WHERE way = 4
+ UNION ALL SELECT way, k, u, NULL, 'q' || u, false, 'always' FROM m WHERE way = 4 UNION ALL SELECT way, k, u, NULL, 'r' || u, true, 'sometimes' FROM m WHERE way = 4 UNION ALL SELECT way, k, u, 'h' || k, '/etc/c' || u, false, 'always' FROM m WHERE way = 5
+ UNION ALL SELECT way, k, u, NULL, 'l' || u || '.' || k, false, 'always' FROM m WHERE way = 6 UNION ALL SELECT way, k, u, NULL, 's' || k || '.rs', false, 'always' FROM m WHERE way = 9 UNION ALL SELECT way, k, u, NULL, 'o' || u || '.log', true, 'always' FROM m WHERE way = 9)
+ SELECT {_CMD} AS cmd, host, CASE WHEN starts_with(path, '/') THEN path ELSE '/code/app/' || path END AS path, write, reached FROM u""")
 def read_command(spark, d):
     from ..shell.extract import file_uses
 
-    return file_uses(_read(spark)).drop("cwd")
+    return file_uses(_read(spark, d)).drop("cwd")
 
 
-@query()
+@query(f"""WITH m AS {_MADE}, a AS (SELECT unnest(CASE way WHEN 0 THEN ['inspect'] WHEN 1 THEN ['navigate', 'edit'] WHEN 2 THEN ['navigate', 'inspect', 'edit'] WHEN 3 THEN list_transform(range(k % 3 + 1), lambda x: 'edit') WHEN 4 THEN ['inspect', 'inspect', 'inspect', 'edit']
+ WHEN 5 THEN ['inspect', 'observe'] WHEN 6 THEN ['inspect', 'edit'] WHEN 8 THEN ['test', 'version control'] WHEN 9 THEN ['edit'] END) AS activity FROM m WHERE way <> 7) SELECT activity, count(*) AS commands FROM a GROUP BY activity""")
 def activity_of_command(spark, d):
     from ..shell.extract import activity_report
 
-    return activity_report(_read(spark))
+    return activity_report(_read(spark, d))
 
 
-@query()
+@query(f"""WITH m AS {_MADE} SELECT CASE way WHEN 7 THEN 'unclosed single quote' ELSE 'read' END AS reason, count(*) AS commands, CAST(sum(CASE way WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN k % 3 + 1 WHEN 4 THEN 4 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 9 THEN 2 ELSE 0 END) AS BIGINT) AS uses,
+ CAST(sum(CASE way WHEN 6 THEN 1 WHEN 7 THEN 1 ELSE 0 END) AS BIGINT) AS undetermined, CAST(sum(octet_length(CAST({_CMD} AS BLOB))) AS BIGINT) AS bytes FROM m GROUP BY 1""")
 def parse_report(spark, d):
     from ..shell.extract import report
 
-    return report(_read(spark))
+    return report(_read(spark, d))
 
 
 def _stream(spark, df, files: int):

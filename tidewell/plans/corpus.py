@@ -66,10 +66,15 @@ def _hrefs(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-@query(rf"""SELECT url, '/' || array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/') AS path FROM pages""")
+_PLAIN = "array_to_string(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: x <> '' AND x <> '.'), '/')"
+
+
+@query(rf"""SELECT url, CASE page_id % 4 WHEN 0 THEN '/' || {_PLAIN} WHEN 1 THEN '/a/' || {_PLAIN} WHEN 2 THEN '/' || {_PLAIN} ELSE '/b/c' END AS path FROM pages""")
 def path_normalize(spark, d):
-    # the pages' addresses hold no ".."; folding of those is tested on literals
-    return table(spark, d, "pages").select("url", P.normalise(F.regexp_replace("url", "^[a-z]+://", "")).alias("path"))
+    u, i = F.regexp_replace("url", "^[a-z]+://", ""), F.col("page_id") % 4
+    up = F.repeat(F.lit("/.."), F.size(F.filter(F.split(u, "/"), lambda x: ~x.isin("", "."))))  # out of all of it again
+    said = F.when(i == 0, u).when(i == 1, F.concat(F.lit("/a/x/./y/../../"), u)).when(i == 2, F.concat(F.lit("../../z/.."), F.lit("/"), u)).otherwise(F.concat(F.lit("/b/"), u, up, F.lit("//c/.")))
+    return table(spark, d, "pages").select("url", P.normalise(said).alias("path"))
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/') AS path FROM pages)
@@ -96,6 +101,19 @@ def host_names(spark, d):
     return table(spark, d, "pages").groupBy(P.short_name(host).alias("host")).agg(F.count("*").alias("pages"))
 
 
+#: How a text begins that an arm of the decision list takes, and what the arm says.
+_ARMS = [
+    ("#!/bin/sh ", "a script with a shebang"), ("select 1 ", "SQL"), ("theorem x ", "Lean"), ("structure a where ", "Lean"), ("def f := ", "Lean"), ("import { x } from ", "TypeScript or JavaScript"), ("export x ", "TypeScript or JavaScript"),
+    ("package a ", "Kotlin or Java"), ("import os ", "Python"), ("def f(): ", "Python"), ("x = open(f).read() ", "Python"), ("fn main ", "Rust"), ("let x = 1 in ", "Dhall"), ("---\na: b ", "YAML"), ("[a]\nb=c ", "INI"), ("<p> ", "markup"), ("set -e ", "shell"), ("hello ", "prose, or nothing recognised"),
+]
+
+
+@query("SELECT doc_id, list_extract(" + str([b for _, b in _ARMS]) + f", CAST(doc_id % {len(_ARMS)} + 1 AS INT)) AS language FROM documents")
+def sniff_arms(spark, d):
+    head = F.element_at(F.array(*[F.lit(a) for a, _ in _ARMS]), (F.col("doc_id") % len(_ARMS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", T.sniff(F.concat(head, F.coalesce("source", F.lit("")))).alias("language"))
+
+
 @query(r"""SELECT CASE WHEN starts_with(ltrim(t, E' \n\t\r'), '<') THEN 'markup' WHEN starts_with(t, 'for ') OR contains(t, E'\nfor ') OR contains(t, E'\nif [') THEN 'shell' WHEN regexp_matches(t, '^\s*(?i:SELECT|CREATE|INSERT|UPDATE|DELETE|PRAGMA|ATTACH|BEGIN|WITH)([^A-Za-z]|$)') THEN 'SQL' ELSE 'prose, or nothing recognised' END AS language, count(*) AS bodies
  FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages) GROUP BY language""")
 def sniff_language(spark, d):
@@ -384,15 +402,20 @@ def graph_rules(spark, d):
     return lint.graph_rules(n, edges, links).select("rule", "memory")
 
 
-@query("SELECT false AS passed")
+_ERRORS = f"(SELECT memory FROM {_RULES} WHERE rule IN (SELECT unnest({[r for r, s in lint.SEVERITY.items() if s == 'error']})))"
+
+
+@query(f"SELECT NOT EXISTS (SELECT 1 FROM {_ERRORS}) AS passed")
 def corpus_pass(spark, d):
     return lint.passed(lint.with_severity(lint.note_rules(_raw_notes(spark, d))))
 
 
-@query("SELECT false AS passed")
+@query(f"SELECT s AS session, NOT EXISTS (SELECT 1 FROM {_ERRORS} e JOIN {_N} n ON n.name = e.memory WHERE n.origin = s) AS passed FROM (SELECT unnest(['s1', 's3', 'nobody']) AS s)")
 def session_pass(spark, d):
     n = _raw_notes(spark, d)
-    return lint.passed_for(lint.with_severity(lint.note_rules(n)), n, "s1")
+    found = lint.with_severity(lint.note_rules(n))
+    rows = [lint.passed_for(found, n, s).withColumn("session", F.lit(s)) for s in ("s1", "s3", "nobody")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT DISTINCT 'dead-repo-path' AS rule, 'd' || doc_id AS memory, source AS detail FROM documents WHERE source NOT IN ('src1', 'src2') AND doc_id % 5 > 0")
