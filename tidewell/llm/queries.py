@@ -65,7 +65,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades from the two labels: 0 of low quality, 1 of high quality but toxic, 2 of high quality."""
+    """Grades from the two labels: 0 of low quality, 1 of high quality but toxic, 2 of high quality.
+
+    ``labels`` has no finer rating. P(grade >= 1), by which texts are selected, is thus of quality alone.
+    """
     from . import quality
 
     docs = table(spark, sf_dir, "documents")
