@@ -143,3 +143,24 @@ def shown_tasks(tasks: DataFrame, everything: bool = False) -> DataFrame:
     t = tasks.join(F.broadcast(ranks), "status", "left").withColumn("open", F.coalesce("open", F.lit(True))).withColumn("rank", F.coalesce("rank", F.lit(UNKNOWN_RANK)))
     t = t if everything else t.where("open")
     return t.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("rank", "seq"))).select("session", "seq", "status", "place")
+
+
+#: How a window's own hearing is named, and what begins the name of a model's window.
+HERE, MODEL_PREFIX = "here", "model:"
+
+
+def combined(own: DataFrame, published: DataFrame, now: int) -> DataFrame:
+    """Own readings (window, utilization, resets_at, at) judged against published ones (also host), per window.
+
+    The published one counts where it is fresher: a later reset, or within a minute of it the higher
+    use, then the later hearing. Windows of models are the own hearing only. Windows that have reset
+    are left out; ``age`` is of what is shown.
+    """
+    p = published.where(~F.col("window").startswith(MODEL_PREFIX)).select("window", *[F.col(c).alias(f"_{c}") for c in ("utilization", "resets_at", "at", "host")])
+    apart = F.coalesce("_resets_at", F.lit(0)) - F.coalesce("resets_at", F.lit(0))
+    same = F.abs(apart) <= SAME_WINDOW
+    later = F.struct("_utilization", "_at") > F.struct("utilization", "at")
+    theirs = F.col("_at").isNotNull() & (F.col("at").isNull() | (apart > SAME_WINDOW) | (same & later))
+    j = own.join(p, "window", "full_outer").withColumn("_theirs", F.coalesce(theirs, F.lit(False)))
+    cols = [F.when(F.col("_theirs"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("utilization", "resets_at", "at")]
+    return reading(j.select("window", *cols, F.when(F.col("_theirs"), F.col("_host")).otherwise(HERE).alias("host")), now)

@@ -284,3 +284,20 @@ def background_says(spark, d):
     )
     e = work(spark, d).select(F.col("agent").alias("file"), F.col("seq").alias("at"), F.lit(0).alias("pos"), F.lit("result").alias("kind"), F.concat(F.lit("t"), k).alias("id"), F.lit(None).cast("string").alias("name"), text.alias("text"))
     return events.running(e)
+
+
+_OWN = f"""(WITH r AS (SELECT CASE kind WHEN 'purchase' THEN 'model:' || kind ELSE kind END AS "window", CAST(seq // 50 AS BIGINT) * 40 AS resets_at, value AS utilization, seq AS "at" FROM {WORK} WHERE kind <> 'signup'), t AS (SELECT "window", max(resets_at) AS top FROM r GROUP BY "window")
+ SELECT "window", utilization, resets_at, "at" FROM (SELECT r.*, row_number() OVER (PARTITION BY r."window" ORDER BY utilization DESC, "at" DESC) AS rn FROM r JOIN t ON r."window" = t."window" AND r.resets_at >= t.top - 60) WHERE rn = 1)"""
+_PUB = f"""(SELECT CASE kind WHEN 'purchase' THEN 'model:' || kind ELSE kind END AS "window", max(value) AS utilization, CASE kind WHEN 'click' THEN 100 WHEN 'error' THEN -100 ELSE 30 END + max(CAST(seq // 50 AS BIGINT) * 40) AS resets_at, max(seq) - 7 AS "at", 'dash' AS host FROM {WORK} GROUP BY kind)"""
+
+
+@query(f"""WITH j AS (SELECT coalesce(o."window", p."window") AS "window", o.utilization AS ou, o.resets_at AS o_r, o."at" AS oa, p.utilization AS pu, p.resets_at AS p_r, p."at" AS pa, p.host AS host FROM {_OWN} o FULL OUTER JOIN (SELECT * FROM {_PUB} WHERE NOT starts_with("window", 'model:')) p ON o."window" = p."window"),
+ k AS (SELECT *, pa IS NOT NULL AND (oa IS NULL OR p_r > o_r + 60 OR (abs(p_r - o_r) <= 60 AND (pu > ou OR (pu = ou AND pa > oa)))) AS theirs FROM j)
+ SELECT "window", CASE WHEN theirs THEN pu ELSE ou END AS utilization, CASE WHEN theirs THEN p_r ELSE o_r END AS resets_at, CASE WHEN theirs THEN pa ELSE oa END AS "at", CASE WHEN theirs THEN host ELSE 'here' END AS host, CAST(500 - CASE WHEN theirs THEN pa ELSE oa END AS BIGINT) AS age FROM k WHERE CASE WHEN theirs THEN p_r ELSE o_r END > 500""")
+def usage_combined(spark, d):
+    k = F.col("kind")
+    w = work(spark, d).select(k.alias("kind"), F.when(k == "purchase", "model:purchase").otherwise(k).alias("window"), (F.floor(F.col("seq") / 50) * 40).alias("resets_at"), F.col("value").alias("utilization"), F.col("seq").alias("at"))
+    own = usage.fresher(w.where("kind <> 'signup'").drop("kind"))
+    more = F.when(k == "click", 100).when(k == "error", -100).otherwise(30)
+    pub = w.groupBy("kind", "window").agg(F.max("utilization").alias("utilization"), F.max("resets_at").alias("r"), (F.max("at") - 7).alias("at"))
+    return usage.combined(own, pub.select("window", "utilization", (F.col("r") + more).alias("resets_at"), "at", F.lit("dash").alias("host")), 500)
