@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, is_empty, join_counted, text_batches
+from .common import Scratch, is_empty, join_counted, small_side, text_batches
 from .components import components
 
 ROWS, BANDS = 6, 53
@@ -72,38 +72,21 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _sets(col) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64).reshape(2, -1) for x in col.to_pylist()]
-
-
 def _sign(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = words.shingle_sets(b.column("text").to_pylist(), width)
-            digests, bands, made = [], [], {}
+            digests, made = [], {None: (None, None)}
             for s in sets:
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.shape[1] else None
-                if d is not None and d not in made:  # copies within a batch share their bands
-                    made[d] = band_keys(signature(s)[None, :])[0].view(np.int64)
-                digests.append(d), bands.append(made.get(d))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
-
-    return run
-
-
-def _full(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("bands", pa.binary()), ("shingles", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            sets = words.shingle_sets(b.column("text").to_pylist(), width)
-            sigs = [signature(s) for s in sets]
-            keys = [band_keys(s[None, :])[0].astype(np.uint32).tobytes() for s in sigs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([short(s).tobytes() for s in sigs], pa.binary()), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema
-            )
+                if d not in made:  # copies within a batch share their signature
+                    sig = signature(s)
+                    made[d] = band_keys(sig[None, :])[0].view(np.int64), short(sig).tobytes()
+                digests.append(d)
+            cols = [pa.array([made[d][i] for d in digests], schema.types[3 + i]) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.shape[1] for s in sets], pa.int64()), pa.array(digests, pa.binary()), *cols], schema=schema)
 
     return run
 
@@ -125,10 +108,11 @@ def _likely(batches):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, width: int):
     def run(batches):
         for b in batches:
-            ok = pa.array([similar(f, g, percent) for f, g in zip(_sets(b.column("fa")), _sets(b.column("fb")), strict=True)], pa.bool_())
+            x, y = (words.shingle_sets(b.column(c).to_pylist(), width) for c in ("ta", "tb"))
+            ok = pa.array([similar(f, g, percent) for f, g in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     return run
@@ -139,7 +123,7 @@ class _Block:
 
     def __init__(self, t: pa.Table):
         self.rep, self.comp, self.home, self.minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp", "home", "minor"))
-        self.sig, self.bands = _bytes(t.column("sig"), np.uint8, len(_A)), _bytes(t.column("bands"), np.uint32, BANDS)
+        self.sig, self.bands = _bytes(t.column("sig"), np.uint8, len(_A)), t.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         self.pos = t.column("pos")[0].as_py()
         self.rows, self.others = np.flatnonzero(self.home), np.flatnonzero(~self.home)
 
@@ -162,7 +146,7 @@ def _meet(t: pa.Table) -> pa.Table:
     return t.select(["band", "hb", "mb", "pos", "rep", "comp", "minor", "home"]).filter(pa.array(some))
 
 
-def _cross(percent: int):
+def _cross(percent: int, width: int):
     """Confirmed links between different components in one block, on full sets.
 
     Pairs are not tried once their components hang together here; so the links that come out are
@@ -170,7 +154,7 @@ def _cross(percent: int):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        b, sets = _Block(t), _sets(t.column("shingles"))
+        b, sets = _Block(t), words.shingle_sets(t.column("text").to_pylist(), width)
         up: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -190,17 +174,22 @@ def _cross(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) whose signatures agree and whose full sets, sent for those alone, are similar enough."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the documents that ``ids`` (rep), a saved table, names; other texts aren't sent anywhere."""
+    return docs.join(small_side(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+
+def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose signatures agree and whose full sets, made again from the texts of those alone, are similar enough."""
 
-    def ends(of: DataFrame, col: str, name: str) -> DataFrame:
-        out = of
+    def ends(pair: DataFrame, of: DataFrame, col: str, name: str) -> DataFrame:
         for end in ("a", "b"):
-            out = out.join(full.select(F.col("rep").alias(end), F.col(col).alias(name + end)), end)
-        return out
+            pair = pair.join(of.select(F.col("rep").alias(end), F.col(col).alias(name + end)), end)
+        return pair
 
-    likely = scratch.table(ends(pairs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct(), "likely")
-    return ends(likely, "shingles", "f").select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
+    likely = scratch.table(ends(pairs, sigs, "sig", "s").select("a", "b", "sa", "sb").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    ids = scratch.table(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    return ends(likely, _texts(docs, ids), "text", "t").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent, width), "a long, b long").distinct()
 
 
 def _nearest(star: DataFrame) -> DataFrame:
@@ -210,15 +199,15 @@ def _nearest(star: DataFrame) -> DataFrame:
     return best.select(F.col("rep").alias("a"), (-F.col("best.low")).alias("b"))
 
 
-def _rest(mixed: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _rest(mixed: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """Links between different components of the nodes that share a bucket: none that counts is left out.
 
     ``mixed`` holds band, pos, rep, n_shingles and comp. In each bucket the rows outside its largest
     component (minor) meet all its rows (home), block by block of either; a pair is looked at in its
-    first common bucket only. Signatures meet first; sets go only to the blocks in which their row
-    has a partner.
+    first common bucket only. Signatures meet first; texts go only to the blocks in which their row
+    has a partner, and become sets there.
     """
-    rows = mixed.withColumn("w", F.col("n_shingles") * 16 + len(_A) + 4 * BANDS)
+    rows = mixed.withColumn("w", F.col("n_shingles") * 32 + len(_A) + 8 * BANDS)
     sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     parts = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -229,10 +218,11 @@ def _rest(mixed: DataFrame, full: DataFrame, percent: int, scratch: Scratch) ->
     cols = ("band", "pos", "rep", "comp", "minor", "home", "hb", "mb")
     as_home = rows.withColumn("home", F.lit(True)).withColumn("hb", mine("nh")).withColumn("mb", F.explode(all_of("nm"))).select(*cols)
     as_minor = rows.where("minor").withColumn("home", F.lit(False)).withColumn("mb", mine("nm")).withColumn("hb", F.explode(all_of("nh"))).select(*cols)
-    signed = as_home.unionByName(as_minor).join(full.select("rep", "sig", "bands"), "rep")
+    signed = as_home.unionByName(as_minor).join(sigs, "rep")
     kept = "band long, hb int, mb int, pos int, rep long, comp long, minor boolean, home boolean"
     met = scratch.table(signed.groupBy("band", "hb", "mb").applyInArrow(_meet, kept), "met")
-    return met.join(full, "rep").groupBy("band", "hb", "mb").applyInArrow(_cross(percent), "a long, b long")
+    ids = scratch.table(met.select("rep").distinct(), "ids")
+    return met.join(sigs, "rep").join(_texts(docs, ids), "rep").groupBy("band", "hb", "mb").applyInArrow(_cross(percent, width), "a long, b long")
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
@@ -251,22 +241,24 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
     """
     text_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = scratch.table(plain.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"), "signed")
     able = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    alone = scratch.table(signed.where(~able).select("doc_id", "n_shingles"), "alone")
     nodes = scratch.table(signed.where(able).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
-    member = join_counted(signed.where(able), nodes, "digest").select("doc_id", "digest", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
-    member = scratch.table(member, "member")
-    banded = member.where("bands IS NOT NULL").select("rep", "n_shingles", F.posexplode("bands").alias("pos", "band"))
+    member = scratch.table(join_counted(signed.where(able).select("doc_id", "digest", "n_shingles"), nodes, "digest").drop("n"), "member")
+    reps = signed.where(able).join(nodes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+    reps = scratch.table(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig"), "reps")
+    scratch.drop(signed)
+    sigs = reps.select("rep", "sig", "bands")
+    banded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("pos", "band"))
     bucket = scratch.table(banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1"), "bucket")
     banded = scratch.table(join_counted(banded, bucket, "band").select("band", "pos", "rep", "n_shingles", "first"), "banded")
-    busy = banded.select(F.col("rep").alias("doc_id")).distinct()
-    full = scratch.table(plain.join(busy, "doc_id", "left_semi").mapInArrow(_full(width), "rep long, sig binary, bands binary, shingles binary"), "full")
 
     # a document of several texts hangs together by its id
     several = member.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
     own = member.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     first = banded.where("rep > first").select("rep", F.col("first").alias("heart"))
-    links = scratch.table(_confirmed(_nearest(first), full, percent, scratch).unionByName(own), "links")
+    links = scratch.table(_confirmed(_nearest(first), reps.select("rep", "sig"), plain, percent, width, scratch).unionByName(own), "links")
     comp = scratch.table(components(links, scratch), "component")
     # buckets in which more than one component is left
     now = banded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "pos", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
@@ -274,12 +266,11 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
     mixed = scratch.table(now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high"), "several")
     now = scratch.table(join_counted(now, mixed, "band").drop("low", "high", "n"), "mixed")
     if not is_empty(now):
-        new = scratch.table(_rest(now, full, percent, scratch), "links")
+        new = scratch.table(_rest(now, sigs, plain, percent, width, scratch), "links")
         if not is_empty(new):
             comp = scratch.table(components(links.unionByName(new), scratch), "component")
     joined = member.select("doc_id", "n_shingles", "rep").join(comp, member["rep"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return joined.unionByName(alone.withColumn("component_id", F.col("doc_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
