@@ -27,7 +27,7 @@ def text_batches(spark: SparkSession) -> None:
     for all operators, so none changes what another's plan finds.
     """
     ship(spark)
-    spark.conf.set(ARROW_ROWS, "512")
+    spark.conf.set(ARROW_ROWS, "256")
     spark.conf.set(ARROW_BYTES, "16m")
 
 

@@ -368,7 +368,7 @@ def best_spans(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     return sorted(out)
 
 
-def find(texts: list[str | None], model: Tagger | None, batch: int = 512) -> list[tuple[list, list]]:
+def find(texts: list[str | None], model: Tagger | None, batch: int = 256) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text."""
     base = [base_spans(t) if t and _ANCHOR.search(t) else [] for t in texts]
     scored: list[dict] = [{} for _ in texts]

@@ -26,7 +26,7 @@ _KIND[ord("0") : ord("9") + 1] = _DIGIT
 _KIND[0x80:] = _LETTER  # parts of Latin-1 letters, in the texts that come this way
 
 #: Distinct pre-tokens that the memo holds before it starts anew.
-MEMO = 1_500_000
+MEMO = 750_000
 #: The same where only names are held, which nothing is saved by keeping for long.
 NAMES = 100_000
 #: Bits of the direct-mapped table in front of the memo.
