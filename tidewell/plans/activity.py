@@ -417,7 +417,7 @@ def _commands(spark, d):
         put("ssh me@h", "k", ".lan 'cat /etc/c", "u", "'"),
         put("x=$(cat l", "u", ".", "k", ") && rm $x"),
         put("cat f", "k", " 'torn ", "u"),
-        put("cargo test && git commit -m x", "k", "u"),
+        put("cargo test && git commit -m x", "k", ".", "u"),
         put("! grep -n foo s", "k", ".rs > o", "u", ".log &"),
     ]
     return w.select(F.element_at(F.array(*made), F.col("way") + 1).alias("cmd"), F.lit("/code/app").alias("cwd"))
@@ -432,7 +432,7 @@ def _read(spark, d):
 _CMD = """(CASE way WHEN 0 THEN 'cat f' || k || '.txt g' || u || '.txt' WHEN 1 THEN 'cd d' || k || ' && sed -i s/x/y/ m' || u || '.py'
  WHEN 2 THEN '(cd d' || k || '; cat a' || u || '.txt); rm b' || u || '.txt' WHEN 3 THEN 'for i in $(seq 1 ' || (k % 3 + 1) || '); do touch n' || u || '.' || k || '_$i.txt; done'
  WHEN 4 THEN 'diff <(sort p' || k || ') <(sort q' || u || ') || cp p' || k || ' r' || u WHEN 5 THEN 'ssh me@h' || k || '.lan ''cat /etc/c' || u || '''' WHEN 6 THEN 'x=$(cat l' || u || '.' || k || ') && rm $x'
- WHEN 7 THEN 'cat f' || k || ' ''torn ' || u WHEN 8 THEN 'cargo test && git commit -m x' || k || u WHEN 9 THEN '! grep -n foo s' || k || '.rs > o' || u || '.log &' END)"""
+ WHEN 7 THEN 'cat f' || k || ' ''torn ' || u WHEN 8 THEN 'cargo test && git commit -m x' || k || '.' || u WHEN 9 THEN '! grep -n foo s' || k || '.rs > o' || u || '.log &' END)"""
 
 
 @query(f"""WITH m AS {_MADE}, u AS (
