@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
 
-def first_outcome(calls: DataFrame, results: DataFrame, key: list[str], order: str = "line_no") -> DataFrame:
+
+def first_outcome(calls: DataFrame, results: DataFrame, key: list[str], order: str = "line_no", save=None, parts: int | None = None) -> DataFrame:
     """Each call with the verdict of its first result at or after it, else ``unknown`` (deferred resolution).
 
-    Calls and results of a key are read once from the last to the first, so a key of many of either
-    costs no pairs; identical calls each keep their row.
+    Calls and results of a key are read once from the last to the first, in ranges of their order, so
+    a key of many of either costs neither pairs nor one long task; identical calls each keep their row.
     """
     both = calls.withColumn("_verdict", F.lit(None).cast("string")).withColumn("_call", F.lit(True)).unionByName(
         results.select(*key, order, F.col("verdict").alias("_verdict"), F.lit(False).alias("_call")), allowMissingColumns=True
     )
-    back = Window.partitionBy(*key).orderBy(F.desc(order), "_call").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = F.coalesce(F.last("_verdict", ignorenulls=True).over(back), F.lit("unknown"))
-    return both.withColumn("verdict", near).where("_call").select(*calls.columns, "verdict")
+    back = scan.Ordered(both, key, [F.desc(order), F.col("_call")], save, parts).values(_near=scan.last("_verdict")).plain()
+    return back.where("_call").select(*calls.columns, F.coalesce("_near", F.lit("unknown")).alias("verdict"))
 
 
 def last_outcome(calls: DataFrame, results: DataFrame, key: list[str], order: str = "line_no") -> DataFrame:

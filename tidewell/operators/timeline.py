@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 PAGE = 200
 
 
@@ -42,21 +44,21 @@ def with_effect_counts(rows: DataFrame, effects: DataFrame) -> DataFrame:
     return rows.join(counts, ["agent", "t"], "left").withColumn("effects", F.coalesce("effects", F.lit(0)))
 
 
-def episodes(lines: DataFrame, source: str = "file", order: str = "line_no") -> DataFrame:
+def episodes(lines: DataFrame, source: str = "file", order: str = "line_no", save=None, parts: int | None = None) -> DataFrame:
     """Lines (source, order, is_prompt, is_work) to episodes that hold work.
 
-    A prompt opens an episode; work before the first prompt of a source belongs to none.
+    A prompt opens an episode; work before the first prompt of a source belongs to none. A source of
+    any size is read in ranges of its order.
     """
-    w = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("episode", F.sum(F.col("is_prompt").cast("long")).over(w))
+    numbered = scan.Ordered(lines.select(source, order, "is_prompt", "is_work"), source, [order], save, parts).values(episode=scan.total(F.col("is_prompt").cast("long"))).plain()
     work = numbered.where(F.col("is_work") & (F.col("episode") > 0))
     return work.groupBy(source, "episode").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("rows"))
 
 
-def heads(rows: DataFrame) -> DataFrame:
+def heads(rows: DataFrame, save=None, parts: int | None = None) -> DataFrame:
     """Newest first, a row heads its episode when the row above it is of another."""
-    above = F.lag("episode").over(Window.partitionBy("source").orderBy(F.desc("seq")))
-    return rows.withColumn("heads", ~F.coalesce(above.eqNullSafe(F.col("episode")), F.lit(False)))
+    seen = scan.Ordered(rows, "source", [F.desc("seq")], save, parts).values(_above=scan.above("episode")).plain()
+    return seen.withColumn("heads", ~F.coalesce(F.col("_above.v").eqNullSafe(F.col("episode")), F.lit(False))).drop("_above")
 
 
 def failed_share(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -64,12 +66,11 @@ def failed_share(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.coalesce(F.try_divide(failed, F.count("*")), F.lit(0.0)).alias("failed_share"))
 
 
-def reverse_page(lines: DataFrame, before: int | None, most: int = 400, source: str = "file", order: str = "line_no") -> DataFrame:
+def reverse_page(lines: DataFrame, before: int | None, most: int = 400, source: str = "file", order: str = "line_no", save=None, parts: int | None = None) -> DataFrame:
     """Lines of each source from the cursor back until ``most`` events; a line is never split, one at least."""
     if before is not None:
         lines = lines.where(F.col(order) < before)
-    w = Window.partitionBy(source).orderBy(F.desc(order))
-    run = lines.withColumn("_sum", F.sum("n_events").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rn", F.row_number().over(w))
+    run = scan.Ordered(lines, source, [F.desc(order)], save, parts).values(_sum=scan.total("n_events"), _rn=scan.count()).plain()
     return run.where((F.col("_sum") <= most) | (F.col("_rn") == 1)).drop("_sum", "_rn")
 
 

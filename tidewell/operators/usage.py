@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Resets within so many seconds are the same window.
 SAME_WINDOW = 60
 
@@ -73,10 +75,10 @@ def deaf_after(idle, oldest, decided, compacting, now):
     return F.when(quiet >= F.when(compacting, 15 * 60_000).otherwise(90_000), quiet)
 
 
-def replay(events: DataFrame, after: int | None, ring: int = 5000, by: str = "session", order: str = "seq") -> DataFrame:
+def replay(events: DataFrame, after: int | None, ring: int = 5000, by: str = "session", order: str = "seq", save=None, parts: int | None = None) -> DataFrame:
     """Events after ``after`` if the ring of the newest still holds that place, else all that it holds."""
-    w = Window.partitionBy(by).orderBy(F.desc(order))
-    kept = events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= ring).drop("_rn")
+    back = scan.Ordered(events, by, [F.desc(order)], save, parts).values(_rn=scan.count()).plain()
+    kept = back.where(F.col("_rn") <= ring).drop("_rn")
     if after is None:
         return kept
     low = kept.groupBy(by).agg(F.min(order).alias("_low"))

@@ -2,45 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tags that wrap what a program, not a person, put into a prompt.
-PLUMBING = ["local-command-stdout", "local-command-stderr", "command-message", "command-args", "system-reminder"]
-
+from .scan import islands
 
 def is_command(text: Column) -> Column:
     """A slash command: one word after the slash, without a second slash in it."""
     return text.rlike(r"^/[A-Za-z][A-Za-z0-9_:-]*(\s|$)")
 
 
-def is_plumbing(text: Column) -> Column:
-    return text.rlike(rf"^\s*<({'|'.join(PLUMBING)})>")
-
-
-def is_notification(text: Column) -> Column:
-    """A task notification that also ends with its tag."""
-    return text.rlike(r"(?s)^\s*<task-notification>.*</task-notification>\s*$")
-
-
-def islands(entries: DataFrame, same: list[str], by: str = "session", order: str = "seq") -> DataFrame:
-    """Numbers the maximal runs of consecutive entries that agree on ``same`` (column ``run``)."""
-    w = Window.partitionBy(by).orderBy(order)
-    key = F.struct(*same)
-    starts = (~F.coalesce(F.lag(key).over(w).eqNullSafe(key), F.lit(False))).cast("long")
-    return entries.withColumn("_s", starts).withColumn("run", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
-
-
-def merged_text(entries: DataFrame, by: str = "session", order: str = "seq") -> DataFrame:
+def merged_text(entries: DataFrame, by: str = "session", order: str = "seq", save=None, parts: int | None = None) -> DataFrame:
     """Consecutive entries of one kind as one: first place, number of parts, characters."""
-    n = islands(entries, ["kind"], by, order)
+    n = islands(entries, ["kind"], by, order, save, parts)
     return n.groupBy(by, "run", "kind").agg(F.min(order).alias("first"), F.count("*").alias("parts"), F.sum(F.char_length("text")).alias("chars")).drop("run")
 
 
-def tool_runs(entries: DataFrame, least: int = 2, by: str = "session", order: str = "seq") -> DataFrame:
+def tool_runs(entries: DataFrame, least: int = 2, by: str = "session", order: str = "seq", save=None, parts: int | None = None) -> DataFrame:
     """Blocks of at least ``least`` consecutive settled tool entries, with how their calls went."""
     settled = (F.col("kind") == "tool") & F.col("settled")
-    n = islands(entries.withColumn("_ok", settled), ["_ok"], by, order).where("_ok")
+    n = islands(entries.withColumn("_ok", settled), ["_ok"], by, order, save, parts).where("_ok")
     counts = [F.count("*").alias("calls"), F.count_if(F.col("verdict") == "failed").alias("failed"), F.count_if(F.col("verdict").isNull()).alias("unrecorded")]
     return n.groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), *counts).where(F.col("calls") >= least).drop("run")
 

@@ -172,11 +172,10 @@ def episodes(spark, d):
 @query(f"""WITH r AS (SELECT file AS source, line_no AS seq, CAST(sum(CAST(is_prompt AS BIGINT)) OVER (PARTITION BY file ORDER BY line_no) AS BIGINT) AS episode FROM {LINES})
  SELECT source, seq, episode, coalesce(lag(episode) OVER (PARTITION BY source ORDER BY seq DESC) <> episode, true) AS heads FROM r""")
 def episode_heads(spark, d):
-    from pyspark.sql import Window
+    from ..operators import scan
 
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(spark, d).select(F.col("file").alias("source"), F.col("line_no").alias("seq"), F.sum(F.col("is_prompt").cast("long")).over(w).alias("episode"))
-    return timeline.heads(rows)
+    rows = lines(spark, d).select(F.col("file").alias("source"), F.col("line_no").alias("seq"), F.col("is_prompt").cast("long").alias("p"))
+    return timeline.heads(scan.Ordered(rows, "source", ["seq"]).values(episode=scan.total("p")).plain().drop("p"))
 
 
 @query(f"SELECT agent, round(coalesce(count(*) FILTER (verdict = 'failed') / count(*), 0), 6) AS failed_share FROM {WORK} GROUP BY agent")

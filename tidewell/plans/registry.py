@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, corpus, people, reading
+from . import activity, corpus, live, people, reading
 
-QUERIES = activity.QUERIES | corpus.QUERIES | people.QUERIES | reading.QUERIES
-ORACLE_SQL = activity.ORACLE_SQL | corpus.ORACLE_SQL | people.ORACLE_SQL | reading.ORACLE_SQL
+QUERIES = activity.QUERIES | corpus.QUERIES | people.QUERIES | reading.QUERIES | live.QUERIES
+ORACLE_SQL = activity.ORACLE_SQL | corpus.ORACLE_SQL | people.ORACLE_SQL | reading.ORACLE_SQL | live.ORACLE_SQL

@@ -8,11 +8,12 @@ need dense numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.text import refused_dirs
+from ..operators import scan
 
 # What a refusal begins with; tracked tools and their roles.
 REFUSAL = "The user doesn't want to proceed with this tool use"
@@ -48,9 +49,9 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     return got.where("raw <> ''").select("file", session.alias("session"), delegated.alias("delegated"), "at", "raw")
 
 
-def numbered(line: DataFrame) -> DataFrame:
-    """Dense line numbers within each file."""
-    return line.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+def numbered(line: DataFrame, save=None, parts: int | None = None) -> DataFrame:
+    """Dense line numbers within each file; a file of any size is numbered in ranges."""
+    return scan.Ordered(line, "file", ["at"], save, parts).values(line_no=scan.count()).plain()
 
 
 def decode(line: DataFrame) -> DataFrame:
@@ -134,35 +135,6 @@ def processes(spark: SparkSession, path: str, parent: int) -> DataFrame:
     return t.where((F.col("ppid") == parent) & F.col("state").startswith("Z"))
 
 
-# The types of transcript lines.
-CONVERSATION = ["user", "assistant", "system", "attachment"]
-
-
-def check(decoded: DataFrame) -> DataFrame:
-    """Structural violations: file, at, rule.
-
-    Torn or unreadable lines, missing types, uuids out of shape, parents that the file doesn't hold,
-    a uuid whose type changes, lines of another session, stamps that can't be read.
-    """
-    d = decoded.withColumn("_ok", F.try_parse_json("raw").isNotNull())
-    talk = d.where(F.col("type").isin("user", "assistant"))
-    rule = lambda df, name: df.select("file", "at", F.lit(name).alias("rule"))
-    known = d.where("uuid IS NOT NULL").select("file", F.col("uuid").alias("parent")).distinct()
-    first = d.where("uuid IS NOT NULL").groupBy("file", "uuid").agg(F.min_by("type", "at").alias("_first"))
-    out = [
-        rule(d.where("NOT _ok"), "unreadable"), rule(d.where("_ok AND type IS NULL"), "missing-type"), rule(talk.where("uuid IS NULL"), "missing-uuid"),
-        rule(talk.where(~F.col("uuid").rlike(UUID)), "malformed-uuid"), rule(talk.where("stamp IS NULL"), "missing-timestamp"),
-        rule(talk.where(F.col("stamp").isNotNull() & F.try_to_timestamp("stamp").isNull()), "malformed-timestamp"), rule(talk.where("of_session IS NULL"), "missing-session"),
-        rule(talk.where("of_session <> session AND NOT delegated"), "foreign-session"), rule(talk.where("blocks IS NULL AND said IS NULL"), "missing-content"),
-        rule(d.where("parent IS NOT NULL").join(known, ["file", "parent"], "left_anti"), "dangling-parent"), rule(d.where("parent = uuid"), "self-parent"),
-        rule(d.join(first, ["file", "uuid"]).where("type <> _first"), "type-change"),
-    ]
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return every
-
-
 def slim(line: DataFrame, cut: int) -> DataFrame:
     """What emptying lines longer than ``cut`` bytes would reclaim."""
     n = F.octet_length("raw")
