@@ -2,9 +2,9 @@
 
 One edit touches at most two bigrams of a word. So if the bigrams of all words are put in one global
 order, rarest first, two words at one edit share one of their three rarest, untouched, at places that
-differ by at most one. Only these three are joined. Since the shared bigram is untouched and there is
-one edit, the words also agree in their first or in their last half; that half is part of the join's
-key, which keeps the groups small. Levenshtein distance decides.
+differ by at most one. Only these three are joined. As there is one edit, the words also agree outside
+one quarter of their length; what they agree in is part of the join's key, which keeps the groups small
+however common a bigram or an ending is. Levenshtein distance decides.
 """
 
 from __future__ import annotations
@@ -62,10 +62,11 @@ def gram_ranks(words: DataFrame) -> list[int]:
 
 
 def _tokens(words: DataFrame, ranks: list[int]) -> DataFrame:
-    """(word, n, key, pos, own): for each of the three rarest bigrams and each half that a near word may share.
+    """(word, n, key, pos, own): for each of the three rarest bigrams and each quarter that an edit may lie in.
 
     A pair is met by the length of its shorter word: a word is met as the shorter or equal one (``own``)
-    and as the longer one.
+    and as the longer one. The quarters are those of that length; what stands before a quarter is equal
+    from the left, what stands after it from the right.
     """
     rank = F.from_json(F.lit(json.dumps(ranks)), "array<int>")  # a constant of the plan
     placed = F.transform(_grams(F.col("word")), lambda g, i: F.struct(F.get(rank, g).alias("rank"), i.alias("pos")))
@@ -73,11 +74,11 @@ def _tokens(words: DataFrame, ranks: list[int]) -> DataFrame:
     ways = []
     for own in (True, False):
         size = F.col("len") if own else F.col("len") - 1
-        half = F.floor(size / 2).cast("int")
-        ways += [
-            F.struct(F.lit(own).alias("own"), F.xxhash64(size, F.lit(0), "gram.rank", F.substring(F.col("word"), F.lit(1), half)).alias("key")),
-            F.struct(F.lit(own).alias("own"), F.xxhash64(size, F.lit(1), "gram.rank", F.substring(F.col("word"), F.col("len") - (size - half) + 1, size - half)).alias("key")),
-        ]
+        cut = lambda k, size=size: F.floor(size * k / 4).cast("int")
+        for k in range(4):
+            after = size - cut(k + 1)
+            same = F.substring(F.col("word"), F.lit(1), cut(k)), F.substring(F.col("word"), F.col("len") - after + 1, after)
+            ways.append(F.struct(F.lit(own).alias("own"), F.xxhash64(size, F.lit(k), "gram.rank", *same).alias("key")))
     return rare.select("word", "n", F.col("gram.pos").alias("pos"), F.explode(F.array(*ways)).alias("way")).select("word", "n", "pos", "way.own", "way.key")
 
 
