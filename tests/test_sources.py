@@ -8,7 +8,7 @@ from tidewell.functions import paths as P
 from tidewell.functions import text as T
 from tidewell.functions import times
 from tidewell.operators import commits, graph, lint, outcomes, roster, turns
-from tidewell.sources import notes, transcripts
+from tidewell.sources import notes, structure, transcripts
 
 
 def line(**k):
@@ -59,8 +59,8 @@ def test_transcripts(spark, tmp_path):
     corpus = transcripts.command_corpus(calls.where("NOT delegated"), res).collect()
     assert [(x.cmd, x.ran, x.refused) for x in corpus] == [("cat a", "failed", ["nope"])]
     assert transcripts.prompts(d).count() == 1
-    found = {(x.rule) for x in transcripts.check(d.where("NOT delegated")).collect()}
-    assert {"unreadable", "dangling-parent", "malformed-timestamp", "malformed-uuid"} <= found
+    found = {x.rule for x in structure.violations(transcripts.lines(spark, tree_path(tmp_path)).where("NOT delegated").withColumn("line_no", F.col("at"))).collect()}
+    assert {"unparseable", "dangling-parent", "missing-field", "malformed-uuid"} <= found
     e = transcripts.ends(d.where("NOT delegated")).first()
     assert e.first_cwd == "/code/app"
     assert transcripts.numbered(transcripts.lines(spark, tree_path(tmp_path))).where("NOT delegated").agg(F.max("line_no")).first()[0] == 7
@@ -152,7 +152,7 @@ def test_naming_and_turns(spark):
     assert {r.owner: r.name for r in roster.agent_names(lines, reg).collect()} == {"s1": "Ada", "s2": "Bob", "s3": "s3"}
     n = spark.createDataFrame([("s", "a", None, "p1", 1), ("s", "b", "a", None, 2), ("s", "c", "b", None, 3), ("s", "x", "y", None, 4), ("s", "y", "x", None, 5)], "session string, uuid string, parent string, prompt string, line_no int")
     assert {r.uuid: r.turn for r in turns.inherit(n).collect()} == {"a": "p1", "b": "p1", "c": "p1", "x": "x", "y": "y"}
-    assert {r.uuid for r in turns.in_cycles(n).collect()} == {"x", "y"}
+    assert [tuple(r) for r in turns.cycles(n).collect()] == [("s", "x", 2)]
 
 
 def test_turns_far_below_their_prompt(spark):
@@ -191,3 +191,25 @@ def test_cycles_of_messages(spark):
     n = spark.createDataFrame(rows, "session string, uuid string, parent string, line_no int")
     assert {tuple(r) for r in turns.cycles(n).collect()} == {("s", "a", 3), ("s", "e", 1), ("t", "a", 2)}
     assert turns.cycles(n.where("uuid IN ('f', 'g')")).count() == 0
+
+
+def test_a_hit_keeps_its_place_when_letters_grow(spark):
+    """Lowering one letter makes it two, and the form of another hangs on what follows: places are those of the text."""
+    find = lambda text, term: one(T.folded_at(L(text), L(term)))
+    assert find("İİ needle", "needle") == 4 and find("xİyİneedle", "needle") == 5 and find("needle İ", "needle") == 1 and find("İ", "needle") == 0
+    assert find("ΟΔΟΣ end", "οδοσ") == 1 and find("ΟΔΟΣ END", "end") == 6 and find("STRASSE Straße", "straße") == 9
+    assert find("İ\ue000İ needle", "needle") == 5 and find("Idle", "idle") == 1
+    cut = lambda text, term: one(T.snippet(L(text), L(term), around=3))
+    assert cut("İİİİİİİİ abc needle def", "needle") == "…bc needle de…" and cut("İneedle", "needle") == "İneedle"
+
+
+def test_slim(spark):
+    kept = line(type="user", message={"content": "about a task_reminder"})
+    full = line(type="attachment", attachment={"type": "task_reminder", "content": [{"id": "é"}, 2]})
+    none = line(type="attachment", attachment={"type": "task_reminder", "content": []})
+    rows = [(r,) for r in (kept, full, none, "{}", "torn task_reminder {", "plain")]
+    r = transcripts.slim(spark.createDataFrame(rows, "raw string")).first()
+    size = lambda x: len(x.encode()) + 1
+    left = json.dumps({"type": "attachment", "attachment": {"type": "task_reminder", "content": []}}, separators=(",", ":"))
+    assert (r.emptied, r.already_empty, r.untouched) == (1, 3, 2)
+    assert r.bytes == sum(size(x) for x, in rows) and r.written == r.bytes - size(full) + size(left)

@@ -97,12 +97,34 @@ def sign(text: Column, most: int = 120) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
+# The one letter that becomes two when lowered, what it becomes, and the letter whose form
+# depends on what follows it; and a mark that stands for the second of the two.
+_DOTTED_I, _DOTTED_I_LOW, _SIGMA, _SIGMA_LOW, _MARK = "\u0130", "i\u0307", "\u03a3", "\u03c3", "\ue000"
+
+
+def folded(text: Column) -> Column:
+    """Lowered sign by sign, so that no sign's form depends on its neighbours."""
+    return F.lower(F.replace(F.translate(text, _SIGMA, _SIGMA_LOW), F.lit(_DOTTED_I), F.lit(_DOTTED_I_LOW)))
+
+
+def folded_at(text: Column, term: Column) -> Column:
+    """The place in ``text`` (from 1, 0 if there is none) of the first hit of a lowered term, whatever its case there.
+
+    A place in the folded text is brought back by the letters before it that became two.
+    """
+    at = F.call_function("instr", folded(text), term)
+    marked = F.replace(text, F.lit(_DOTTED_I), F.lit(_DOTTED_I + _MARK))
+    before = F.substr(marked, F.lit(1), at - 1)
+    grown = F.char_length(before) - F.char_length(F.replace(before, F.lit(_DOTTED_I + _MARK), F.lit(_DOTTED_I)))
+    return F.when((at > 1) & text.contains(_DOTTED_I), at - grown).otherwise(at)
+
+
 def snippet(text: Column, term: Column, around: int = 80, length: Column | None = None) -> Column:
     """Text around the first hit, with ellipses where it is cut; the start if there is no hit.
 
     ``length`` is what the hit counts as, if not as the term's own.
     """
-    at = F.call_function("instr", F.lower(text), term)
+    at = folded_at(text, term)
     first = F.greatest(at - around, F.lit(1))
     end = F.least(at + (F.char_length(term) if length is None else length) + around, F.char_length(text) + 1)
     cut = F.replace(F.substr(text, first, end - first), F.lit("\n"), F.lit(" "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import attributable
+
 
 def attribute(commits: DataFrame, mentions: DataFrame) -> DataFrame:
     """Each commit's (sha) first mention (agent, hash, stamp, seq) by a prefix of its hash; ties keep the first seen.
@@ -19,8 +21,8 @@ def attribute(commits: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def lines(deltas: DataFrame) -> DataFrame:
-    """Added, deleted and commits by agent and path."""
-    return deltas.groupBy("agent", "path").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count_distinct("sha").alias("commits"))
+    """Added, deleted and commits by agent and path; generated files and leftovers are nobody's work."""
+    return deltas.where(attributable(F.col("path"))).groupBy("agent", "path").agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count_distinct("sha").alias("commits"))
 
 
 def follow_renames(steps: DataFrame, hops: int = 8) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 # The length of a result that is kept, and what stands for a picture.
 RESULT_SNIPPET, PICTURE = 2000, "[an image]"
 # Tags that begin what a program put into a prompt; the note that ties a picture to its copy.
@@ -151,6 +153,58 @@ def recorded(decoded: DataFrame) -> DataFrame:
     return joined.select("file", "at", F.col("run").alias("pos"), "kind", "id", "name", F.when(F.col("_n") > 0, F.col("_said")).alias("text"), "ok", "cut", "tokens")
 
 
+# The model of a message that nothing generated.
+SYNTHETIC = "<synthetic>"
+
+
+def live(decoded: DataFrame, save=None, parts: int | None = None) -> DataFrame:
+    """Events of a session's live output: file, at, pos, kind, id, call, name, text, ok, cut, tokens, cost, resets_at, utilization.
+
+    Text comes from its pieces, assembled by message, block and order of arrival, at the place of the
+    first: a message begins with its ``message_start`` (those of a delegated session run beside the
+    session's own). Calls and context come from the completed message, whose text counts only where nothing
+    generated it. Prompts and results are read as they are from a transcript.
+    """
+    v = F.try_parse_json("raw")
+    get = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    of = lambda t: decoded.where(F.col("type") == t)
+    cols = {"id": "string", "call": "string", "name": "string", "text": "string", "ok": "boolean", "cut": "int", "tokens": "long", "cost": "double", "resets_at": "long", "utilization": "double"}
+
+    def one(rows: DataFrame, kind, pos=None, **given) -> DataFrame:
+        return rows.select("file", "at", (F.lit(0) if pos is None else pos).cast("int").alias("pos"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+
+    pieces = of("stream_event").select(
+        "file", "at", F.coalesce(get("$.parent_tool_use_id"), F.lit("")).alias("under"), get("$.event.type").alias("what"), get("$.event.message.id").alias("begins"),
+        get("$.event.index", "long").alias("block"), get("$.event.delta.type").alias("delta"), get("$.event.delta.text").alias("text"),
+    )
+    pieces = scan.Ordered(pieces, ["file", "under"], ["at"], save, parts).values(message=scan.last(F.when(F.col("what") == "message_start", F.coalesce("begins", F.lit(""))))).plain()
+    pieces = pieces.where("what = 'content_block_delta' AND delta = 'text_delta' AND text IS NOT NULL")
+    # of each block its pieces only, which a message bounds
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    spoken = pieces.groupBy("file", "under", "message", "block").agg(F.min("at").alias("at"), whole.alias("text"))
+
+    message = of("assistant").select("file", "at", "prompt_tokens", "blocks", get("$.message.model").alias("model"))
+    block = message.select("file", "at", "model", F.posexplode("blocks").alias("pos", "b")).withColumn("pos", F.col("pos") + 1)
+    turn = of("result").withColumn("windows", F.map_values(get("$.modelUsage", "map<string, struct<contextWindow: bigint>>"))["contextWindow"])
+    limit, ask = of("rate_limit_event"), of("control_request").where(get("$.request.subtype") == "can_use_tool")
+    about = lambda k, kind="string": get(f"$.rate_limit_info.{k}", kind)
+    window = F.array_max("windows")
+    told = recorded(of("user"))
+    out = [
+        one(spoken, "text", text=F.col("text")), one(of("system").where(get("$.subtype") == "init"), "started", name=get("$.model")), one(of("system").where(get("$.subtype") == "status"), "busy", text=get("$.status")),
+        one(message.where("prompt_tokens IS NOT NULL"), "context", tokens=F.col("prompt_tokens")), one(block.where("b.type = 'tool_use'"), "tool", F.col("pos"), id=F.col("b.id"), name=F.col("b.name"), text=F.to_json("b.input")),
+        one(block.where((F.col("b.type") == "text") & (F.col("model") == SYNTHETIC) & (F.trim("b.text") != "")), "text", F.col("pos"), text=F.col("b.text")),
+        one(turn, "turn", tokens=F.when(window > 0, window), cost=F.coalesce(get("$.total_cost_usd", "double"), F.lit(0.0)), text=get("$.stop_reason")),
+        one(limit, "limit", name=about("rateLimitType"), text=about("status"), resets_at=about("resetsAt", "long"), utilization=about("utilization", "double")),
+        one(ask, "ask", id=get("$.request_id"), call=get("$.request.tool_use_id"), name=get("$.request.tool_name"), text=get("$.request.title")),
+        one(told, F.col("kind"), F.col("pos"), **{c: F.col(c) for c in ("id", "name", "text", "ok", "cut", "tokens")}),
+    ]
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def running(events: DataFrame) -> DataFrame:
     """What events say of background work: file, at, pos, says (began, killed, ended, gone), call and task."""
     began, task = detached(F.col("text"))

@@ -28,16 +28,6 @@ def inherit(nodes: DataFrame, save=None) -> DataFrame:
     return one.select("session", "uuid", F.coalesce("turn", "uuid").alias("turn"))
 
 
-def in_cycles(nodes: DataFrame, depth: int = 1024) -> DataFrame:
-    """Messages whose parents never end within ``depth`` levels: they lie on a cycle or hang under one."""
-    one = nodes.groupBy("session", "uuid").agg(F.min_by("parent", "line_no").alias("up"))
-    first = one
-    for _ in range(max(1, (depth - 1).bit_length())):
-        above = one.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"))
-        one = one.join(above, ["session", "up"], "left").select("session", "uuid", F.col("up2").alias("up"))
-    return first.join(one.where("up IS NOT NULL").select("session", "uuid"), ["session", "uuid"], "left_semi")
-
-
 def cycles(nodes: DataFrame, save=None) -> DataFrame:
     """One row for each cycle of parents: session, through (its least uuid), loop (its messages).
 

@@ -256,9 +256,12 @@ def commit_attribution(spark, d):
     return commits.attribute(sha, m)
 
 
-@query(f"SELECT agent, 'f' || (k % 9) AS path, CAST(sum(k) AS BIGINT) AS added, CAST(sum(seq % 13) AS BIGINT) AS deleted, count(DISTINCT seq // 3) AS commits FROM {WORK} GROUP BY ALL")
+_DELTA_PATH = "CASE seq % 5 WHEN 0 THEN 'node_modules/f' || (k % 9) || '.js' WHEN 1 THEN 'src/f' || (k % 9) || '.orig' ELSE 'src/f' || (k % 9) || '.rs' END"
+
+
+@query(f"SELECT agent, {_DELTA_PATH} AS path, CAST(sum(k) AS BIGINT) AS added, CAST(sum(seq % 13) AS BIGINT) AS deleted, count(DISTINCT seq // 3) AS commits FROM {WORK} WHERE seq % 5 > 1 GROUP BY ALL")
 def commit_lines(spark, d):
-    deltas = work(spark, d).select("agent", F.concat(F.lit("f"), F.col("k") % 9).alias("path"), F.col("k").cast("long").alias("added"), (F.col("seq") % 13).alias("deleted"), F.floor(F.col("seq") / 3).alias("sha"))
+    deltas = work(spark, d).select("agent", F.expr(_DELTA_PATH).alias("path"), F.col("k").cast("long").alias("added"), (F.col("seq") % 13).alias("deleted"), F.floor(F.col("seq") / 3).alias("sha"))
     return commits.lines(deltas)
 
 

@@ -215,3 +215,142 @@ def transcript_page(spark, d):
     from ..operators import transcript
 
     return transcript.page(_made(spark, d, _PAGE_MADE, _PAGE_FIELDS), Scratch(spark, "page").table)
+
+
+# Conversations as files of lines, one folder each; a line's padding makes lengths differ, some past ASCII.
+_RAW = """'{"type":"' || CASE role WHEN 'system' THEN 'system' ELSE role END || '"' || CASE role WHEN 'system' THEN ',"subtype":"compact_boundary"' ELSE '' END
+ || CASE WHEN role = 'assistant' AND n % 3 > 0 THEN ',"message":{"usage":{"input_tokens":' || n || '}}' ELSE '' END || CASE WHEN n % 5 = 1 THEN ',"customTitle":"title ' || t || '"' WHEN n % 5 = 2 THEN ',"agentName":"agent ' || t || '"' ELSE '' END
+ || CASE WHEN n % 4 = 0 THEN ',"cwd":"/w/' || t || '"' ELSE '' END || ',"timestamp":"2024-01-0' || (t % 9 + 1) || '","pad":"' || repeat('é-', CAST(n % 40 AS INT)) || '"}'"""
+_FILES = f"(SELECT c, t, role, n, {_RAW} AS raw FROM ({_ROWS}))"
+
+
+def _files(spark, d) -> str:
+    """Writes them and gives their folder."""
+    path = f"{Scratch(spark, 'files').path}/in"
+    rows = table(spark, d, "conversations").selectExpr("conv_id AS c", "turn AS t", "role", "CAST(length(text) AS BIGINT) AS n").selectExpr("c", "t", f"{_RAW} AS value")
+    # a conversation's lines in order, in one file
+    rows.repartition("c").sortWithinPartitions("c", "t").select("c", "value").write.partitionBy("c").text(path)
+    return path
+
+
+def _file_of(df):
+    return df.withColumn("file", F.regexp_extract("file", r"/c=(\d+)/", 1))
+
+
+def _counted(rows):
+    role = F.try_variant_get(F.try_parse_json("raw"), "$.type", "string")
+    tokens = F.try_variant_get(F.try_parse_json("raw"), "$.message.usage.input_tokens", "long")
+    return rows.select("file", "at", "next", (role == "user").alias("is_prompt"), (role == "system").alias("is_compaction"), tokens.alias("context"))
+
+
+_COUNTED = f"""WITH l AS (SELECT * FROM {_FILES}), cut AS (SELECT c, max(t) AS cut FROM l WHERE role = 'system' GROUP BY c)
+ SELECT CAST(l.c AS VARCHAR) AS file, count(*) FILTER (role = 'user' AND (cut IS NULL OR t > cut)) AS interactions, arg_max(n, t) FILTER (role = 'assistant' AND n % 3 > 0 AND (cut IS NULL OR t > cut)) AS context,
+ CAST(sum(octet_length(encode(raw)) + 1) AS BIGINT) AS through FROM l LEFT JOIN cut ON cut.c = l.c GROUP BY l.c"""
+
+
+@query(_COUNTED)
+def appended_count(spark, d):
+    from ..operators import timeline
+    from ..sources import transcripts
+
+    rows = _file_of(_counted(transcripts.appended(spark, _files(spark, d), suffix=".txt", splitBytes=4096)))
+    size = rows.groupBy("file").agg(F.max("next").alias("through"))
+    return size.join(timeline.since_compaction(rows, order="at"), "file", "left").select("file", F.coalesce("interactions", F.lit(0)).alias("interactions"), "context", "through")
+
+
+@query(_COUNTED)
+def stream_appended_count(spark, d):
+    from ..sources import appended
+    from ..streaming import sessions
+
+    path = _files(spark, d)
+    appended.register(spark)
+    rows = _counted(spark.readStream.format("appended_lines").options(path=path, suffix=".txt").load())
+    out = sessions.newest(sessions.run_once(sessions.appended_count(rows), f"{path.removesuffix('/in')}/run"), ["file"], "through")
+    return _file_of(out.drop("batch"))
+
+
+_TAIL, _HEAD = 250, 200
+
+
+@query(f"""WITH l AS (SELECT *, sum(octet_length(encode(raw)) + 1) OVER (PARTITION BY c ORDER BY t DESC) AS back FROM {_FILES}),
+ k AS (SELECT *, role IN ('user', 'assistant', 'system') AS spoke FROM l WHERE back <= {_TAIL})
+ SELECT CAST(c AS VARCHAR) AS file, arg_max({{v: CASE WHEN role = 'assistant' THEN n END}}, t) FILTER (role = 'system' OR role = 'assistant' AND n % 3 > 0)['v'] AS context, arg_max('2024-01-0' || (t % 9 + 1), t) AS spoke,
+ coalesce(arg_max('title ' || t, t) FILTER (n % 5 = 1), arg_max('agent ' || t, t) FILTER (n % 5 = 2)) AS name FROM k GROUP BY c""")
+def transcript_tails(spark, d):
+    from ..sources import transcripts
+
+    read = transcripts.appended(spark, _files(spark, d), suffix=".txt", tailBytes=_TAIL)
+    return transcripts.tails(transcripts.decode(_file_of(read)))
+
+
+@query(f"""WITH l AS (SELECT *, sum(octet_length(encode(raw)) + 1) OVER (PARTITION BY c ORDER BY t) AS upto FROM {_FILES})
+ SELECT CAST(c AS VARCHAR) AS file, arg_min('/w/' || t, t) FILTER (n % 4 = 0) AS cwd FROM l WHERE upto <= {_HEAD} GROUP BY c""")
+def transcript_first_directory(spark, d):
+    from ..sources import transcripts
+
+    read = transcripts.appended(spark, _files(spark, d), suffix=".txt", headBytes=_HEAD)
+    return transcripts.first_directory(transcripts.decode(_file_of(read)))
+
+
+# What a live session prints for a row: (role, condition, place in the turn, line). A message's pieces come one by
+# one, with those of a delegated session between them.
+_PIECES = [(10 + 2 * k + side, k, side) for k in range(6) for side in (0, 1)]
+_WIRE = [
+    ("system", "true", "5", """'{"type":"system","subtype":"init","model":"m' || (c % 3) || '","cwd":"/w","tools":[]}'"""),
+    ("user", "true", "5", """'{"type":"user","message":{"content":[{"type":"text","text":"said ' || t || '"}]}}'"""),
+    ("user", "n % 2 = 0", "6", """'{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"k' || (t - 1) || '","is_error":' || (n % 4 = 0) || ',"content":"out ' || n || '"}]}}'"""),
+    ("assistant", "true", "5", """'{"type":"system","subtype":"status","status":"thinking"}'"""),
+    ("assistant", "true", "8", """'{"type":"stream_event","event":{"type":"message_start","message":{"id":"a' || t || '"}}}'"""),
+    ("assistant", "true", "9", """'{"type":"stream_event","parent_tool_use_id":"k","event":{"type":"message_start","message":{"id":"b' || t || '"}}}'"""),
+    *[
+        ("assistant", f"n % 6 >= {k}", str(at), f"""'{{"type":"stream_event",{'"parent_tool_use_id":"k",' if side else ''}"event":{{"type":"content_block_delta","index":{k // 3},"delta":{{"type":"text_delta","text":"{'xw'[1 - side]}{k} "}}}}}}'""")
+        for at, k, side in _PIECES
+    ],
+    ("assistant", "true", "30", """'{"type":"stream_event","event":{"type":"content_block_delta","index":0,"delta":{"type":"input_json_delta","partial_json":"{"}}}'"""),
+    ("assistant", "true", "60", """'{"type":"assistant","message":{"model":"m","usage":{"input_tokens":' || n || ',"cache_read_input_tokens":5},"content":[{"type":"text","text":"again"},{"type":"tool_use","id":"k' || t || '","name":"Bash","input":{"command":"ls"}}]}}'"""),
+    ("assistant", "n % 4 = 0", "61", """'{"type":"assistant","message":{"model":"<synthetic>","content":[{"type":"text","text":"a table"},{"type":"text","text":"  "}]}}'"""),
+    ("assistant", "true", "70", """'{"type":"result","total_cost_usd":' || (n / 4.0) || ',"stop_reason":"end","modelUsage":{"a":{"contextWindow":200000},"b":{"contextWindow":' || (n * 1000) || '}}}'"""),
+    ("assistant", "n % 3 = 0", "80", """'{"type":"rate_limit_event","rate_limit_info":{"rateLimitType":"five_hour","status":"allowed","resetsAt":' || (n * 10) || ',"utilization":0.5}}'"""),
+    ("assistant", "n % 3 = 1", "81", """'{"type":"control_request","request_id":"q' || t || '","request":{"subtype":"can_use_tool","tool_name":"Bash","tool_use_id":"k' || t || '","input":{}' || CASE WHEN n % 2 = 0 THEN ',"title":"May I?"' ELSE '' END || '}}'"""),
+    ("assistant", "n % 3 = 2", "82", "'{torn'"),
+]
+
+
+def _wire_sql() -> str:
+    one = lambda role, cond, at, kind, pos="0", **given: f"SELECT 'c' || c AS file, t * 100 + {at} AS \"at\", CAST({pos} AS INT) AS pos, '{kind}' AS kind, " + ", ".join(f"CAST({given.get(k, 'NULL')} AS {v}) AS {k}" for k, v in {"id": "VARCHAR", "call": "VARCHAR", "name": "VARCHAR", "text": "VARCHAR", "ok": "BOOLEAN", "tokens": "BIGINT", "cost": "DOUBLE", "resets_at": "BIGINT", "utilization": "DOUBLE"}.items()) + f" FROM ({_ROWS}) WHERE role = '{role}' AND {cond}"
+    parts = [
+        one("system", "true", 5, "started", name="'m' || (c % 3)"), one("user", "true", 5, "prompt", "1", text="'said ' || t"), one("user", "n % 2 = 0", 6, "result", "1", id="'k' || (t - 1)", text="'out ' || n", ok="n % 4 <> 0"),
+        one("assistant", "true", 5, "busy", text="'thinking'"), one("assistant", "true", 60, "context", tokens="n + 5"), one("assistant", "true", 60, "tool", "2", id="'k' || t", name="'Bash'", text="'{\"command\":\"ls\"}'"),
+        one("assistant", "n % 4 = 0", 61, "text", "1", text="'a table'"), one("assistant", "true", 70, "turn", tokens="greatest(200000, n * 1000)", cost="n / 4.0", text="'end'"),
+        one("assistant", "n % 3 = 0", 80, "limit", name="'five_hour'", text="'allowed'", resets_at="n * 10", utilization="0.5"),
+        one("assistant", "n % 3 = 1", 81, "ask", id="'q' || t", call="'k' || t", name="'Bash'", text="CASE WHEN n % 2 = 0 THEN 'May I?' END"),
+    ]
+    for side, sign in ((0, "w"), (1, "x")):
+        parts += [one("assistant", f"n % 6 >= {3 * b}", 10 + 6 * b + side, "text", text=f"array_to_string(list_transform(range({3 * b}, least(n % 6 + 1, {3 * b + 3})), lambda k: '{sign}' || k || ' '), '')") for b in (0, 1)]
+    return "\n UNION ALL ".join(parts)
+
+
+@query(_wire_sql())
+def live_wire(spark, d):
+    from ..operators import events as typed
+    from ..sources import transcripts
+
+    rows = table(spark, d, "conversations").selectExpr("conv_id AS c", "turn AS t", "role", "CAST(length(text) AS BIGINT) AS n")
+    one = [F.expr(f"CASE WHEN role = '{role}' AND {cond} THEN named_struct('at', t * 100 + {at}, 'raw', {raw}) END") for role, cond, at, raw in _WIRE]
+    made = rows.select(F.concat(F.lit("c"), "c").alias("file"), F.explode(F.array_compact(F.array(*one))).alias("e")).select("file", "e.*")
+    found = typed.live(transcripts.decode(made), Scratch(spark, "wire").table)
+    return found.select("file", "at", "pos", "kind", "id", "call", "name", "text", "ok", "tokens", "cost", "resets_at", "utilization")
+
+
+_SLIM = """CASE n % 4 WHEN 0 THEN '{"attachment":{"content":[{"id":' || n || '},2],"type":"task_reminder"},"type":"attachment"}' WHEN 1 THEN '{"attachment":{"content":[],"type":"task_reminder"},"type":"attachment"}'
+ WHEN 2 THEN '{"type":"user","words":"a task_reminder"}' ELSE '{"type":"user"}' END"""
+
+
+@query(f"""WITH l AS (SELECT n, octet_length(encode({_SLIM})) + 1 AS size, CASE WHEN n % 4 = 0 THEN octet_length(encode('{{"attachment":{{"content":[],"type":"task_reminder"}},"type":"attachment"}}')) + 1 END AS slim FROM ({_ROWS}))
+ SELECT count(*) FILTER (n % 4 = 0) AS emptied, count(*) FILTER (n % 4 IN (1, 2)) AS already_empty, count(*) FILTER (n % 4 = 3) AS untouched, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(coalesce(slim, size)) AS BIGINT) AS written FROM l""")
+def slim_report(spark, d):
+    from ..sources import transcripts
+
+    rows = table(spark, d, "conversations").selectExpr("CAST(length(text) AS BIGINT) AS n")
+    return transcripts.slim(rows.selectExpr(f"{_SLIM} AS raw"))

@@ -33,13 +33,17 @@ RESTARTED = -1
 
 @dataclass
 class Span(InputPartition):
-    """Lines of ``file`` that begin at or after ``low`` and before ``high``; ``skip`` if ``low`` may lie within a line."""
+    """Lines of ``file`` that begin at or after ``low`` and before ``high``; ``skip`` if ``low`` may lie within a line.
+
+    The last line is read beyond ``high`` to its end, unless ``within``.
+    """
 
     file: str
     low: int
     high: int
     skip: bool = False
     restarted: bool = False
+    within: bool = False
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -82,7 +86,7 @@ def lines(span: Span) -> Iterator[pa.RecordBatch]:
         size = f.size()
         # a line that begins at ``low`` itself belongs here: look for the line end from the byte before
         at = span.low - 1 if span.skip and span.low else span.low
-        rest, first = b"", span.skip and span.low > 0
+        rest, first = [], span.skip and span.low > 0
         f.seek(min(at, size))
         starts, ends, texts, held = [], [], [], 0
 
@@ -93,16 +97,16 @@ def lines(span: Span) -> Iterator[pa.RecordBatch]:
             block = f.read(BLOCK)
             if not block:
                 break
-            pieces = (rest + block).split(b"\n") if b"\n" in block else None
-            if pieces is None:
-                rest += block
+            rest.append(block)
+            if b"\n" not in block:
                 continue
-            rest = pieces.pop()
+            pieces = b"".join(rest).split(b"\n")
+            rest = [pieces.pop()]
             for piece in pieces:
                 end = at + len(piece) + 1
                 if first:
                     first = False
-                elif at < span.high:
+                elif at < span.high and (end <= span.high or not span.within):
                     starts.append(at)
                     ends.append(end)
                     texts.append(piece.removesuffix(b"\r").decode("utf-8", "replace"))
@@ -133,7 +137,7 @@ class _Batch(DataSourceReader):
         out = []
         for name, size in sorted(listing(self.path, self.suffix).items()):
             if self.head:
-                out.append(Span(name, 0, min(self.head, size)))
+                out.append(Span(name, 0, min(self.head, size), within=True))
             elif self.tail:
                 out.append(Span(name, max(0, size - self.tail), size, True))
             else:

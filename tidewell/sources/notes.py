@@ -25,7 +25,7 @@ def index_sections(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.option("pathGlobFilter", "MEMORY.md").text(root, wholetext=True)
     line = raw.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one index file
-    heading = F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000)))
+    heading = F.when(F.col("line").startswith("## "), F.trim(F.substr("line", F.lit(4))))
     carried = line.withColumn("section", F.last(heading, ignorenulls=True).over(w))
     each = carried.select("pos", "section", F.explode(T.index_links(F.col("line"))).alias("name")).where("section IS NOT NULL")
     return each.groupBy("name").agg(F.min_by("section", "pos").alias("section"))

@@ -117,6 +117,37 @@ def transcript_ids(line: DataFrame) -> DataFrame:
     return line.where("NOT delegated").select("session", "file").distinct()
 
 
+def appended(spark: SparkSession, root: str, **options) -> DataFrame:
+    """Complete lines of the transcripts under ``root`` by byte offset (``sources.appended``): file, at, next, raw.
+
+    ``tailBytes`` or ``headBytes`` read only so much of each file's end or beginning.
+    """
+    from . import appended as source
+
+    source.register(spark)
+    return spark.read.format("appended_lines").options(path=root, **options).load()
+
+
+def tails(decoded: DataFrame) -> DataFrame:
+    """Of lines of each file's end: the last context figure (none once compacted), when it last spoke, and its name.
+
+    The last title that a person chose goes before the last name of the agent.
+    """
+    at = F.col("at")
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), at))
+    raw = F.try_parse_json("raw")
+    boundary = (F.col("type") == "system") & (F.try_variant_get(raw, "$.subtype", "string") == "compact_boundary")
+    context = F.when(boundary, F.struct(F.lit(None).cast("long").alias("v"))).when(F.col("prompt_tokens").isNotNull(), F.struct(F.col("prompt_tokens").alias("v")))
+    spoke = F.when(F.col("type").isin("user", "assistant") | boundary, F.col("stamp"))
+    name = F.coalesce(last(F.nullif(F.trim("custom_title"), F.lit(""))), last(F.nullif(F.trim("agent_name"), F.lit(""))))
+    return decoded.groupBy("file").agg(last(context)["v"].alias("context"), last(spoke).alias("spoke"), name.alias("name"))
+
+
+def first_directory(decoded: DataFrame) -> DataFrame:
+    """Of lines of each file's beginning: the first working directory that a line tells."""
+    return decoded.groupBy("file").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("at"))).alias("cwd"))
+
+
 def ends(decoded: DataFrame) -> DataFrame:
     """First cwd, last stamp and last context of each file (what head and tail reads look for)."""
     return decoded.groupBy("file").agg(F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("at"))).alias("first_cwd"), F.max("stamp").alias("last_spoke"), F.max_by("prompt_tokens", F.when(F.col("prompt_tokens").isNotNull(), F.col("at"))).alias("context"))
@@ -135,10 +166,26 @@ def processes(spark: SparkSession, path: str, parent: int) -> DataFrame:
     return t.where((F.col("ppid") == parent) & F.col("state").startswith("Z"))
 
 
-def slim(line: DataFrame, cut: int) -> DataFrame:
-    """What emptying lines longer than ``cut`` bytes would reclaim."""
-    n = F.octet_length("raw")
-    return line.agg(F.count_if(n > cut).alias("emptied"), F.count_if(n <= cut).alias("untouched"), F.sum(F.when(n > cut, n).otherwise(0)).alias("bytes"))
+# The attachment whose content may be emptied.
+REMINDER = "task_reminder"
+
+
+def slim(line: DataFrame) -> DataFrame:
+    """What emptying reminders would leave: lines emptied, already empty and untouched, bytes read and written.
+
+    Only lines that speak of reminders are parsed. One whose attachment is a reminder with content would
+    be written anew, compact and without it; all others stay as they are. Line ends count.
+    """
+    v = F.try_parse_json("raw")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    speaks = F.col("raw").contains(REMINDER)
+    full = speaks & (get("$.attachment.type", "string") == REMINDER) & (F.size(get("$.attachment.content", "array<variant>")) > 0)
+    full, size = F.coalesce(full, F.lit(False)), F.octet_length("raw") + 1
+    left = F.octet_length(F.to_json(v)) - F.octet_length(F.to_json(get("$.attachment.content", "variant"))) + 3
+    return line.agg(
+        F.count_if(full).alias("emptied"), F.count_if(speaks & ~full).alias("already_empty"), F.count_if(~speaks).alias("untouched"),
+        F.sum(size).alias("bytes"), F.sum(F.when(full, left).otherwise(size)).alias("written"),
+    )
 
 
 def project(path, code_root: str):

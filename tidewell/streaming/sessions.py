@@ -14,10 +14,14 @@ from ..ship import ship
 
 
 def landmarks(lines: DataFrame) -> DataFrame:
-    """Stateless: prompts, commands and compactions as they arrive, with their sign."""
+    """Stateless: prompts, commands and compactions as they arrive, with their sign.
+
+    A line number below 0 says that the file was replaced; it is passed on as ``restarted``, and what was
+    given for the file before it counts no more.
+    """
     from ..functions.text import sign
 
-    mark = F.when(F.col("is_compaction"), "compacted").when(F.col("text").startswith("/"), "command").when(F.col("is_prompt"), "prompt")
+    mark = F.when(F.col("line_no") < 0, "restarted").when(F.col("is_compaction"), "compacted").when(F.col("text").startswith("/"), "command").when(F.col("is_prompt"), "prompt")
     return lines.select("file", "line_no", mark.alias("mark"), sign(F.col("text")).alias("sign")).where("mark IS NOT NULL")
 
 
@@ -50,6 +54,36 @@ def incremental_count(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").applyInPandasWithState(_count, "file long, line_no long, interactions long, context long", "seen long, interactions long, context long", "update", "NoTimeout")
 
 
+def _appended(key, frames, state):
+    """Prompts since the last compaction and the last context after it, by byte offset; a replaced file starts again."""
+    through, interactions, context = state.get if state.exists else (0, 0, None)
+    for r in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.at):
+        if r.at < 0:
+            through, interactions, context = 0, 0, None
+            continue
+        if r.at < through:
+            continue  # delivered again
+        through = r.next
+        if r.is_compaction:
+            interactions, context = 0, None
+            continue
+        interactions += bool(r.is_prompt)
+        if r.context is not None and not pd.isna(r.context):
+            context = int(r.context)
+    state.update((int(through), int(interactions), context))
+    yield pd.DataFrame({"file": [key[0]], "through": [int(through)], "interactions": [int(interactions)], "context": pd.array([context], dtype="Int64")})
+
+
+def appended_count(rows: DataFrame) -> DataFrame:
+    """The count of each file of appended lines (file, at, next, is_prompt, is_compaction, context) so far.
+
+    Only bytes that were appended are read and counted. A row with ``at`` below 0 says that its file was
+    replaced: what was counted is of a file that is gone.
+    """
+    ship(rows.sparkSession)
+    return rows.groupBy("file").applyInPandasWithState(_appended, "file string, through long, interactions long, context long", "through long, interactions long, context long", "update", "NoTimeout")
+
+
 def _fresher(key, frames, state):
     held = tuple(state.get) if state.exists else None
     rows = sorted(((r.resets_at, r.utilization, r.at) for f in frames for r in f.itertuples(index=False)), key=lambda r: r[2])
