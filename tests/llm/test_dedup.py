@@ -116,6 +116,50 @@ def test_near(spark, width):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("percent", [50, 65, 95])
+def test_near_of_other_percents(spark, percent):
+    """Links are those of the percent asked for, however far it is from 80."""
+    rng = random.Random(percent)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(30):
+        base = rng.choices(vocab, k=rng.randint(30, 90))
+        rows.append(" ".join(base))
+        for _ in range(4):
+            v = list(base)
+            for _ in range(rng.randint(1, 9)):
+                v[rng.randrange(len(v))] = "X"
+            rows.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, Scratch(spark, "t"), width=4, percent=percent).collect()}
+    sets, up = [shingles(t, 4) for t in rows], list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    near_the_limit = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both, all_of = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            near_the_limit += percent <= 100 * both / all_of < percent + 10
+            if 100 * both >= percent * all_of:
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    assert got == {i: top(i) for i in range(len(rows))} and near_the_limit > 5
+
+
+def test_bands_follow_the_percent():
+    for percent in (1, 10, 50, 65, 80, 90, 99, 100):
+        b = near_dedup.Banding.of(percent)
+        assert (1 - (percent / 100) ** b.rows) ** b.bands <= near_dedup.MISS and b.least_agree <= percent / 100
+        assert b.minima <= near_dedup.MOST_MINIMA or b.rows == 1
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            near_dedup.Banding.of(percent)
+
+
 def test_near_large_mixed_bucket(spark):
     """A family whose members are alike only through others: the star alone doesn't find its links."""
     rng = random.Random(5)

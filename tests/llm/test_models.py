@@ -105,6 +105,8 @@ def test_quality(spark, talk):
     got = {r.doc_id: r for r in quality.quality(docs, model).collect()}
     assert len(got) == len(rows) + len(ODD)
     assert all(r.tails[0] >= r.tails[1] and abs(sum(r.tails) - r.expected_grade) < 1e-9 and r.selected == (r.tails[0] >= 0.5) for r in got.values())
+    blank = [got[5000 + i] for i, t in enumerate(ODD) if not (t and t.strip())]
+    assert len(blank) > 1 and not any(r.selected or r.expected_grade for r in blank)
     means = [np.mean([got[i].expected_grade for i, g in ratings if g == k]) for k in range(3)]
     assert means[0] < 0.5 < means[1] < 1.5 < means[2]
 
@@ -281,6 +283,48 @@ def test_added_spans_are_found_in_held_out_texts(tagger):
     assert wrong <= 0.03 * none
 
 
+def made_forms(rng):
+    """Each form that only the model can find, and each look-alike of phones, made apart from the training's."""
+    num = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    a, b, c, e = num(3), num(3), num(4), num(2)
+    d = num(15)
+    d = next(d + str(x) for x in range(10) if pii.luhn(d + str(x)))
+    found = {
+        "(a) b-c": f"({a}) {b}-{c}", "(a) b c": f"({a}) {b} {c}", "a-b-c": f"{a}-{b}-{c}", "a.b.c": f"{a}.{b}.{c}", "a b c": f"{a} {b} {c}", "0ee": f"0{e} {c} {num(4)} {e}", "0aaa": f"0{a} {num(4)}{a}",
+        "0e ee": f"0{e[0]} {e} {num(2)} {num(2)} {num(2)}", "(0ee)": f"(0{e}) {c} {num(4)}", "00ee": f"00{e} {a} {num(7)}", "1-": f"1-{a}-{b}-{c}", "dotted card": ".".join(d[i : i + 4] for i in range(0, 16, 4)),
+        "accented mail": f"zoé.müller{num(2)}@boîte-{rng.choice(['a', 'bc', 'xyz'])}.{rng.choice(['de', 'fr', 'com'])}",
+    }
+    alike = {
+        "isbn": f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", "isbn blanks": f"978 {num(1)} {num(3)} {num(5)} {num(1)}", "thousands": f"{rng.randint(1, 9)} {num(3)} {num(3)} {num(3)}", "dotted thousands": f"{rng.randint(1, 9)}.{num(3)}.{num(3)}.{num(3)}",
+        "stamp": f"20{num(2)}-0{rng.randint(1, 9)}-1{num(1)} 1{num(1)}:{num(2)}:{num(2)}", "list": f"{num(2)}, {num(3)}, {num(2)}, {num(3)}", "figures": f"{num(1)}.{num(2)} {num(1)}.{num(2)} {num(1)}.{num(2)} {num(1)}.{num(3)}", "order": f"No {num(10)}", "range": f"{num(4)}-{num(4)}",
+    }
+    return found, alike
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_forms_with_the_model_of_the_table(spark, share):
+    """With the model that ``train_on`` gives on half of the driver's table: every form is found whole, look-alikes are left."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train_on(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == share))
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text and not re.search("[0-9@+]", r.text)]
+    rng, hits, wrong = random.Random(share), {}, {}
+    for size in (40, 4000):
+        long = [t for t in texts if len(t) > size]
+        for _ in range(60):
+            for put, kind in zip(made_forms(rng), (True, False), strict=True):
+                for name, span in put.items():
+                    c = rng.choice(long)
+                    at = rng.randrange(len(c) - size + 1)
+                    before = c[at : at + size // 2] + " "
+                    base, added = pii.find([before + span + rng.choice([" ", ". ", "\n"]) + c[at + size // 2 : at + size]], model)[0]
+                    if kind:
+                        hits[name] = hits.get(name, 0) + ((len(before), len(before) + len(span)) in [(x, z) for x, _, z in base + added])
+                    else:
+                        wrong[name] = wrong.get(name, 0) + any(x < len(before) + len(span) and len(before) < z for x, _, z in added)
+    assert min(hits.values()) >= 0.9 * 120, hits
+    assert max(wrong.values()) <= 0.05 * 120, wrong
+
+
 def test_longest_span_lies_whole_in_a_window():
     rng = random.Random(1)
     for _ in range(300):

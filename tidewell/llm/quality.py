@@ -87,8 +87,8 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "grade", bound: int
 def quality(docs: DataFrame, model: QualityModel, least: int = 1, chance: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tails (P(grade >= k), k from 1), selected.
 
-    Selected are texts whose P(grade >= least) is at least ``chance``. The whole text counts; null
-    is empty, which is scored by the cuts alone. Repeated rows each have their row, a null doc_id
+    Selected are texts whose P(grade >= least) is at least ``chance``. The whole text counts. Null, empty
+    and blank texts hold nothing to rate: their tails are 0, and they aren't selected. Repeated rows each have their row, a null doc_id
     stays null, further columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -97,7 +97,9 @@ def quality(docs: DataFrame, model: QualityModel, least: int = 1, chance: float
 
     def run(batches):
         for b in batches:
-            p = sent.value.tails(b.column("text").to_pylist()).astype(np.float64)
+            texts = b.column("text").to_pylist()
+            p = sent.value.tails(texts).astype(np.float64)
+            p[[not (t and t.strip()) for t in texts]] = 0.0
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(list(p), pa.list_(pa.float64())), pa.array(p[:, least - 1] >= chance)], names=["doc_id", "expected_grade", "tails", "selected"]
             )
