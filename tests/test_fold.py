@@ -99,7 +99,7 @@ def test_silence_by_the_clock_is_said_once(spark, tmp_path):
         full = [(s, q, at, kind, None, None, text, None, None) for s, q, at, kind, text in events]
         spark.createDataFrame(full, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         with fold.in_rocksdb(spark):
-            out = sessions.run_once(fold.session_fold(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), event_time=False), f"{tmp_path}/run")
+            out = sessions.run_for(fold.session_fold(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), event_time=False), f"{tmp_path}/run", seconds=9)
         return sorted((r.session, r.unread) for r in out.where("report = 'deaf'").collect())
 
     idle = [("s", 1, now - 200_000, "turn", None), ("s", 2, now - 150_000, "accepted", "a"), ("busy", 1, now - 150_000, "accepted", "a"), ("new", 1, now, "turn", None), ("new", 2, now, "accepted", "a")]

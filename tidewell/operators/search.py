@@ -54,10 +54,11 @@ def _numbers(notes: DataFrame, terms: list[str], phrase: str) -> DataFrame:
     return cut.select("name", "sessions", "near", "h", F.when(some, size).alias("size"), F.when(some, F.array(*[_tf(tokens, t).cast("double") for t in terms])).alias("tf"))
 
 
-def _score(numbers: DataFrame, terms: list[str], times: dict[str, int], require_all: bool) -> DataFrame:
+def scored(numbers: DataFrame, terms: list[str], times: dict[str, int], require_all: bool, n: int | None = None) -> DataFrame:
+    """(name, score), best first, from the numbers of all notes, or of those that hold any term where ``n`` says how many there are."""
     matched = (F.forall if require_all else F.exists)("h", lambda x: x)
     totals = numbers.agg(F.count("*").alias("n"), F.avg(F.when(matched, F.col("size"))).alias("mean"), *[(F.count_if(F.col("h")[i]) * k).alias(f"d{i}") for i, k in enumerate(times.values())]).first()
-    n, mean = float(totals["n"]), max(totals["mean"] or 0.0, 1.0)
+    n, mean = float(totals["n"] if n is None else n), max(totals["mean"] or 0.0, 1.0)
     score, some = F.lit(0.0), F.lit(False)
     for i, k in enumerate(times.values()):
         d = float(totals[f"d{i}"])
@@ -91,7 +92,7 @@ def _search(notes: DataFrame, query: str, ways: list[bool], save) -> tuple[DataF
     save = save or Scratch(notes.sparkSession, "search").table
     numbers = save(_numbers(notes, list(times), query.strip().lower()))
     for every in ways:
-        found = _score(numbers, terms, times, every)
+        found = scored(numbers, terms, times, every)
         if every == ways[-1] or not found.isEmpty():
             return found, every
 

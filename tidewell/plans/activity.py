@@ -69,18 +69,22 @@ def remote_path_use(spark, d):
     return roster.remote_uses(_uses(spark, d).withColumn("path", F.concat("dir", "path")).withColumn("host", F.lit("box")))
 
 
-@query("""SELECT v.verdict AS verdict, r.reached AS reached, v.verdict <> 'rejected' AND (r.reached = 'always' OR (v.verdict = 'ok' AND r.reached = 'on-success')) AS admitted
- FROM (SELECT unnest(['unknown', 'ok', 'failed', 'rejected']) AS verdict) v CROSS JOIN (SELECT unnest(['always', 'on-success', 'sometimes']) AS reached) r""")
+_VERDICT = "CASE k % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'ok' WHEN 2 THEN 'failed' ELSE 'rejected' END"
+_REACH = "CASE {0} % 3 WHEN 0 THEN 'always' WHEN 1 THEN 'on-success' ELSE 'sometimes' END"
+
+
+@query(f"""SELECT verdict, reached, verdict <> 'rejected' AND (reached = 'always' OR (verdict = 'ok' AND reached = 'on-success')) AS admitted, count(*) AS uses
+ FROM (SELECT {_VERDICT} AS verdict, {_REACH.format('seq')} AS reached FROM {WORK}) GROUP BY ALL""")
 def admission(spark, d):
-    rows = [(v, r) for v in ("unknown", "ok", "failed", "rejected") for r in ("always", "on-success", "sometimes")]
-    return spark.createDataFrame(rows, "verdict string, reached string").withColumn("admitted", outcomes.admits(F.col("verdict"), F.col("reached")))
+    rows = work(spark, d).select(F.expr(_VERDICT).alias("verdict"), F.expr(_REACH.format("seq")).alias("reached"))
+    return rows.withColumn("admitted", outcomes.admits(F.col("verdict"), F.col("reached"))).groupBy("verdict", "reached", "admitted").agg(F.count("*").alias("uses"))
 
 
-@query("""SELECT o.r AS outer_reach, i.r AS inner_reach, CASE WHEN o.r = 'always' THEN i.r WHEN i.r = 'always' THEN o.r WHEN o.r = 'on-success' AND i.r = 'on-success' THEN 'on-success' ELSE 'sometimes' END AS reached
- FROM (SELECT unnest(['always', 'on-success', 'sometimes']) AS r) o CROSS JOIN (SELECT unnest(['always', 'on-success', 'sometimes']) AS r) i""")
+@query(f"""SELECT o AS outer_reach, i AS inner_reach, CASE WHEN o = 'always' THEN i WHEN i = 'always' THEN o WHEN o = 'on-success' AND i = 'on-success' THEN 'on-success' ELSE 'sometimes' END AS reached, count(*) AS uses
+ FROM (SELECT {_REACH.format('k')} AS o, {_REACH.format('seq')} AS i FROM {WORK}) GROUP BY ALL""")
 def reached_composition(spark, d):
-    r = ("always", "on-success", "sometimes")
-    return spark.createDataFrame([(a, b) for a in r for b in r], "outer_reach string, inner_reach string").withColumn("reached", outcomes.reached_and(F.col("outer_reach"), F.col("inner_reach")))
+    rows = work(spark, d).select(F.expr(_REACH.format("k")).alias("outer_reach"), F.expr(_REACH.format("seq")).alias("inner_reach"))
+    return rows.withColumn("reached", outcomes.reached_and(F.col("outer_reach"), F.col("inner_reach"))).groupBy("outer_reach", "inner_reach", "reached").agg(F.count("*").alias("uses"))
 
 
 def _calls(spark, d):
@@ -328,11 +332,11 @@ def rank_stability(spark, d):
     return study.stability(_weights(spark, d, 14.0), _weights(spark, d, 7.0))
 
 
-@query(f"""WITH b AS (SELECT DISTINCT agent AS name FROM {WORK} WHERE day < 19740 AND kind = 'view'), a AS (SELECT DISTINCT agent AS name FROM {WORK} WHERE day >= 19740 AND kind = 'view' AND k < 50)
+@query(f"""WITH b AS (SELECT DISTINCT agent AS name FROM {WORK} WHERE day < 19740 AND kind = 'view'), a AS (SELECT DISTINCT agent AS name FROM {WORK} WHERE day >= 19740 AND kind = 'view')
  SELECT name, true AS treated FROM b WHERE name NOT IN (SELECT name FROM a) UNION ALL SELECT name, false FROM a""")
 def snapshot_difference(spark, d):
     w = work(spark, d).where("kind = 'view'").withColumn("name", F.col("agent"))
-    return study.snapshot_difference(w.where("day < 19740"), w.where("day >= 19740 AND k < 50"))
+    return study.snapshot_difference(w.where("day < 19740"), w.where("day >= 19740"))
 
 
 _READ = f"(SELECT kind AS \"window\", CAST(seq // 50 AS BIGINT) * 40 AS resets_at, value AS utilization, seq AS \"at\" FROM {WORK})"
@@ -536,9 +540,12 @@ def landmarks_by_day(spark, d):
     return view.landmarks_by_day(work(spark, d).where("kind = 'signup'").withColumn("at", F.col("ts")))
 
 
-@query("""SELECT 'note_' || i AS name, CASE WHEN i < 30 THEN octet_length(CAST(('- [Note ' || i || '](note_' || i || '.md) about it') AS BLOB)) + 2 ELSE 0 END AS bytes FROM range(40) t(i)""")
+_ENTRY = "CASE WHEN doc_id % 3 > 0 THEN '# ' || source || chr(10) || '- [Note ' || doc_id || '](note_' || doc_id || '.md) about ' || lang || ' é' || chr(10) || 'end' ELSE '- [Other](other.md)' END"
+
+
+@query(f"""SELECT 'note_' || doc_id AS name, CASE WHEN doc_id % 3 > 0 THEN octet_length(encode('- [Note ' || doc_id || '](note_' || doc_id || '.md) about ' || lang || ' é')) + 2 ELSE 0 END AS bytes FROM documents""")
 def index_entry_cost(spark, d):
     from ..operators import view
 
-    index = "\n".join(f"- [Note {i}](note_{i}.md) about it" for i in range(30))
-    return spark.range(40).select(F.concat(F.lit("note_"), "id").alias("name")).select("name", view.index_entry_cost(F.lit(index), F.col("name")).cast("long").alias("bytes"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("note_"), "doc_id").alias("name"), F.expr(_ENTRY).alias("index"))
+    return docs.select("name", view.index_entry_cost(F.col("index"), F.col("name")).cast("long").alias("bytes"))

@@ -212,18 +212,18 @@ def tree_cycles(spark, d):
     return turns.cycles(n.select(F.col("conv_id").alias("session"), name(F.col("turn")).alias("uuid"), parent.alias("parent"), F.col("turn").alias("line_no")), _save(spark))
 
 
-@query(f"SELECT name, arg_min(agent, (stamp, agent)) AS session, min(stamp) AS at FROM (SELECT 'n' || k AS name, agent, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, k FROM {WORK} WHERE kind = 'purchase') WHERE k % 4 > 0 AND k < 60 GROUP BY name")
+@query(f"SELECT name, arg_min(agent, (stamp, agent)) AS session, min(stamp) AS at FROM (SELECT 'n' || k AS name, agent, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, k FROM {WORK} WHERE kind = 'purchase') WHERE k % 4 > 0 GROUP BY name")
 def first_writers(spark, d):
     w = work(spark, d).where("kind = 'purchase'").select(F.concat(F.lit("/mem/n"), "k", F.lit(".md")).alias("path"), F.col("agent").alias("session"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
-    n = spark.range(60).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") % 4 == 0, "s").alias("origin_session"))
+    n = work(spark, d).select("k").distinct().select(F.concat(F.lit("n"), "k").alias("name"), F.when(F.col("k") % 4 == 0, "s").alias("origin_session"))
     return commits.first_writers(w, n)
 
 
-@query(f"""WITH u AS (SELECT 'p' || k AS name, count(*) AS reads FROM {WORK} WHERE kind = 'view' AND k % 2 = 0 GROUP BY k), a AS (SELECT 'p' || a AS name, npmi FROM {_PAIRS} UNION ALL SELECT 'p' || b, npmi FROM {_PAIRS}), c AS (SELECT name, count(*) AS affinities, max(npmi) AS strongest FROM a GROUP BY name)
+@query(f"""WITH u AS (SELECT 'p' || k AS name, count(*) AS reads FROM {WORK} WHERE kind = 'view' GROUP BY k), a AS (SELECT 'p' || a AS name, npmi FROM {_PAIRS} UNION ALL SELECT 'p' || b, npmi FROM {_PAIRS}), c AS (SELECT name, count(*) AS affinities, max(npmi) AS strongest FROM a GROUP BY name)
  SELECT n.name AS name, u.reads AS reads, coalesce(c.affinities, 0) AS affinities, c.strongest AS strongest FROM {NODES} n LEFT JOIN u ON u.name = n.name LEFT JOIN c ON c.name = n.name""")
 def graph_enriched(spark, d):
     nodes, _ = page_links(spark, d)
-    read = work(spark, d).where("kind = 'view' AND k % 2 = 0").groupBy(F.concat(F.lit("p"), "k").alias("name")).agg(F.count("*").alias("reads"))
+    read = work(spark, d).where("kind = 'view'").groupBy(F.concat(F.lit("p"), "k").alias("name")).agg(F.count("*").alias("reads"))
     p = _pairs(spark, d).select(F.concat(F.lit("p"), "a").alias("a"), F.concat(F.lit("p"), "b").alias("b"), "npmi")
     return graph.enrich(nodes, read, p)
 

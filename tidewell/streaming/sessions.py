@@ -109,9 +109,29 @@ def newest(updates: DataFrame, by: list[str], order: str) -> DataFrame:
     return updates.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*by, "x.*")
 
 
-def run_once(stream: DataFrame, where: str, mode: str = "update") -> DataFrame:
-    """Runs a stream over all that is there and returns what it put out, batch by batch (column ``batch``)."""
-    spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{where}/out/{n}")).start()
-    q.awaitTermination()
+def _started(stream: DataFrame, where: str, mode: str, trigger: dict):
+    def put(df: DataFrame, n: int) -> None:
+        df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{where}/out/{n}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(**trigger).foreachBatch(put).start()
+
+
+def _put_out(spark, where: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/out")
+
+
+def run_once(stream: DataFrame, where: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over all that is there and returns what it put out, batch by batch (column ``batch``).
+
+    Not for timers by the clock, which leave always one more batch to run: see ``run_for``.
+    """
+    _started(stream, where, mode, {"availableNow": True}).awaitTermination()
+    return _put_out(stream.sparkSession, where)
+
+
+def run_for(stream: DataFrame, where: str, seconds: int, every: str = "1 second", mode: str = "update") -> DataFrame:
+    """Runs a stream for some seconds, a batch ``every`` so often, and returns what it put out."""
+    query = _started(stream, where, mode, {"processingTime": every})
+    query.awaitTermination(seconds)
+    query.stop()
+    return _put_out(stream.sparkSession, where)
