@@ -126,8 +126,8 @@ def _groups(placed: DataFrame, scratch: Scratch, digest: Callable[[Column], Colu
 def drop_copies(docs: DataFrame, scratch: Scratch, text: str = "text", stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the row that the state kept.
 
-    One row stays of each text, whatever ids repeat; nulls and ``stored`` as in ``exact_groups``. An
-    empty table stays empty.
+    One row stays of each text, that of the least doc_id (null last) and, where ids repeat, the first by
+    file and row; null text is empty; ``stored`` as in ``exact_groups``. An empty table stays empty.
     """
     names = docs.columns
     placed = located(docs, scratch, stored).toDF(*[f"c{i}" for i in range(len(names))], "_file", "_row")  # whatever the names are

@@ -139,7 +139,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, ambiguous.
 
     ``und`` with score 0 where text is null or has no letter; only the text is looked at, all of
-    it. Repeated rows each have their row; an empty table gives an empty result.
+    it. Repeated rows each have their row, a null doc_id stays null and is split as an
+    empty id, further columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)

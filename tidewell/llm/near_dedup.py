@@ -322,8 +322,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int
 def keep_one(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: of each component that with the least doc_id.
 
-    Rows without shingles or without doc_id stay, and so do all rows of a doc_id that stays; an empty
-    table stays empty.
+    Rows without shingles (null, empty and blank texts) or without doc_id stay, and so do all rows of a
+    doc_id that stays, however often it repeats; further columns are kept, and an empty table stays empty.
     """
     drop = near_groups(docs, scratch, width, percent).where("NOT kept").select(F.col("doc_id").alias("_drop_id")).distinct()
     return docs.join(drop, docs["doc_id"] == drop["_drop_id"], "left_anti").select(*docs.columns)

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sample_texts, text_batches
-from .ngrams import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
 #: The longest span that the model may add; windows overlap by it, and reach so far on either side of
@@ -137,11 +136,6 @@ _N_CLASS = len(_SIGNS) + 7
 _N_LABEL = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Tagger:
     """Parameters of the BiLSTM-CRF; windows are rows of character classes."""
@@ -157,72 +151,86 @@ class Tagger:
             p |= {"W" + d: r(EMBED, 4 * HIDDEN), "U" + d: r(HIDDEN, 4 * HIDDEN), "c" + d: np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)}
         return Tagger(p)
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        n, t, _ = x.shape
-        z = x @ self.p["W" + d] + self.p["c" + d]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, kept = np.zeros((n, t, HIDDEN), np.float32), []
-        for k in range(t) if d == "f" else range(t - 1, -1, -1):
-            g = z[:, k] + h @ self.p["U" + d]
-            i, f, o = (sigmoid(g[:, j * HIDDEN : (j + 1) * HIDDEN]) for j in range(3))
-            a = np.tanh(g[:, 3 * HIDDEN :])
-            c0, h0 = c, h
-            c = f * c + i * a
-            s = np.tanh(c)
-            h = o * s
-            out[:, k] = h
-            kept.append((k, i, f, o, a, c0, h0, s))
-        return out, kept
+    def _lstm(self, e: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States of both directions, (2, n, t, HIDDEN), the second in reversed time; and what the gradients need."""
+        n, t, _ = e.shape
+        both = np.stack((e, e[:, ::-1]))
+        z = np.stack([both[d] @ self.p["W" + k] + self.p["c" + k] for d, k in enumerate("fb")]).transpose(2, 0, 1, 3)
+        u = np.stack((self.p["Uf"], self.p["Ub"]))
+        # the first three gates are logistic curves, by way of tanh, so that all four are one call
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], e.dtype), HIDDEN)
+        gates, cells, hs = (np.zeros((t, 2, n, w), e.dtype) for w in (4 * HIDDEN, HIDDEN, HIDDEN))
+        h, c = np.zeros((2, n, HIDDEN), e.dtype), np.zeros((2, n, HIDDEN), e.dtype)
+        for k in range(t):
+            g = np.tanh((z[k] + h @ u) * half)
+            g[:, :, : 3 * HIDDEN] += 1
+            g[:, :, : 3 * HIDDEN] *= 0.5
+            c = g[:, :, HIDDEN : 2 * HIDDEN] * c + g[:, :, :HIDDEN] * g[:, :, 3 * HIDDEN :]
+            h = g[:, :, 2 * HIDDEN : 3 * HIDDEN] * np.tanh(c)
+            gates[k], cells[k], hs[k] = g, c, h
+        return hs.transpose(1, 2, 0, 3), (gates, cells, hs, u)
+
+    def _lstm_back(self, dh: np.ndarray, kept: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of what goes into the gates, (t, 2, n, 4 * HIDDEN), and of the recurrent weights."""
+        gates, cells, hs, u = kept
+        i, f, o, a = (gates[..., j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
+        s, zero = np.tanh(cells), np.zeros_like(cells[:1])
+        c0, h0 = np.concatenate((zero, cells[:-1])), np.concatenate((zero, hs[:-1]))
+        to_c, into = o * (1 - s * s), np.concatenate((a * i * (1 - i), c0 * f * (1 - f), s * o * (1 - o), i * (1 - a * a)), axis=-1)
+        dz, ut = np.zeros_like(gates), u.transpose(0, 2, 1)
+        carry_h, carry_c = np.zeros_like(zero[0]), np.zeros_like(zero[0])
+        for k in range(len(gates) - 1, -1, -1):
+            dhk = dh[k] + carry_h
+            dc = dhk * to_c[k] + carry_c
+            dz[k] = np.concatenate((dc, dc, dhk, dc), axis=-1) * into[k]
+            carry_h, carry_c = dz[k] @ ut, dc * f[k]
+        flat = lambda x: x.transpose(1, 0, 2, 3).reshape(2, -1, x.shape[-1])
+        return dz, flat(h0).transpose(0, 2, 1) @ flat(dz)
 
     def emissions(self, x: np.ndarray) -> tuple:
         e = self.p["E"][x]
-        hf, kf = self._lstm(e, "f")
-        hb, kb = self._lstm(e, "b")
-        h = np.concatenate((hf, hb), axis=2)
-        return h @ self.p["O"] + self.p["ob"], (e, h, kf, kb)
+        hs, kept = self._lstm(e)
+        h = np.concatenate((hs[0], hs[1][:, ::-1]), axis=2)
+        return h @ self.p["O"] + self.p["ob"], (e, h, kept)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the labels and its gradients."""
-        em, (e, h, kf, kb) = self.emissions(x)
+        em, (e, h, kept) = self.emissions(x)
         n, t, k = em.shape
         trans = self.p["T"]
-        fwd = np.zeros_like(em)
-        fwd[:, 0] = em[:, 0] + self.p["S"]
-        for i in range(1, t):
-            fwd[:, i] = em[:, i] + _lse(fwd[:, i - 1, :, None] + trans, 1)
-        bwd = np.zeros_like(em)
+        # forward and backward in probabilities, brought to a sum of 1 at each place; the factors give log z
+        top = em.max(2, keepdims=True)
+        e_em, e_t = np.exp(em - top), np.exp(trans)
+        fwd, bwd, scale = np.zeros_like(em), np.ones_like(em), np.zeros((n, t), em.dtype)
+        now = e_em[:, 0] * np.exp(self.p["S"])
+        for i in range(t):
+            now = now if i == 0 else (fwd[:, i - 1] @ e_t) * e_em[:, i]
+            scale[:, i] = now.sum(1)
+            fwd[:, i] = now / scale[:, i : i + 1]
         for i in range(t - 2, -1, -1):
-            bwd[:, i] = _lse(trans + (em[:, i + 1] + bwd[:, i + 1])[:, None, :], 2)
-        z = _lse(fwd[:, -1], 1)
-        mass = np.exp(fwd + bwd - z[:, None, None])
+            bwd[:, i] = ((e_em[:, i + 1] * bwd[:, i + 1]) @ e_t.T) / scale[:, i + 1 : i + 2]
+        z = np.log(scale).sum(1) + top[:, :, 0].sum(1)
+        mass = fwd * bwd
         rows, cols = np.arange(n)[:, None], np.arange(t)[None, :]
         gold = em[rows, cols, y].sum(1) + self.p["S"][y[:, 0]] + trans[y[:, :-1], y[:, 1:]].sum(1)
         de = mass.copy()
         de[rows, cols, y] -= 1
         de /= n
-        pair = np.zeros_like(trans)
-        for i in range(1, t):
-            pair += np.exp(fwd[:, i - 1, :, None] + trans + (em[:, i] + bwd[:, i])[:, None, :] - z[:, None, None]).sum(0)
+        ahead = (e_em[:, 1:] * bwd[:, 1:] / scale[:, 1:, None]).reshape(-1, k)
+        pair = (fwd[:, :-1].reshape(-1, k).T @ ahead) * e_t
         np.add.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
         first = mass[:, 0].sum(0)
         np.add.at(first, y[:, 0], -1)
         g = {"T": pair / n, "S": first / n, "O": h.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, k), "ob": de.sum((0, 1))}
         dh = de @ self.p["O"].T
+        dz, du = self._lstm_back(np.stack((dh[:, :, :HIDDEN], dh[:, ::-1, HIDDEN:])).transpose(2, 0, 1, 3), kept)
         dx = np.zeros_like(e)
-        for d, kept, part in (("f", kf, dh[:, :, :HIDDEN]), ("b", kb, dh[:, :, HIDDEN:])):
-            dz = np.zeros((n, t, 4 * HIDDEN), np.float32)
-            carry_h, carry_c, du = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros_like(self.p["U" + d])
-            for at, i, f, o, a, c0, h0, s in reversed(kept):
-                dhk = part[:, at] + carry_h
-                dc = dhk * o * (1 - s * s) + carry_c
-                dg = np.concatenate((dc * a * i * (1 - i), dc * c0 * f * (1 - f), dhk * s * o * (1 - o), dc * i * (1 - a * a)), axis=1)
-                dz[:, at] = dg
-                du += h0.T @ dg
-                carry_h, carry_c = dg @ self.p["U" + d].T, dc * f
-            g |= {"U" + d: du, "W" + d: e.reshape(-1, EMBED).T @ dz.reshape(-1, 4 * HIDDEN), "c" + d: dz.sum((0, 1))}
-            dx += dz @ self.p["W" + d].T
-        g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], x.ravel(), dx.reshape(-1, EMBED))
+        for d, key in enumerate("fb"):
+            mine = dz[:, d].transpose(1, 0, 2)
+            mine = mine if d == 0 else mine[:, ::-1]
+            g |= {"U" + key: du[d], "W" + key: e.reshape(-1, EMBED).T @ mine.reshape(-1, 4 * HIDDEN), "c" + key: mine.sum((0, 1))}
+            dx += mine @ self.p["W" + key].T
+        g["E"] = np.eye(_N_CLASS, dtype=e.dtype)[x.ravel()].T @ dx.reshape(-1, EMBED)
         return float((z - gold).mean()), g
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,10 +264,11 @@ def _forms(rng: np.random.Generator) -> tuple[list[tuple[int, str]], list[str]]:
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     some = lambda a, b: int(rng.integers(a, b))
     pick = lambda *of: of[some(0, len(of))]
-    letters = pick("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzäöüéèñçß", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    word = lambda n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n, letters=plain: "".join(letters[i] for i in rng.integers(0, len(letters), n))
 
-    def mail() -> str:
+    def mail(letters: str) -> str:
+        word = lambda n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
         local = word(some(2, 9)) + pick(".", "_", "+", "-", "") + word(some(0, 7)) + num(some(0, 3))
         return f"{local.strip('.-_+')}@{word(some(2, 12))}{pick('', '-' + word(4), '.' + word(3))}.{pick('com', 'org', 'net', 'example.com', 'de', 'co.uk', 'fr', 'info')}"
 
@@ -273,7 +282,8 @@ def _forms(rng: np.random.Generator) -> tuple[list[tuple[int, str]], list[str]]:
         f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+{e} {a} {b} {c}", f"+{e}-{a}-{b}-{c}",
         f"0{e} {c} {num(4)} {e}", f"0{a} {num(4)}{a}", f"0{e[0]} {e} {num(2)} {num(2)} {num(2)}", f"(0{e}) {c} {num(4)}", f"00{e} {a} {num(7)}", f"+{e} (0){e} {c} {num(4)}", f"1-{a}-{b}-{c}",
     ]
-    made = [(0, mail()), (0, mail()), (1, ".".join(str(x) for x in rng.integers(0, 256, 4))), *[(2, card(x)) for x in ("", " ", "-", ".", ".")], *[(3, x) for x in phones]]
+    mails = [mail(x) for x in (plain, plain + plain.upper(), *[plain + "äöüéèñçß"] * 3)]
+    made = [*[(0, x) for x in mails], (1, ".".join(str(x) for x in rng.integers(0, 256, 4))), *[(2, card(x)) for x in ("", " ", "-", ".", ".")], *[(3, x) for x in phones]]
     few = str(some(1, 10))
     alike = [
         f'token = "{hashlib.sha1(num(9).encode()).hexdigest()}"', f"20{num(2)}-0{num(1)}-1{num(1)}", f"v{num(1)}.{num(1)}.{num(1)}", f"{num(5)} items", f"Version {num(1)}.0", f"{num(2)}:{num(2)}:{num(2)}",
@@ -460,7 +470,8 @@ def personal_data(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and ``spans`` are of base and added spans; offsets are code points, ends exclusive. Null
-    and empty texts have none. Whole texts are read; repeated rows each have their row.
+    and empty texts have none. Whole texts are read; repeated rows each have their row, a null doc_id stays
+    null, further columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)

@@ -87,7 +87,8 @@ def toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     The score depends on the whole text alone; null counts as empty, which scores as the prior does.
-    Repeated rows each have their row; an empty table gives an empty result.
+    Repeated rows each have their row, a null doc_id stays null and is split as an empty id, further
+    columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
