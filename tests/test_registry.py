@@ -1,4 +1,4 @@
-"""Every registered query of the reference's operators against DuckDB, on the smallest tables."""
+"""Every registered query of the reference's operators against DuckDB, on tables large enough for keys to meet."""
 
 import datetime
 import decimal
@@ -11,6 +11,11 @@ from tidewell.plans.registry import ORACLE_SQL, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()

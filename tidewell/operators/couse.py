@@ -50,6 +50,11 @@ def usage(mentions: DataFrame, basket: DataFrame) -> DataFrame:
     return out.join(sessions, "name", "left").withColumn("sessions", F.coalesce("sessions", F.lit(0)))
 
 
+def usage_by_project(mentions: DataFrame) -> DataFrame:
+    """(name, project, turns): in how many lines of each project a name is mentioned."""
+    return mentions.groupBy("name", "project").agg(F.count("*").alias("turns"))
+
+
 def unlinked(pair: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs without a written link in either direction."""
     known = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))

@@ -500,12 +500,23 @@ def stream_incremental_count(spark, d):
     return sessions.newest(out, ["file"], "line_no").select("file", "interactions", "context")
 
 
-@query(f"SELECT file, line_no, CASE WHEN is_compaction THEN 'compacted' ELSE 'prompt' END AS mark FROM {LINES} WHERE is_compaction OR is_prompt")
+@query(rf"""WITH f AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM {LINES} WHERE is_compaction OR is_prompt)
+ SELECT file, line_no, CASE WHEN is_compaction THEN 'compacted' ELSE 'prompt' END AS mark, CASE WHEN length(flat) > 120 THEN left(flat, 120) || '…' ELSE flat END AS sign FROM f""")
 def stream_landmarks(spark, d):
     from ..streaming import sessions
 
     stream, run = _stream(spark, lines(spark, d), 2)
-    return sessions.run_once(sessions.landmarks(stream), run, mode="append").select("file", "line_no", "mark")
+    return sessions.run_once(sessions.landmarks(stream), run, mode="append").select("file", "line_no", "mark", "sign")
+
+
+@query(f"SELECT DISTINCT 'k' || k || '-' || kind AS call_id FROM {WORK}")
+def stream_distinct_calls(spark, d):
+    """Calls that come again, in order of time, in three files: each is given once, as all come within the watermark."""
+    from ..streaming import sessions
+
+    calls = work(spark, d).select(F.concat(F.lit("k"), "k", F.lit("-"), "kind").alias("call_id"), F.col("ts").alias("stamp"))
+    stream, run = _stream(spark, calls, 3)
+    return sessions.run_once(sessions.distinct_calls(stream, "3650 days"), run, mode="append").select("call_id")
 
 
 _ENT = f"(SELECT agent AS session, seq, CASE WHEN kind IN ('view', 'click') THEN 'tool' ELSE kind END AS kind, kind AS text, kind <> 'click' OR k % 4 > 0 AS settled, CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'ok' END AS verdict FROM {WORK})"

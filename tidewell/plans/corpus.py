@@ -220,6 +220,11 @@ def couse_usage(spark, d):
     return couse.usage(m, couse.baskets(m))
 
 
+@query("SELECT l_partkey % 97 AS name, l_suppkey % 5 AS project, count(*) AS turns FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def couse_usage_by_project(spark, d):
+    return couse.usage_by_project(_mentions(spark, d))
+
+
 @query(f"SELECT * FROM {_PAIRS} WHERE (a + b) % 10 > 0")
 def couse_unlinked(spark, d):
     p = _pairs(spark, d)
@@ -416,6 +421,19 @@ def graph_rules(spark, d):
     return lint.graph_rules(n, edges, links).select("rule", "memory")
 
 
+@query(f"""WITH RECURSIVE l AS {_NL}, e AS (SELECT DISTINCT src, dst FROM l WHERE src <> dst AND dst IN (SELECT name FROM {_N})), x AS (SELECT CASE WHEN i % 3 = 0 THEN 'no_' ELSE '' END || name AS name FROM {_N} WHERE i % 41 = 5),
+ r AS (SELECT name FROM x UNION SELECT e.dst FROM r JOIN e ON e.src = r.name)
+ SELECT 'unreachable' AS rule, name AS memory FROM {_N} WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT 'index-points-nowhere', name FROM x WHERE name NOT IN (SELECT name FROM {_N})""")
+def index_findings(spark, d):
+    n = _raw_notes(spark, d)
+    links = lint.links_of(n)
+    edges = graph.build_edges(links, n)
+    i = F.regexp_extract("name", r"_(\d+)$", 1).cast("long")
+    index = n.where(i % 41 == 5).select(F.concat(F.when(i % 3 == 0, "no_").otherwise(""), "name").alias("name"))
+    found = lint.graph_rules(n, edges, links, graph.reach(edges, index, _save(spark)), index)
+    return found.where("rule IN ('unreachable', 'index-points-nowhere')").select("rule", "memory")
+
+
 _ERRORS = f"(SELECT memory FROM {_RULES} WHERE rule IN (SELECT unnest({[r for r, s in lint.SEVERITY.items() if s == 'error']})))"
 
 
