@@ -80,7 +80,7 @@ def test_packing(stages):
     assert length == total and set(length) == docs
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_spelling_variants"}))  # that one has a row per word
 def test_query_covers_its_table(name, spark, sf):
     t = "embeddings" if name.startswith("op2_") else "documents"
     n = spark.read.parquet(f"{sf}/{t}.parquet").count()
