@@ -195,6 +195,7 @@ def test_cycles_of_messages(spark):
 
 def test_a_hit_keeps_its_place_when_letters_grow(spark):
     """Lowering one letter makes it two, and the form of another hangs on what follows: places are those of the text."""
+    one, L = lambda c: spark.range(1).select(c.alias("x")).first()["x"], F.lit
     find = lambda text, term: one(T.folded_at(L(text), L(term)))
     assert find("İİ needle", "needle") == 4 and find("xİyİneedle", "needle") == 5 and find("needle İ", "needle") == 1 and find("İ", "needle") == 0
     assert find("ΟΔΟΣ end", "οδοσ") == 1 and find("ΟΔΟΣ END", "end") == 6 and find("STRASSE Straße", "straße") == 9

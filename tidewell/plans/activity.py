@@ -514,7 +514,7 @@ def stream_distinct_calls(spark, d):
     """Calls that come again, in order of time, in three files: each is given once, as all come within the watermark."""
     from ..streaming import sessions
 
-    calls = work(spark, d).select(F.concat(F.lit("k"), "k", F.lit("-"), "kind").alias("call_id"), F.col("ts").alias("stamp"))
+    calls = work(spark, d).select(F.concat(F.lit("k"), "k", F.lit("-"), "kind").alias("call_id"), F.col("ts").cast("timestamp").alias("stamp"))
     stream, run = _stream(spark, calls, 3)
     return sessions.run_once(sessions.distinct_calls(stream, "3650 days"), run, mode="append").select("call_id")
 

@@ -354,3 +354,36 @@ def slim_report(spark, d):
 
     rows = table(spark, d, "conversations").selectExpr("CAST(length(text) AS BIGINT) AS n")
     return transcripts.slim(rows.selectExpr(f"{_SLIM} AS raw"))
+
+
+# Calls of several tools, whose path isn't always their first field, and results with each verdict.
+_TOOL = """CASE n % 6 WHEN 0 THEN '"Read","input":{"file_path":"/code/a' || t || '.py"}' WHEN 1 THEN '"Edit","input":{"replace_all":true,"file_path":"/code/b' || t || '.py","old_string":"file_path"}'
+ WHEN 2 THEN '"Bash","input":{"command":"ls ' || t || '","description":" list it "}' WHEN 3 THEN '"Write","input":{"content":"file_path","file_path":"/code/c' || t || '.md"}'
+ WHEN 4 THEN '"Agent","input":{"prompt":"' || repeat('ask ', 20) || '"}' ELSE '"Grep","input":{"pattern":"x","path":"/code"}' END"""
+_ANSWER = """CASE n % 4 WHEN 0 THEN '"is_error":true,"content":"The user doesn' || chr(39) || 't want to proceed with this tool use right now"' WHEN 1 THEN '"is_error":true,"content":"bash: cd: d' || t || ': No such file or directory"'
+ WHEN 2 THEN '"content":"fine"' ELSE '"is_error":false,"content":[{"type":"text","text":"zsh"},{"type":"text","text":"cd:1: no such file or directory: z' || t || '"}]' END"""
+_CALL_LINES = f"""CASE role WHEN 'assistant' THEN '{{"type":"assistant","message":{{"content":[{{"type":"text","text":"x"}},{{"type":"tool_use","id":"k' || t || '","name":' || {_TOOL} || '}}]}}}}'
+ WHEN 'user' THEN '{{"type":"user","message":{{"content":[{{"type":"tool_result","tool_use_id":"k' || (t - 1) || '",' || {_ANSWER} || '}}]}}}}' ELSE '{{"type":"system"}}' END"""
+
+
+def _call_lines(spark, d):
+    from ..sources import transcripts
+
+    rows = table(spark, d, "conversations").selectExpr("conv_id AS c", "turn AS t", "role", "CAST(length(text) AS BIGINT) AS n").selectExpr("concat('c', c) AS file", "concat('c', c) AS session", "false AS delegated", "t AS at", f"{_CALL_LINES} AS raw")
+    return transcripts.decode(rows)
+
+
+@query(f"""SELECT 'c' || c AS file, t AS "at", 'k' || t AS call_id, ['Read', 'Edit', 'Bash', 'Write', 'Agent', 'Grep'][n % 6 + 1] AS tool, ['read', 'write', NULL, 'write', 'none', 'none'][n % 6 + 1] AS role,
+ CASE n % 6 WHEN 0 THEN '/code/a' || t || '.py' WHEN 1 THEN '/code/b' || t || '.py' WHEN 3 THEN '/code/c' || t || '.md' END AS path, CASE WHEN n % 6 = 2 THEN 'ls ' || t END AS command,
+ CASE n % 6 WHEN 2 THEN 'list it' WHEN 4 THEN left(trim(repeat('ask ', 20)), 60) END AS label FROM ({_ROWS}) WHERE role = 'assistant'""")
+def transcript_tools(spark, d):
+    from ..sources import transcripts
+
+    return transcripts.calls(_call_lines(spark, d)).select("file", "at", "call_id", "tool", "role", "path", "command", "label")
+
+
+@query(f"""SELECT 'c' || c AS file, t AS "at", 'k' || (t - 1) AS call_id, ['rejected', 'failed', 'ok', 'ok'][n % 4 + 1] AS verdict, CASE n % 4 WHEN 1 THEN 'd' || t WHEN 3 THEN 'z' || t ELSE '' END AS refused FROM ({_ROWS}) WHERE role = 'user'""")
+def transcript_verdicts(spark, d):
+    from ..sources import transcripts
+
+    return transcripts.results(_call_lines(spark, d)).select("file", "at", "call_id", "verdict", F.array_join("refused", ",").alias("refused"))
