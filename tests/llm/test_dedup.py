@@ -123,7 +123,7 @@ def test_near_of_other_percents(spark, percent):
     vocab = [f"w{i}" for i in range(400)]
     rows = []
     for _ in range(30):
-        base = rng.choices(vocab, k=rng.randint(30, 90))
+        base = rng.choices(vocab, k=rng.randint(30, 90) if percent < 90 else rng.randint(300, 900))
         rows.append(" ".join(base))
         for _ in range(4):
             v = list(base)
