@@ -145,6 +145,13 @@ def test_functions_on_literals(spark):
     assert one(times.minute(L("1970-01-02T00:01:30Z"))) == 1441 and one(times.stamp(L(0))) == "1970-01-01T00:00:00Z"
 
 
+def test_only_a_whole_text_is_json(spark):
+    whole = ['{"a": 1} \n', "[1, 2]\n", "12", '"x"', "null", ' \n{"a": [{"b": "]}"}]}']
+    more = ["8294846167456848 Inly onhe.", "{} x", "[1] b", "1, 2", "1] x", "1} x", '1, "a": 2', "1\n2", '{"a": 1}\n{"a": 2}', '"x" y', '1], "v": [2', ", 1", ""]
+    rows = spark.createDataFrame([(t,) for t in whole + more], "t string").select("t", T.sniff(F.col("t")).alias("l")).collect()
+    assert {r.t for r in rows if r.l == "JSON"} == set(whole)
+
+
 def test_naming_and_turns(spark):
     rows = [("s1", False, 1, "old", None, "s1", None), ("s1", False, 2, "Ada", None, "s1", None), ("s2", False, 1, "Eve", None, "s9", None), ("s3", False, 1, None, None, None, None), ("s4", True, 1, "never", None, "s4", None)]
     lines = spark.createDataFrame(rows, "owner string, delegated boolean, line_no int, agent_name string, custom_title string, of_session string, stated string")

@@ -142,6 +142,15 @@ def refused_dirs(text: Column) -> Column:
 APPLE = ["Foundation", "CoreAudio", "AVFoundation", "AppKit", "UIKit", "SwiftUI", "CoreGraphics", "Cocoa"]
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value; the parser alone is content with a value at its beginning.
+
+    What follows the value would have to go on an array and an object alike, and nothing but white space does.
+    """
+    parses = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return F.try_parse_json(text).isNotNull() & parses("[", "]") & parses('{"v":', "}")
+
+
 def sniff(text: Column) -> Column:
     """Language of a text body: the first arm of an ordered list that fits."""
     head = F.regexp_replace(text, r"^\s+", "")
@@ -157,7 +166,7 @@ def sniff(text: Column) -> Column:
 
     return (
         F.when(head.startswith("#!"), "a script with a shebang")
-        .when(F.try_parse_json(head).isNotNull(), "JSON")
+        .when(is_json(head), "JSON")
         .when(head.rlike(r"(?i)^(SELECT|CREATE|INSERT|UPDATE|DELETE|PRAGMA|ATTACH|BEGIN|WITH)(?![A-Za-z])"), "SQL")
         .when(line("theorem ", "inductive ", "@["), "Lean")
         .when(line("structure ") & has(" where"), "Lean")
