@@ -224,12 +224,18 @@ _RAW = """'{"type":"' || CASE role WHEN 'system' THEN 'system' ELSE role END ||
 _FILES = f"(SELECT c, t, role, n, {_RAW} AS raw FROM ({_ROWS}))"
 
 
+_FILES_OF_A_TASK = 500
+
+
 def _files(spark, d) -> str:
     """Writes them and gives their folder."""
+    from ..sources import transcripts
+
     path = f"{Scratch(spark, 'files').path}/in"
     rows = table(spark, d, "conversations").selectExpr("conv_id AS c", "turn AS t", "role", "CAST(length(text) AS BIGINT) AS n").selectExpr("c", "t", f"{_RAW} AS value")
-    # a conversation's lines in order, in one file
-    rows.repartition("c").sortWithinPartitions("c", "t").select("c", "value").write.partitionBy("c").text(path)
+    parts = rows.agg(F.approx_count_distinct("c").alias("n")).first().n // _FILES_OF_A_TASK + 1
+    ordered = rows.repartition(parts, "c").sortWithinPartitions("c", "t")
+    transcripts.put(ordered.select(F.concat(F.lit("c="), "c", F.lit("/lines.txt")).alias("file"), F.col("value").alias("raw")), path)
     return path
 
 
@@ -253,7 +259,8 @@ def appended_count(spark, d):
     from ..operators import timeline
     from ..sources import transcripts
 
-    rows = _file_of(_counted(transcripts.appended(spark, _files(spark, d), suffix=".txt", splitBytes=4096)))
+    # saved, as it is read three times and opening many files takes longer
+    rows = Scratch(spark, "counted").table(_file_of(_counted(transcripts.appended(spark, _files(spark, d), suffix=".txt", splitBytes=4096))))
     size = rows.groupBy("file").agg(F.max("next").alias("through"))
     return size.join(timeline.since_compaction(rows, order="at"), "file", "left").select("file", F.coalesce("interactions", F.lit(0)).alias("interactions"), "context", "through")
 

@@ -128,6 +128,14 @@ def appended(spark: SparkSession, root: str, **options) -> DataFrame:
     return spark.read.format("appended_lines").options(path=root, **options).load()
 
 
+def put(line: DataFrame, root: str) -> None:
+    """Writes lines (file, raw), each file's in one partition and in order, as files under ``root`` (``sources.appended``)."""
+    from . import appended as source
+
+    source.register(line.sparkSession)
+    line.select("file", "raw").write.format("appended_lines").mode("overwrite").save(root)
+
+
 def tails(decoded: DataFrame) -> DataFrame:
     """Of lines of each file's end: the last context figure (none once compacted), when it last spoke, and its name.
 
