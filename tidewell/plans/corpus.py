@@ -201,9 +201,14 @@ _PAIRS = f"""(WITH b AS {_M97}, p AS (SELECT x.name AS a, y.name AS b, count(DIS
 _PAIRS = _PAIRS.replace("GROUP BY ALL", "GROUP BY x.name, y.name")
 
 
+def _parts(spark, d):
+    """Partitions for the mentions: a line item makes one at most, and its table's footer has their number."""
+    return couse.parts_for(table(spark, d, "lineitem").count())
+
+
 def _pairs(spark, d):
     n = table(spark, d, "customer").agg(F.count("*").cast("double")).scalar()
-    basket = _save(spark)(couse.baskets(_mentions(spark, d)).repartition("session", "turn"))
+    basket = _save(spark)(couse.baskets(_mentions(spark, d), parts=_parts(spark, d)))
     return couse.pairs(basket, n).withColumn("npmi", F.round("npmi", 6))
 
 
@@ -216,8 +221,8 @@ def couse_pairs_npmi(spark, d):
  u AS (SELECT name, count(*) AS turns, count(*) FILTER (flag <> 'R') AS reads, count(*) FILTER (flag = 'R') AS edits, max(stamp) AS last, count(DISTINCT project) AS projects FROM m GROUP BY name), s AS (SELECT name, count(DISTINCT session) AS sessions FROM {_M97} GROUP BY name)
  SELECT u.*, coalesce(s.sessions, 0) AS sessions FROM u LEFT JOIN s ON u.name = s.name""")
 def couse_usage(spark, d):
-    m = _mentions(spark, d)
-    return couse.usage(m, couse.baskets(m))
+    m, parts = _mentions(spark, d), _parts(spark, d)
+    return couse.usage(m, couse.baskets(m, parts=parts), parts)
 
 
 @query("SELECT l_partkey % 97 AS name, l_suppkey % 5 AS project, count(*) AS turns FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
