@@ -102,6 +102,17 @@ def test_on_spark(spark):
     assert {r.reason for r in extract.report(read).collect()} >= {"read", "unclosed single quote"}
 
 
+def test_reading_is_dealt_over_tasks_and_fields(spark):
+    """Short texts take long to read: not one task, and only what is asked for."""
+    df = spark.createDataFrame([(c, "/code/app") for c, _ in CASES] + [("cat 'x", None), (None, None)], "cmd string, cwd string")
+    whole = {(r.cmd, r.cwd): r for r in extract.read_commands(df, HOME).collect()}
+    assert any(r.printed for r in whole.values()) and all(r.printed == (None if r.refusal else parse.show(parse.parse(r.cmd or ""))) for r in whole.values())
+    for want in (["uses"], ["steps"], ["uses", "undetermined"]):
+        read = extract.read_commands(df, HOME, tuple(want))
+        assert read.columns == ["cmd", "cwd", "refusal", *want] and read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert {(r.cmd, r.cwd): [r.refusal, *[r[f] for f in want]] for r in read.collect()} == {k: [r.refusal, *[r[f] for f in want]] for k, r in whole.items()}
+
+
 LAW = [c for c, _ in CASES] + [
     "! cat a", "cat a & rm b", "cat a & ", "a | b |& c", "cat 2>err.txt <in.txt >>out.txt 2>&1", "until x; do y; done", "case $x in a | b) cat a ;; *) rm b ;; esac", "cat <<E && rm b\nbody $x\nE\ncat c",
     "if cat <<E; then\nbody\nE\nx; else y & fi", "{ a; b & }", "( a; cat <<-E\n\tbody\nE\n)", "f() { cat a; }; f", "x=$(cat b) y=`cat c`", "diff <(sort a) <(sort b)", "select x in a b; do y; done", "cat <<< 'x y' 3<&0", "while read l; do echo $l; done < in.txt &",
