@@ -145,6 +145,21 @@ def test_functions_on_literals(spark):
     assert one(times.minute(L("1970-01-02T00:01:30Z"))) == 1441 and one(times.stamp(L(0))) == "1970-01-01T00:00:00Z"
 
 
+def test_rounds_of_cycles_pass_no_table_through_the_driver(spark):
+    from tidewell.sources.scratch import Scratch
+
+    rows = [("s", "a", "b", 1), ("s", "b", "c", 2), ("s", "c", "a", 3), ("s", "d", "a", 4), ("t", "a", "a", 1), ("t", "b", None, 2), ("u", "x", "y", 1), ("u", "y", "x", 2)]
+    scratch, plans = Scratch(spark, "cycles"), []
+
+    def save(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.table(df)
+
+    found = turns.cycles(spark.createDataFrame(rows, "session string, uuid string, parent string, line_no int"), save)
+    assert sorted(map(tuple, found.collect())) == [("s", "a", 3), ("t", "a", 1), ("u", "x", 2)]
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_only_a_whole_text_is_json(spark):
     whole = ['{"a": 1} \n', "[1, 2]\n", "12", '"x"', "null", ' \n{"a": [{"b": "]}"}]}']
     more = ["8294846167456848 Inly onhe.", "{} x", "[1] b", "1, 2", "1] x", "1} x", '1, "a": 2', "1\n2", '{"a": 1}\n{"a": 2}', '"x" y', '1], "v": [2', ", 1", ""]

@@ -33,6 +33,7 @@ def cycles(nodes: DataFrame, save=None) -> DataFrame:
 
     Jumps of doubling length end on cycles; there the least uuid met in jumps of doubling length is
     the cycle's own, so what groups by it is one cycle. The rounds are the log2 of the messages.
+    Rounds are merged, not broadcast: else each would send its table through the driver.
     """
     save = save or Scratch(nodes.sparkSession, "cycles").table
     up = save(nodes.groupBy("session", "uuid").agg(F.min_by("parent", "line_no").alias("up")).where("up IS NOT NULL"))
@@ -40,12 +41,12 @@ def cycles(nodes: DataFrame, save=None) -> DataFrame:
     far = up
     for _ in range(rounds):
         above = far.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"))
-        far = save(far.join(above, ["session", "up"]).select("session", "uuid", F.col("up2").alias("up")))
+        far = save(far.join(above.hint("merge"), ["session", "up"]).select("session", "uuid", F.col("up2").alias("up")))
         if far.isEmpty():
             break
     on = save(far.select("session", F.col("up").alias("uuid")).distinct())
-    now = save(up.join(on, ["session", "uuid"]).select("session", "uuid", "up", F.least("uuid", "up").alias("low")))
+    now = save(up.join(on.hint("merge"), ["session", "uuid"]).select("session", "uuid", "up", F.least("uuid", "up").alias("low")))
     for _ in range(rounds if not now.isEmpty() else 0):
         above = now.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-        now = save(now.join(above, ["session", "up"]).select("session", "uuid", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
+        now = save(now.join(above.hint("merge"), ["session", "up"]).select("session", "uuid", F.col("up2").alias("up"), F.least("low", "low2").alias("low")))
     return now.groupBy("session", F.col("low").alias("through")).agg(F.count("*").alias("loop"))
