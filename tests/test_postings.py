@@ -5,8 +5,10 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewell.operators import search
+from tidewell.functions.text import tokenize
+from tidewell.operators import postings, search
 from tidewell.operators.postings import Index
 from tidewell.sources.scratch import Scratch
 
@@ -55,3 +57,18 @@ def test_only_folders_of_the_terms_are_read(spark):
     for p in others:
         shutil.rmtree(p)
     assert want and sorted(map(tuple, Index(spark, it.path, buckets=16).rank("x1").collect())) == want
+
+
+def test_no_folder_is_one_task(spark, monkeypatch):
+    """Lists and texts are written by the tasks that read the notes, in blocks of any size, and say the same."""
+    monkeypatch.setattr(postings, "BLOCK", 100, raising=False)
+    notes = spark.createDataFrame(made(random.Random(5), [f"n-{i}" for i in range(60)]), NOTE).repartition(3).cache()
+    it = Index(spark, f"{Scratch(spark, 't').path}/index", buckets=1)
+    it.write(notes)
+    for what in ("texts", "postings"):
+        assert len(list(pathlib.Path(it.path.removeprefix("file:")).glob(f"{what}/seg=0/bucket=0/*.parquet"))) == 3
+    want = {r.name: r.size for r in notes.select("name", sum((F.size(tokenize(F.coalesce(c, F.lit("")))) for c in ("name", "description", "body")), F.lit(0)).alias("size")).collect()}
+    assert {r.name: r["size"] for r in it.notes().collect()} == want
+    score = lambda df: {r.name: round(r.score, 9) for r in df.collect()}
+    for query in ("alpha", "re-use gamma"):
+        assert score(it.rank(query, False)) == score(search.rank(notes, query, False)) != {}

@@ -169,7 +169,7 @@ def bm25_indexed(spark, d):
     changed = F.pmod(F.xxhash64("name"), F.lit(3)) == 0
     index = Index(spark, f"{scratch.path}/index", buckets=16)
     index.write(now.withColumn("body", F.when(changed, F.concat_ws(" ", F.lit("erst tion"), F.reverse("body"))).otherwise(F.col("body"))).unionByName(now.limit(1).withColumn("name", F.lit("gone"))))
-    index.write(now.where(changed), gone=spark.createDataFrame([("gone",)], "name string"), seg=1)
+    index.write(now.where(changed), gone=spark.range(1).select(F.lit("gone").alias("name")), seg=1)
     return index.rank("Erst tion", save=scratch.table).select("name", F.round("score", 5).alias("score"))
 
 
