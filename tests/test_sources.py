@@ -160,6 +160,15 @@ def test_rounds_of_cycles_pass_no_table_through_the_driver(spark):
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
 
 
+def test_calls_are_read_once(spark, sf):
+    """No filter makes a call's path or note anew for each mention, with what it is made of."""
+    from tidewell.plans.registry import QUERIES
+
+    for name, mentions in {"tool_path_use": 1, "work_matches": 1, "work_files_order": 1, "memory_use": 2}.items():
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("get_json_object(") == mentions, name
+
+
 def test_only_a_whole_text_is_json(spark):
     whole = ['{"a": 1} \n', "[1, 2]\n", "12", '"x"', "null", ' \n{"a": [{"b": "]}"}]}']
     more = ["8294846167456848 Inly onhe.", "{} x", "[1] b", "1, 2", "1] x", "1} x", '1, "a": 2', "1\n2", '{"a": 1}\n{"a": 2}', '"x" y', '1], "v": [2', ", 1", ""]

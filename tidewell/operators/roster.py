@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.times import HALF_LIFE, decay
 
 
+def _once(**columns):
+    """A generator of one row: a filter on these columns reads them, where else it would make them anew for each mention."""
+    return F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+
+
 def recency(days: DataFrame, today: int, by: list[str], half_life: float = HALF_LIFE) -> DataFrame:
     """Sum of half-life weights over the distinct days of each group."""
     distinct = days.select(*by, "day").where("day IS NOT NULL").distinct()
@@ -117,8 +122,8 @@ def tool_uses(calls: DataFrame, code_root: str) -> DataFrame:
     """Reads and edits of each agent and path under the code root by completed tool calls (agent, path, role, verdict)."""
     from ..functions.paths import attributable, relative_to
 
-    rel = relative_to(F.col("path"), code_root)
-    done = calls.where((F.col("verdict") == "ok") & attributable(rel)).withColumn("path", rel)
+    rel = _once(path=relative_to(F.col("path"), code_root))
+    done = calls.where("verdict = 'ok'").select("agent", "role", rel).where(attributable(F.col("path")))
     return done.groupBy("agent", "path").agg(F.count_if(F.col("role") == "read").alias("reads"), F.count_if(F.col("role") == "write").alias("edits"))
 
 
@@ -128,9 +133,10 @@ def memory_uses(calls: DataFrame, shell: DataFrame, memory_root: str) -> DataFra
     from ..functions.paths import memory_of
     from .outcomes import admits
 
-    tool = calls.where("verdict = 'ok'").select("agent", memory_of(F.col("path"), memory_root).alias("memory"), (F.col("role") == "write").alias("write"), F.lit(True).alias("sure"))
+    memory = _once(memory=memory_of(F.col("path"), memory_root))
+    tool = calls.where("verdict = 'ok'").select("agent", memory, (F.col("role") == "write").alias("write"), F.lit(True).alias("sure"))
     sure = admits(F.col("verdict"), F.col("reached"))
-    ran = shell.where("verdict <> 'rejected'").select("agent", memory_of(F.col("path"), memory_root).alias("memory"), "write", sure.alias("sure"))
+    ran = shell.where("verdict <> 'rejected'").select("agent", memory, "write", sure.alias("sure"))
     w, s = F.col("write"), F.col("sure")
     counts = [F.count_if(~w & s).alias("reads"), F.count_if(w & s).alias("edits"), F.count_if(~w & ~s).alias("maybe_reads"), F.count_if(w & ~s).alias("maybe_edits")]
     return tool.unionByName(ran).where("memory IS NOT NULL").groupBy("agent", "memory").agg(*counts)
